@@ -44,14 +44,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the session's reliable checkpoint folder.
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session that names none
-    (a laptop, the tests) gets a temporary one.
+    Only a session that names none (a laptop, the tests) gets a temporary one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="feedops-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder, so a lost executor never repeats or changes it."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)

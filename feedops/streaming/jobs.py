@@ -69,13 +69,21 @@ def stream_recent_store(arrivals: DataFrame, spark: SparkSession, store_path: st
     return run_batches(arrivals, checkpoint, body, every)
 
 
-def stream_like_counts(likes: DataFrame, client: str, item: str, window_seconds: int, max_count: int) -> DataFrame:
-    """K5: accepted (client, item) pairs of a stream; count them per item downstream.
+def stream_like_counts(likes: DataFrame, out_path: str, checkpoint: str, client: str, item: str, window_seconds: int,
+                       max_count: int, every: str | None = None) -> StreamingQuery:
+    """K5: like counts of every batch as ``out_path/batch=N``; an item's total is the sum over batches.
 
-    The rate limit keeps one row of state per client, the pair filter one per pair.
+    The rate limit keeps one row of state per client, the duplicate filter one per (client, item), so a pair is counted in
+    exactly one batch and a batch never re-reads earlier ones.
     """
-    passed = stream_rate_limit(likes, client, window_seconds, max_count).filter(~F.col("limited"))
-    return passed.select("id", client)
+    passed = stream_rate_limit(likes.select("id", "t_us", client, item), client, window_seconds, max_count)
+    pairs = passed.filter(~F.col("limited")).select(client, item).dropDuplicates([client, item])
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy(item).agg(F.count(F.lit(1)).alias("likes"))
+        counts.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    return run_batches(pairs, checkpoint, body, every)
 
 
 def stream_scan_events(log: DataFrame, out_path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:

@@ -17,8 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 class RateLimiter(StatefulProcessor):
-    def __init__(self, key: str, window_us: int, max_count: int) -> None:
-        self.key, self.window_us, self.max_count = key, window_us, max_count
+    def __init__(self, window_us: int, max_count: int) -> None:
+        self.window_us, self.max_count = window_us, max_count
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.bucket = handle.getValueState("bucket", "count bigint, start bigint")
@@ -34,16 +34,15 @@ class RateLimiter(StatefulProcessor):
             limited.append(count > self.max_count)
             anchors.append(start)
         self.bucket.update((int(count), int(start)))
-        yield pd.DataFrame({"id": frame["id"], self.key: frame[self.key], "t_us": frame["t_us"], "anchor": anchors,
-                            "limited": limited})
+        yield frame.assign(anchor=anchors, limited=limited)
 
     def close(self) -> None:
         pass
 
 
 class AnchoredDedup(StatefulProcessor):
-    def __init__(self, key: str, gap_us: int) -> None:
-        self.key, self.gap_us = key, gap_us
+    def __init__(self, gap_us: int) -> None:
+        self.gap_us = gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.accepted = handle.getValueState("accepted", "at bigint")
@@ -58,36 +57,27 @@ class AnchoredDedup(StatefulProcessor):
             if fresh:
                 at = t
         self.accepted.update((int(at),))
-        yield frame[keep][["id", self.key, "t_us"]]
+        yield frame[keep]
 
     def close(self) -> None:
         pass
 
 
-def _type_of(events: DataFrame, column: str) -> str:
-    return events.schema[column].dataType.simpleString()
+def _ddl(events: DataFrame, extra: str = "") -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields) + extra
 
 
 def stream_rate_limit(events: DataFrame, key: str, window_seconds: int, max_count: int) -> DataFrame:
-    """K2: ``id, key, t_us, anchor, limited`` for a stream with columns ``id``, ``t_us`` (epoch microseconds) and the key."""
-    return (
-        events.select("id", key, "t_us").groupBy(key)
-        .transformWithStateInPandas(
-            statefulProcessor=RateLimiter(key, window_seconds * 1_000_000, max_count),
-            outputStructType=f"id bigint, `{key}` {_type_of(events, key)}, t_us bigint, anchor bigint, limited boolean",
-            outputMode="Append", timeMode="None")
-    )
+    """K2: a stream with ``id``, ``t_us`` (epoch microseconds) and the key, plus ``anchor`` and ``limited``."""
+    return events.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=RateLimiter(window_seconds * 1_000_000, max_count),
+        outputStructType=_ddl(events, ", anchor bigint, limited boolean"), outputMode="Append", timeMode="None")
 
 
 def stream_dedup(events: DataFrame, key: str, gap_seconds: int = 300) -> DataFrame:
     """K3, exact: rows accepted by the anchored rule."""
-    return (
-        events.select("id", key, "t_us").groupBy(key)
-        .transformWithStateInPandas(
-            statefulProcessor=AnchoredDedup(key, gap_seconds * 1_000_000),
-            outputStructType=f"id bigint, `{key}` {_type_of(events, key)}, t_us bigint",
-            outputMode="Append", timeMode="None")
-    )
+    return events.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=AnchoredDedup(gap_seconds * 1_000_000), outputStructType=_ddl(events), outputMode="Append", timeMode="None")
 
 
 def stream_dedup_builtin(events: DataFrame, key: str, gap_seconds: int = 300) -> DataFrame:
