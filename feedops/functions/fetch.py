@@ -113,24 +113,24 @@ def _http_date_us(text: Column) -> Column:
     """Epoch microseconds of ``[Day,] 02 Jan 2025 03:04:05 GMT|+HHMM``; NULL if it is not such a date."""
     pattern = r"(?i)^(?:[a-z]+,?\s+)?(\d{1,2})[\s-]([a-z]{3})[a-z]*[\s-](\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([a-z]*|[+-]\d{4})$"
 
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
-
-    def number(group: int) -> Column:
-        return part(group).try_cast("int")
-
-    month = _month(part(2))
-    short_year = number(3)
-    year = F.when(short_year < 69, short_year + 2000).when(short_year < 100, short_year + 1900).otherwise(short_year)
-    zone = part(7)
-    offset = F.when(
-        zone.rlike(r"^[+-]"),
-        (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int"))
-        * F.when(zone.startswith("-"), F.lit(-1)).otherwise(1),
-    ).otherwise(F.lit(0))
-    moment = F.try_make_timestamp(year, month, number(1), number(4), number(5),
-                                  F.coalesce(number(6), F.lit(0)).cast("decimal(16,6)"), F.lit("UTC"))
-    return F.unix_micros(moment) - offset.cast("bigint") * 60_000_000
+    def moment(p: Column) -> Column:
+        def number(index: int) -> Column:
+            return F.get(p, F.lit(index)).try_cast("int")
+
+        short_year = number(2)
+        year = F.when(short_year < 69, short_year + 2000).when(short_year < 100, short_year + 1900).otherwise(short_year)
+        zone = F.get(p, F.lit(6))
+        offset = F.when(
+            zone.rlike(r"^[+-]"),
+            (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int"))
+            * F.when(zone.startswith("-"), F.lit(-1)).otherwise(1),
+        ).otherwise(F.lit(0))
+        at = F.try_make_timestamp(year, _month(F.get(p, F.lit(1))), number(0), number(3), number(4),
+                                  F.coalesce(number(5), F.lit(0)).cast("decimal(16,6)"), F.lit("UTC"))
+        return F.unix_micros(at) - offset.cast("bigint") * 60_000_000
+
+    pieces = F.split(F.regexp_replace(text, pattern, ",".join(f"${i}" for i in range(1, 8))), ",", -1)
+    return F.when(text.rlike(pattern), let(pieces, moment))
 
 
 def _month(name: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedops.functions.expr import contains_any, let, lit_array
+from feedops.functions.expr import contains_any, let
 
 # Crawler and script signatures, in matching order.
 CRAWLER_SIGNATURES = (
@@ -42,8 +42,14 @@ PROBE_PATHS = ("/actuator", "/actuator/env", "/actuator/health", "/health", "/de
 
 def matched_signature(user_agent: Column, signatures: Sequence[str] = CRAWLER_SIGNATURES) -> Column:
     """First listed signature contained in the user agent in any case, else NULL."""
-    agent = F.lower(F.coalesce(user_agent, F.lit("")))
-    return let(agent, lambda ua: F.get(F.filter(lit_array(signatures), lambda s: ua.contains(F.lower(s))), F.lit(0)))
+
+    def first(agent: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for signature in reversed(signatures):
+            found = F.when(agent.contains(signature.lower()), F.lit(signature)).otherwise(found)
+        return found
+
+    return let(F.lower(F.coalesce(user_agent, F.lit(""))), first)
 
 
 def is_browser_or_preview(user_agent: Column, tokens: Sequence[str] = BROWSER_TOKENS) -> Column:

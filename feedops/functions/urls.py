@@ -6,12 +6,13 @@ ports and odd hosts are seen exactly as written instead of being rejected by a s
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedops.functions.expr import first_nonblank, let  # noqa: F401
+from feedops.functions.expr import first_nonblank, let
 
 _URI = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -43,26 +44,34 @@ PREVIEW_ORIGIN_HOST = "ac-o.namu.la"
 ORIGINAL_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp", "bmp")
 
 
+_SEPARATOR = "\x01"
+_PARTS = ("scheme", "authority", "path", "query", "fragment")
+
+
 def clean(url: Column) -> Column:
     """Drop what URL parsers ignore: leading blanks or control characters, and tabs or newlines anywhere."""
-    return F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
+    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
 
 
-def url_parts(url: Column) -> Column:
-    """struct(raw, scheme, authority, path, query, fragment); missing parts are empty strings."""
+def url_parts(url: Column | str) -> Column:
+    """struct(raw, scheme, authority, path, query, fragment); missing parts are empty strings.
+
+    One regular expression marks the borders and one split cuts them; a Python string is parsed on the driver.
+    """
+    if isinstance(url, str):
+        found = re.match(_URI, url).groups(default="")
+        return F.struct(F.lit(url).alias("raw"), F.lit(found[0].lower()).alias("scheme"),
+                        *[F.lit(v).alias(n) for v, n in zip(found[1:], _PARTS[1:], strict=True)])
+    marked = _SEPARATOR.join(f"${i}" for i in range(1, 6))
 
     def split(u: Column) -> Column:
-        def part(group: int) -> Column:
-            return F.regexp_extract(u, _URI, group)
-
-        return F.struct(
-            u.alias("raw"),
-            F.lower(part(1)).alias("scheme"),
-            part(2).alias("authority"),
-            part(3).alias("path"),
-            part(4).alias("query"),
-            part(5).alias("fragment"),
-        )
+        pieces = F.split(F.regexp_replace(u, _URI, marked), _SEPARATOR, -1)
+
+        def named(p: Column) -> Column:
+            return F.struct(u.alias("raw"), F.lower(F.get(p, F.lit(0))).alias("scheme"),
+                            *[F.get(p, F.lit(i)).alias(name) for i, name in enumerate(_PARTS) if i])
+
+        return let(pieces, named)
 
     return let(clean(url), split)
 
@@ -115,7 +124,7 @@ def _fold_segments(segments: Column) -> Column:
     return F.when(joined == "", F.lit("/")).otherwise(joined)
 
 
-def resolve(base: Column, href: Column) -> Column:
+def resolve(base: Column | str, href: Column) -> Column:
     """Resolve a possibly relative reference against a base URL."""
 
     def joined(pair: Column) -> Column:
@@ -189,7 +198,7 @@ def canonical_link(base: str, href: Column, host: str, scheme: str = "https") ->
         )
         return F.when(good, unsplit(p["scheme"], p["authority"], p["path"], p["query"]))
 
-    return F.when(href != "", let(url_parts(resolve(F.lit(base), href)), check))
+    return F.when(href != "", let(url_parts(resolve(base, href)), check))
 
 
 def board_link(base: str, href: Column, host: str, param: str = "no") -> Column:
@@ -199,7 +208,7 @@ def board_link(base: str, href: Column, host: str, param: str = "no") -> Column:
         good = (host_of(p["authority"]) == host) & query_param(p["query"], param).isNotNull()
         return F.when(good, p["raw"])
 
-    return let(url_parts(resolve(F.lit(base), href)), check)
+    return let(url_parts(resolve(base, href)), check)
 
 
 def original_variant(url: Column) -> Column:
@@ -257,7 +266,7 @@ def ordered_candidates(data_original: Column, src: Column, data_orig: Column, ba
 
             return let(original_variant(resolved), from_original)
 
-        return let(resolve(F.lit(base), source), from_resolved)
+        return let(resolve(base, source), from_resolved)
 
     allowed = F.array_distinct(F.filter(F.flatten(F.transform(sources, variants)), lambda u: is_allowed_url(u, policy)))
 

@@ -216,7 +216,8 @@ def _chunked(times: DataFrame, keys: list[str], gap: int, chunks: int, fan_in: i
     times = pinned(times.select(*wide, "_chunk", "_t").distinct())
 
     def tagged(like: pd.DataFrame, chunk: object, **columns: object) -> pd.DataFrame:
-        head = {name: [like[name].iloc[0]] * len(next(iter(columns.values()))) for name in wide}
+        size = len(next(iter(columns.values())))
+        head = {name: pd.Series([like[name].iloc[0]] * size, dtype=object) for name in wide}
         return pd.DataFrame({**head, "_chunk": chunk, **columns})
 
     def summarise(frame: pd.DataFrame) -> pd.DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedops.functions import urls
+from feedops.functions.expr import blank_to_null, evaluated, let
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # An opening tag of these closes an open one of the same kind, up to the enclosing container.
@@ -217,7 +218,7 @@ def _per_page(pages: DataFrame, name: str, element: str, read, keep: tuple[str,
 
     def stage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[list(keep)].copy()
+            out = batch[list(keep)].astype({c: object for c in keep if batch[c].dtype == "str"})
             out[name] = [read(html) for html in batch["html"]]
             yield out
 
@@ -268,7 +269,8 @@ def extract_rows_hybrid(pages: DataFrame, hybrid: ListingSpec = HYBRID_ROWS, col
     good = _per_page(pages, "_rows", _ROW, read, keep).withColumn("_rows", F.filter(F.transform("_rows", described), valid))
     layout = F.when(F.exists("_rows", lambda r: r["layout"] == "hybrid"), F.lit("hybrid")).otherwise("column")
     chosen = good.withColumn("_layout", layout).withColumn("_rows", F.filter("_rows", lambda r: r["layout"] == F.col("_layout")))
-    rows = chosen.select(*keep, F.explode("_rows").alias("_r")).select(*keep, "_r.*")
+    # The outer form: a plain explode makes the planner evaluate the whole array once more to skip empty ones.
+    rows = chosen.select(*keep, F.explode_outer("_rows").alias("_r")).filter(F.col("_r").isNotNull()).select(*keep, "_r.*")
     return rows.drop("is_notice").withColumn("post_id", urls.post_id_from_path(F.col("link"), id_pattern))
 
 
@@ -287,7 +289,7 @@ def media_candidates(tags: DataFrame, policy: urls.UrlPolicy = urls.MULTI_MEDIA,
     """Ordered candidate URLs of every element that has an allowed one."""
     ordered = urls.ordered_candidates(F.col("data_originalurl"), F.col("src"), F.col("data_orig"), base, policy)
     return (
-        tags.withColumn("_urls", ordered).filter(F.size("_urls") > 0)
+        evaluated(tags, "_urls", ordered).filter(F.size("_urls") > 0)
         .withColumn("primary_url", F.get("_urls", F.lit(0)))
         .withColumn("fallback_urls", F.slice("_urls", 2, F.size("_urls"))).drop("_urls")
     )
@@ -305,13 +307,14 @@ def extract_media_first(pages: DataFrame, keep: tuple[str, ...] = ("post_id",),
     pages = _per_page(pages, "_tags", _TAG, read, kept)
     allowed = F.filter("_tags", lambda t: (t["kind"] == "attachment") & urls.is_allowed_url(
         urls.resolve(F.col(post_url), F.coalesce(t["href"], F.lit(""))), policy))
-    pages = pages.withColumn("_files", allowed).withColumn("_pick", F.when(F.size("_files") > 0, F.col("_files")).otherwise(
-        F.filter("_tags", lambda t: t["kind"] == "inline")))
-    listed = F.transform("_pick", lambda t: F.struct(
+    inline_tags = F.filter("_tags", lambda t: t["kind"] == "inline")
+    deciding = let(allowed, lambda files: F.when(F.size(files) > 0, files).otherwise(inline_tags))
+    # An element without any URL is passed over before URLs are resolved.
+    with_url = F.filter(deciding, lambda t: F.coalesce(blank_to_null(t["href"]), blank_to_null(t["data_original"]), blank_to_null(t["src"])).isNotNull())
+    first = let(F.get(with_url, F.lit(0)), lambda t: F.when(t.isNotNull(), F.struct(
         t["kind"].alias("kind"), t["label"].alias("label"),
-        urls.source_urls(F.col(post_url), t["href"], t["data_original"], t["src"]).alias("urls")))
-    first = F.get(F.filter(listed, lambda t: F.size(t["urls"]) > 0), F.lit(0))
-    decided = pages.withColumn("_first", first).filter(F.col("_first").isNotNull())
+        urls.source_urls(F.col(post_url), t["href"], t["data_original"], t["src"]).alias("urls"))))
+    decided = evaluated(pages, "_first", first).filter(F.col("_first").isNotNull())
     primary = F.get("_first.urls", F.lit(0))
     return decided.select(
         *keep, F.col("_first.kind").alias("kind"), primary.alias("primary_url"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedops.functions.expr import evaluated
 from feedops.functions.labels import client_ip
 from feedops.functions.scan import classify_request, response_shape
 from feedops.operators.dedup import sorted_keys
@@ -22,7 +23,7 @@ def drop_internal_requests(log: DataFrame, path: str = "path") -> DataFrame:
 
 def scan_events(log: DataFrame) -> DataFrame:
     """Matched requests as events. The id is a hash of the row, so a re-run or a retried task yields the same id."""
-    matched = log.withColumn("_m", classify_request(F.col("user_agent"), F.col("path"))).filter(F.col("_m.category").isNotNull())
+    matched = evaluated(log, "_m", classify_request(F.col("user_agent"), F.col("path"))).filter(F.col("_m.category").isNotNull())
     event_id = F.left(F.sha2(F.concat_ws("\x1f", F.col("id").cast("string"), F.unix_micros("ts").cast("string"),
                                          "user_agent", "method", "path"), 256), F.lit(32))
     return matched.select(

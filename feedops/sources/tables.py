@@ -75,14 +75,18 @@ def write_ledger_version(ledger: DataFrame, root: str) -> str:
     return path
 
 
+# Fixed value: event times in JSON lines, to the microsecond with a numeric offset.
+SCAN_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
+
+
 def write_scan_events(events: DataFrame, path: str) -> None:
     """A5: append JSON lines."""
-    events.write.mode("append").json(path)
+    events.write.mode("append").option("timestampFormat", SCAN_TIME_FORMAT).json(path)
 
 
 def read_scan_events(spark: SparkSession, path: str) -> DataFrame:
     """A5."""
-    return spark.read.schema(SCAN_EVENT_SCHEMA).json(path)
+    return spark.read.schema(SCAN_EVENT_SCHEMA).option("timestampFormat", SCAN_TIME_FORMAT).json(path)
 
 
 def new_outbox_rows(messages: DataFrame, sent: DataFrame) -> DataFrame:

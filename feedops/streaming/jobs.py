@@ -17,7 +17,7 @@ from feedops.operators.scanlog import drop_internal_requests, scan_events
 from feedops.operators.select import recent_store
 from feedops.plans.profiles import SourceProfile
 from feedops.plans.selection import select_new_posts
-from feedops.sources.tables import append_ledger, read_ledger
+from feedops.sources.tables import SCAN_TIME_FORMAT, append_ledger, read_ledger
 from feedops.streaming.state import stream_rate_limit
 
 
@@ -61,10 +61,8 @@ def stream_recent_store(arrivals: DataFrame, spark: SparkSession, store_path: st
         everything = batch
         if batch_id > 0:
             everything = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{store_path}/batch={batch_id - 1}"))
-        now = everything.agg(F.max("created_us").alias("_now"))
-        timed = everything.crossJoin(F.broadcast(now))
-        kept = recent_store(timed, F.col("_now"), ttl_seconds, max_items, max_bytes)
-        kept.drop("_now").write.mode("overwrite").parquet(f"{store_path}/batch={batch_id}")
+        kept = recent_store(everything, everything.agg(F.max("created_us")).scalar(), ttl_seconds, max_items, max_bytes)
+        kept.write.mode("overwrite").parquet(f"{store_path}/batch={batch_id}")
 
     return run_batches(arrivals, checkpoint, body, every)
 
@@ -89,5 +87,5 @@ def stream_like_counts(likes: DataFrame, out_path: str, checkpoint: str, client:
 def stream_scan_events(log: DataFrame, out_path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """K6: stateless classification, appended as JSON lines."""
     writer = scan_events(drop_internal_requests(log)).writeStream.format("json").option("path", out_path)
-    writer = writer.option("checkpointLocation", checkpoint).outputMode("append")
+    writer = writer.option("timestampFormat", SCAN_TIME_FORMAT).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of one batch by (time, id), with plain object strings: Arrow cannot take chunked ones back."""
+    frame = pd.concat(list(rows), ignore_index=True)
+    frame = frame.astype({c: object for c in frame.columns if frame[c].dtype == "str"})
+    return frame.sort_values(["t_us", "id"], kind="stable")
+
+
 class RateLimiter(StatefulProcessor):
     def __init__(self, window_us: int, max_count: int) -> None:
         self.window_us, self.max_count = window_us, max_count
@@ -24,7 +31,7 @@ class RateLimiter(StatefulProcessor):
         self.bucket = handle.getValueState("bucket", "count bigint, start bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["t_us", "id"], kind="stable")
+        frame = _in_order(rows)
         count, start = self.bucket.get() if self.bucket.exists() else (0, None)
         limited, anchors = [], []
         for t in frame["t_us"].tolist():
@@ -48,7 +55,7 @@ class AnchoredDedup(StatefulProcessor):
         self.accepted = handle.getValueState("accepted", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["t_us", "id"], kind="stable")
+        frame = _in_order(rows)
         at = self.accepted.get()[0] if self.accepted.exists() else None
         keep = []
         for t in frame["t_us"].tolist():

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedops.functions import labels, urls
+from feedops.functions.expr import let
 from registry.base import Tables, query
 from registry.fetchlog import pick
 
@@ -25,10 +26,10 @@ def _(t: Tables) -> DataFrame:
 @query("b6_canonical_link", r"""
 WITH p AS (SELECT page_id, page_id % 6 AS kind, url, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
 SELECT page_id, CASE kind
- WHEN 0 THEN 'https://board.example.com' || path || '?p=1' WHEN 1 THEN 'https://board.example.com/b/' || page_id WHEN 2 THEN 'https://board.example.com/b/y/' || page_id
+ WHEN 0 THEN 'https://board.example.com' || path || '?p=1' WHEN 1 THEN 'https://board.example.com/b/' || page_id WHEN 2 THEN 'https://board.example.com/b/list/y/' || page_id
  WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE CASE WHEN starts_with(url, 'https://board.example.com/') THEN url END END AS link FROM p""")
 def _(t: Tables) -> DataFrame:
-    path = urls.let(urls.url_parts(F.col("url")), lambda p: p["path"])
+    path = let(urls.url_parts(F.col("url")), lambda p: p["path"])
     number = F.col("page_id").cast("string")
     href = pick_columns(F.col("page_id") % 6, [
         F.concat(path, F.lit("?p=1#top")), F.concat(F.lit("../"), number), F.concat(F.lit("./x/../y/"), number, F.lit("#c")),
@@ -110,7 +111,7 @@ def _(t: Tables) -> DataFrame:
 WITH p AS (SELECT page_id, regexp_extract(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1) AS base FROM pages)
 SELECT page_id, CASE WHEN base <> '' THEN base || ' a+b' ELSE ' a+b' END AS named, CASE WHEN base <> '' THEN base ELSE 'arca_' || page_id || '_0.jpg' END AS plain FROM p""")
 def _(t: Tables) -> DataFrame:
-    path = urls.let(urls.url_parts(F.col("url")), lambda p: urls.unsplit(p["scheme"], p["authority"], p["path"], F.lit("")))
+    path = let(urls.url_parts(F.col("url")), lambda p: urls.unsplit(p["scheme"], p["authority"], p["path"], F.lit("")))
     spaced = urls.filename_hint(F.concat(path, F.lit("%20a+b")), F.lit("image"))
     plain = urls.filename_hint(F.col("url"), F.concat(F.lit("arca_"), "page_id", F.lit("_0.jpg")), F.lit("  "), 255)
     return t.pages.select("page_id", spaced.alias("named"), plain.alias("plain"))

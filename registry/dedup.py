@@ -93,7 +93,7 @@ def _(t: Tables) -> DataFrame:
 @query("g0_anchors_busy_keys", f"WITH RECURSIVE {_anchor_sql('event_type', 600, '>')} SELECT event_type, anchor FROM a")
 def _(t: Tables) -> DataFrame:
     """Five keys hold all rows and are far over the fold limit given here, so pieces and chunks are used."""
-    return anchors(event_times(t), ["event_type"], "t_us", 600 * 1_000_000, fold_rows=50, chunk_rows=40, fan_in=8)
+    return anchors(event_times(t), ["event_type"], "t_us", 600 * 1_000_000, fold_rows=500, chunk_rows=400, fan_in=4)
 
 
 @query("f5_dedup_anchored", DEDUP_SQL)

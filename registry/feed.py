@@ -76,9 +76,9 @@ def _(t: Tables) -> DataFrame:
         F.col("event_id").cast("string").alias("image_id"), F.when(F.col("value") > 50, F.lit(9)).alias("thumb_bytes"),
         F.lit("f").alias("filename"), F.lit("t").alias("title"), F.lit("").alias("link"), "gallery", "created_us",
         (F.col("user_id") % 5).alias("likes"), F.col("user_id").alias("width"), (2 * F.col("user_id")).alias("height"))
-    read = lambda name: F.get_json_object("json", f"$.{name}")
-    created = F.round(read("created_at").cast("double") * 1_000_000).cast("bigint").alias("created_us")
-    return O.feed_json(items).select("id", *[read(n).alias(n) for n in ("url", "thumb", "gallery", "likes", "w", "h")], created)
+    shape = "url string, thumb string, gallery string, likes string, w string, h string, created_at double"
+    read = O.feed_json(items).select("id", F.from_json("json", shape).alias("j")).select("id", "j.*")
+    return read.withColumn("created_us", F.round(F.col("created_at") * 1_000_000).cast("bigint")).drop("created_at")
 
 
 @query("b21_source_of_gallery", """

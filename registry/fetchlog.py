@@ -142,9 +142,11 @@ def part_fetches(t: Tables) -> DataFrame:
 
 
 def url_fetches(t: Tables) -> DataFrame:
-    """The same facts keyed by candidate URL: every URL of a part shares its part's answers."""
-    urls = chain_candidates(t).select("url", "l_partkey").distinct()
-    return urls.join(part_fetches(t).withColumnRenamed("p_partkey", "l_partkey"), "l_partkey").drop("l_partkey")
+    """The same facts keyed by URL: every spelling of a part's URL has that part's answers."""
+    starts = F.explode(F.array(*[F.lit(s) for s in ("http://dcimg", "http://dcimgx", "https://dcimg", "https://dcimgx")]))
+    number = (F.col("p_partkey") % 1000).cast("string")
+    url = F.concat(F.col("start"), number, F.lit(".dcinside.com/"), F.col("p_partkey").cast("string"))
+    return part_fetches(t).withColumn("start", starts).withColumn("url", url).drop("start", "p_partkey")
 
 
 @query("d9_candidates_with_fetches", f"WITH {FETCH_SQL} SELECT l_orderkey, url, CAST(cand_rank AS BIGINT) AS cand_rank, verdict, requests FROM tried")

@@ -27,8 +27,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("b2_extract_rows_hybrid", rf"""WITH {LINKS_SQL}
-SELECT page_id, list_pos, 'hybrid' AS layout, 'https://arca.live' || href AS link, regexp_extract(href, '^/([A-Za-z]+)$', 1) AS post_id FROM links WHERE regexp_matches(href, '^/[A-Za-z]+$')
-UNION ALL SELECT page_id, list_pos + 1000, 'column', 'https://arca.live' || href, regexp_extract(href, '^/([A-Za-z]+)$', 1) FROM links WHERE false""")
+SELECT page_id, list_pos, 'hybrid' AS layout, 'https://arca.live' || href AS link, regexp_extract(href, '^/([A-Za-z]+)$', 1) AS post_id FROM links WHERE regexp_matches(href, '^/[A-Za-z]+$')""")
 def _(t: Tables) -> DataFrame:
     """Links with plain letters count as posts; a page without any would fall back to the second layout."""
     rows = X.extract_rows_hybrid(t.pages, NAV_ROWS, X.ListingSpec("footer a", None, "b"), id_pattern=r"live/([A-Za-z]+)$", need_icon=False)
@@ -44,13 +43,10 @@ def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.is_notice(classes, F.when(kind == 3, F.lit("icon_notice"))).alias("notice"))
 
 
-@query("b4_has_image", """
-SELECT page_id, contains(html, '<article>') AND regexp_matches(html, '(?s)<article>.*<b>') AS has_image, title FROM
- (SELECT page_id, html, trim(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM pages)""")
+@query("b4_has_image", "SELECT page_id, regexp_matches(html, '(?s)<article>.*<b>') AS has_image FROM pages")
 def _(t: Tables) -> DataFrame:
     """The bold mark plays the part of the image icon."""
-    rows = X.extract_rows_table(t.pages, X.ListingSpec("article", "h1", "b"))
-    return rows.select("page_id", "has_image", "title")
+    return X.extract_rows_table(t.pages, X.ListingSpec("article", "h1", "b")).select("page_id", "has_image")
 
 
 @query("b7_extract_media_all", """
