@@ -21,7 +21,7 @@ _URI = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]
 class UrlPolicy:
     """Which media hosts are acceptable.
 
-    A host passes when it is listed, or ends with a suffix and (if given) its first label matches ``label``.
+    A host passes when it is listed, or ends with a suffix and (if given) its first label fully matches ``label``.
     ``strict_user`` rejects an empty user name (``https://@host``) too.
     """
 
@@ -33,7 +33,7 @@ class UrlPolicy:
 
 # The media hosts of the two source profiles.
 MULTI_MEDIA = UrlPolicy(hosts=("arca.live", "ac-o.arca.live", "ac.arca.live"), suffixes=(".namu.la",))
-SINGLE_MEDIA = UrlPolicy(suffixes=(".dcinside.com", ".dcinside.co.kr"), label=r"^(dcimg[0-9]*|[0-9]+)$", strict_user=True)
+SINGLE_MEDIA = UrlPolicy(suffixes=(".dcinside.com", ".dcinside.co.kr"), label="dcimg[0-9]*|[0-9]+", strict_user=True)
 # Site roots, origin and thumbnail hosts, and the known original extensions.
 SINGLE_BASE = "https://gall.dcinside.com"
 MULTI_BASE = "https://arca.live"
@@ -76,24 +76,18 @@ def url_parts(url: Column | str) -> Column:
     return let(clean(url), split)
 
 
-def _host_info(authority: Column) -> Column:
-    return F.regexp_extract(authority, r"([^@]*)$", 1)
-
-
 def host_of(authority: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_extract(_host_info(authority), r"^(\[[^\]]*\]|[^:]*)", 1), r"[\[\]]", ""))
+    return F.lower(F.ltrim(F.regexp_extract(authority, r"^(?:.*@)?(\[[^\]]*|[^:]*)", 1), F.lit("[")))
 
 
 def _has_port(authority: Column) -> Column:
     """True for any text after the host's colon; a bare trailing colon is not a port."""
-    return F.regexp_extract(_host_info(authority), r"^(?:\[[^\]]*\]|[^:]*):(.+)$", 1) != ""
+    return authority.contains(":") & authority.rlike(r"^(?:.*@)?(?:\[[^\]]*\]|[^:]*):.+$")
 
 
-def _has_user(authority: Column, strict: bool) -> Column:
-    if strict:
-        return authority.contains("@")
-    user_info = F.regexp_extract(authority, r"^(.*)@[^@]*$", 1)
-    return ~user_info.isin("", ":")
+def _has_user(authority: Column) -> Column:
+    """True for a user or password; an empty one (``https://@host``) does not count."""
+    return authority.contains("@") & ~authority.rlike(r"^:?@[^@]*$")
 
 
 def unsplit(scheme: Column, authority: Column, path: Column, query: Column, fragment: Column | None = None) -> Column:
@@ -146,27 +140,20 @@ def resolve(base: Column | str, href: Column) -> Column:
     return let(F.struct(url_parts(base).alias("b"), url_parts(href).alias("r")), joined)
 
 
-def is_allowed_url(url: Column, policy: UrlPolicy) -> Column:
-    """Https, no user info, no port, and an acceptable host."""
+def _policy_pattern(policy: UrlPolicy) -> str:
+    """The whole policy as one pattern: scheme, user, host, no port, and the end of the authority."""
+    anything = r"[^/?#@:\[\]]*"
+    hosts = [re.escape(host) for host in policy.hosts]
+    for suffix in policy.suffixes:
+        front = anything if policy.label is None else rf"(?:{policy.label})(?:\.{anything})?"
+        hosts.append(front + re.escape(suffix))
+    user = "" if policy.strict_user else "(?::?@)?"
+    return rf"(?i)^https://{user}(?:{'|'.join(hosts)}):?(?:[/?#]|$)"
 
-    def check(p: Column) -> Column:
-        def by_host(host: Column) -> Column:
-            listed = host.isin(*policy.hosts) if policy.hosts else F.lit(False)
-            suffixed = F.lit(False)
-            for suffix in policy.suffixes:
-                suffixed = suffixed | host.endswith(suffix)
-            if policy.label is not None:
-                suffixed = suffixed & F.regexp_extract(host, r"^([^.]*)", 1).rlike(policy.label)
-            return listed | suffixed
 
-        return (
-            (p["scheme"] == "https")
-            & ~_has_user(p["authority"], policy.strict_user)
-            & ~_has_port(p["authority"])
-            & let(host_of(p["authority"]), by_host)
-        )
-
-    return F.coalesce(let(url_parts(url), check), F.lit(False))
+def is_allowed_url(url: Column, policy: UrlPolicy) -> Column:
+    """Https, no user info, no port, and an acceptable host."""
+    return F.coalesce(clean(url).rlike(_policy_pattern(policy)), F.lit(False))
 
 
 def query_param(query: Column, name: str) -> Column:
@@ -193,7 +180,7 @@ def canonical_link(base: str, href: Column, host: str, scheme: str = "https") ->
         good = (
             (p["scheme"] == scheme)
             & (host_of(p["authority"]) == host)
-            & ~_has_user(p["authority"], strict=False)
+            & ~_has_user(p["authority"])
             & ~_has_port(p["authority"])
         )
         return F.when(good, unsplit(p["scheme"], p["authority"], p["path"], p["query"]))
@@ -284,7 +271,9 @@ def ordered_candidates(data_original: Column, src: Column, data_orig: Column, ba
 
 def without_query(url: Column) -> Column:
     """F3 key: scheme, authority and path only."""
-    return let(url_parts(url), lambda p: unsplit(p["scheme"], p["authority"], p["path"], F.lit("")))
+    bare = F.regexp_replace(clean(url), r"(?s)[?#].*$", "")
+    scheme_end = F.instr(bare, ":")
+    return F.concat(F.lower(F.substring(bare, F.lit(1), scheme_end)), F.substring(bare, scheme_end + 1, F.length(bare)))
 
 
 def basename(path: Column) -> Column:

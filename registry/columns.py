@@ -13,7 +13,7 @@ from registry.fetchlog import pick
 HOST_SQL = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
 QUERY_SQL = r"regexp_extract(url, '\?([^#]*)', 1)"
 POLICY = urls.UrlPolicy(hosts=("www.ththen.example.com",), suffixes=(".example.org", ".example.net"))
-LABEL_POLICY = urls.UrlPolicy(suffixes=(".example.com",), label=r"^(blog|m)$", strict_user=True)
+LABEL_POLICY = urls.UrlPolicy(suffixes=(".example.com",), label="blog|m", strict_user=True)
 
 
 @query("b5_post_id", f"""
