@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedops.functions.expr import let
 from feedops.functions.urls import basename
@@ -149,7 +150,11 @@ def _jpeg_size(data: bytes | None) -> tuple[int | None, int | None]:
     return None, None
 
 
-@F.pandas_udf("struct<width:bigint,height:bigint>")
+# A type object, not a string: parsing one would need a running session at import time.
+_SIZE = T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())])
+
+
+@F.pandas_udf(_SIZE)
 def _jpeg_dims(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for contents in batches:
         sizes = [_jpeg_size(bytes(c) if c is not None else None) for c in contents]
