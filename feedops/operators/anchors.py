@@ -82,7 +82,7 @@ def with_anchor(events: DataFrame, keys: Sequence[str], time_us: str, gap_us: in
     cells = anchors_by_cell(found, keys, gap_us, closed)
     placed = events.withColumn("_cell", _floor_div(F.col(time_us), strict_gap(gap_us, closed) + 1))
     own_first = F.when(cells["_own"] <= placed[time_us], cells["_own"]).otherwise(cells["_prev"])
-    match = _same(placed, cells, [*keys, "_cell"])
+    match = _same(placed, cells, keys) & (placed["_cell"] == cells["_cell"])
     return placed.join(cells, match, "inner").select(*[placed[c] for c in events.columns], own_first.alias("anchor"))
 
 
@@ -135,7 +135,7 @@ def _busy_anchors(times: DataFrame, keys: list[str], gap: int, fold_rows: int, c
 
     def members(kind: str) -> DataFrame:
         chosen = cells.filter(F.col("_kind") == kind)
-        match = _same(times, chosen, [*keys, "_cell"])
+        match = _same(times, chosen, keys) & (times["_cell"] == chosen["_cell"])
         return times.join(chosen, match, "inner").select(*[times[k] for k in keys], "_t", "_piece", "_chunk")
 
     if "fold" in kinds:

@@ -16,6 +16,8 @@ SETTINGS = {
     # Split a skewed join side even where that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Pages and blobs are large: bound an Arrow batch by bytes, not only by rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     # Needed by the stateful stream operators; state lives on disk, not on the heap.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

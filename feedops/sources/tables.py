@@ -64,14 +64,25 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    """A4: append rows from ``ledger_add``, one file per ledger partition and task."""
-    rows.write.mode("append").partitionBy("source", "gallery_name").parquet(path)
+    """A4: append rows from ``ledger_add``."""
+    _by_gallery(rows).write.mode("append").partitionBy("source", "gallery_name").parquet(path)
+
+
+def _by_gallery(rows: DataFrame) -> DataFrame:
+    """Gather a gallery's rows in few files; the adaptive rebalance splits a gallery that is too large for one task."""
+    return rows.hint("rebalance", "source", "gallery_name")
+
+
+def ledger_of(ledger: DataFrame, rows: DataFrame, gallery: str = "gallery") -> DataFrame:
+    """A4: only the ledger partitions of the galleries in ``rows`` (dynamic partition pruning when ``rows`` is small)."""
+    wanted = rows.select("source", F.col(gallery).alias("gallery_name")).distinct()
+    return ledger.join(wanted, ["source", "gallery_name"], "left_semi")
 
 
 def write_ledger_version(ledger: DataFrame, root: str) -> str:
     """A4/L4: write a whole new version next to the old one and return its path (readers switch afterwards)."""
     path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
-    ledger.write.mode("errorifexists").partitionBy("source", "gallery_name").parquet(path)
+    _by_gallery(ledger).write.mode("errorifexists").partitionBy("source", "gallery_name").parquet(path)
     return path
 
 

@@ -17,7 +17,7 @@ from feedops.operators.scanlog import drop_internal_requests, scan_events
 from feedops.operators.select import recent_store
 from feedops.plans.profiles import SourceProfile
 from feedops.plans.selection import select_new_posts
-from feedops.sources.tables import SCAN_TIME_FORMAT, append_ledger, read_ledger
+from feedops.sources.tables import SCAN_TIME_FORMAT, append_ledger, ledger_of, read_ledger
 from feedops.streaming.state import stream_rate_limit
 
 
@@ -33,7 +33,7 @@ def stream_new_posts(listing_rows: DataFrame, spark: SparkSession, ledger_path:
     """K1: unseen posts of every poll. The ledger is read per batch, so acknowledgements made meanwhile count."""
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        posts = select_new_posts(batch, read_ledger(spark, ledger_path), profile)
+        posts = select_new_posts(batch, ledger_of(read_ledger(spark, ledger_path), batch), profile)
         posts.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return run_batches(listing_rows, checkpoint, body, every)
@@ -45,7 +45,8 @@ def stream_acknowledge(ledger_rows: DataFrame, spark: SparkSession, ledger_path:
     batch finds its keys present and appends nothing."""
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        append_ledger(ledger_add(read_ledger(spark, ledger_path), batch), ledger_path)
+        known = ledger_of(read_ledger(spark, ledger_path), batch, "gallery_name")
+        append_ledger(ledger_add(known, batch), ledger_path)
 
     return run_batches(ledger_rows, checkpoint, body, every)
 
