@@ -49,20 +49,20 @@ def fan_out(media: DataFrame, *, telegram: bool = False, telegram_chat: str = ""
             post: Sequence[str] = POST, media_id: str = "media_id") -> DataFrame:
     """One row per message to send: batch x channel, plus per-medium rows of the other transports.
 
-    ``media`` carries ``batch_idx``, ``media_idx`` and the gallery's ``channel_ids``.
+    ``media`` carries ``batch_idx``, ``media_idx`` and the gallery's ``channel_ids``. All messages of a batch are generated
+    from the batch's own row, so media are grouped once whatever the number of transports.
     """
-    shape = [*post, "batch_idx", "transport", "destination_id", "requested_media", "ack_eligible"]
-    channels = batch_requests(media, post, media_id).withColumn("destination_id", F.explode("channel_ids"))
-    rows = channels.withColumn("transport", F.lit(DISCORD)).withColumn("ack_eligible", F.lit(True)).select(*shape)
-    single = media.withColumn("requested_media", F.array(F.col(media_id).cast("string")))
+    def message(transport: str, destination: Column, requested: Column, eligible: bool) -> Column:
+        return F.struct(F.lit(transport).alias("transport"), destination.alias("destination_id"),
+                        requested.alias("requested_media"), F.lit(eligible).alias("ack_eligible"))
+
+    to_send = [F.transform("channel_ids", lambda c: message(DISCORD, c, F.col("requested_media"), True))]
     if telegram:
-        rows = rows.unionByName(
-            single.withColumn("transport", F.lit(TELEGRAM)).withColumn("destination_id", F.lit(telegram_chat))
-            .withColumn("ack_eligible", F.lit(True)).select(*shape)
-        )
+        to_send.append(F.transform("requested_media", lambda m: message(TELEGRAM, F.lit(telegram_chat), F.array(m), True)))
     if web_always:
-        rows = rows.unionByName(web_requests(media, post, media_id).select(*shape))
-    return rows
+        to_send.append(F.transform("requested_media", lambda m: message(WEB, F.col("gallery"), F.array(m), False)))
+    batches = batch_requests(media, post, media_id)
+    return batches.select(*post, "batch_idx", F.explode(F.concat(*to_send)).alias("_m")).select(*post, "batch_idx", "_m.*")
 
 
 def web_requests(media: DataFrame, post: Sequence[str] = POST, media_id: str = "media_id") -> DataFrame:

@@ -7,10 +7,12 @@ whole extraction needs no shuffle and a page's rows never leave their task.
 
 from __future__ import annotations
 
+import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from html.parser import HTMLParser
+from functools import lru_cache
+from html import unescape
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -50,13 +52,36 @@ _ROW = "list_pos int, layout string, href string, title string, has_image boolea
 _TAG = "pos int, kind string, href string, data_original string, src string, data_originalurl string, data_orig string, label string, classes array<string>, data_type string"
 
 
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+# Elements whose content is text up to their own end tag.
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in ("script", "style", "textarea", "title")}
+
+
 class _Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "classes")
+    """An element; attributes and texts are decoded only where a selector or a result asks for them."""
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: _Node | None) -> None:
-        self.tag, self.attrs, self.parent = tag, attrs, parent
+    __slots__ = ("tag", "raw", "parent", "children", "_attrs", "_classes")
+
+    def __init__(self, tag: str, raw: str, parent: _Node | None) -> None:
+        self.tag, self.raw, self.parent = tag, raw, parent
         self.children: list = []
-        self.classes = attrs.get("class", "").split()
+        self._attrs = self._classes = None
+
+    @property
+    def attrs(self) -> dict[str, str]:
+        if self._attrs is None:
+            self._attrs = {}
+            for name, double, single, bare in _ATTRIBUTE.findall(self.raw):
+                self._attrs.setdefault(name.lower(), unescape(double or single or bare))
+        return self._attrs
+
+    @property
+    def classes(self) -> list[str]:
+        if self._classes is None:
+            self._classes = self.attrs.get("class", "").split() if "class" in self.raw.lower() else []
+        return self._classes
 
     def walk(self) -> Iterator[_Node]:
         stack = [c for c in reversed(self.children) if isinstance(c, _Node)]
@@ -70,57 +95,53 @@ class _Node:
         while stack:
             child = stack.pop()
             if isinstance(child, str):
-                yield child
+                yield unescape(child)
             else:
                 stack.extend(reversed(child.children))
 
 
-class _TreeBuilder(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", {}, None)
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _SIBLINGS:
-            self._close(tag, _SIBLINGS[tag])
-        elif tag in _ENDS_P:
-            self._close("p", ("td", "th", "li", "div", "table"))
-        values: dict[str, str] = {}
-        for name, value in attrs:
-            values.setdefault(name, value or "")
-        node = _Node(tag, values, self.at)
-        self.at.children.append(node)
-        if tag not in _VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID and self.at.tag == tag:
-            self.at = self.at.parent
-
-    def handle_endtag(self, tag: str) -> None:
-        self._close(tag, ())
-
-    def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
-
-    def _close(self, tag: str, stops: tuple[str, ...]) -> None:
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            if node.tag in stops:
-                return
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+def _closed(node: _Node, tag: str, stops: tuple[str, ...]) -> _Node:
+    """The open element after closing the nearest ``tag`` above; unchanged if there is none before a stop."""
+    at = node
+    while at.parent is not None and at.tag != tag:
+        if at.tag in stops:
+            return node
+        at = at.parent
+    return node if at.parent is None else at.parent
 
 
 def _tree(html: str | None) -> _Node:
-    builder = _TreeBuilder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
-
-
+    root = at = _Node("", "", None)
+    text, pos = html or "", 0
+    for found in iter(lambda: _TOKEN.search(text, pos), None):
+        if found.start() > pos:
+            at.children.append(text[pos : found.start()])
+        pos = found.end()
+        closing, tag, raw = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+        if not tag:
+            continue
+        tag = tag.lower()
+        if closing:
+            at = _closed(at, tag, ())
+            continue
+        if tag in _SIBLINGS:
+            at = _closed(at, tag, _SIBLINGS[tag])
+        elif tag in _ENDS_P:
+            at = _closed(at, "p", ("td", "th", "li", "div", "table"))
+        node = _Node(tag, raw, at)
+        at.children.append(node)
+        if tag in _RAW_END:
+            end = _RAW_END[tag].search(text, pos)
+            node.children.append(text[pos : end.start() if end else len(text)])
+            pos = end.end() if end else len(text)
+        elif tag not in _VOID and not raw.endswith("/"):
+            at = node
+    if pos < len(text):
+        at.children.append(text[pos:])
+    return root
+
+
+@lru_cache(maxsize=256)
 def _compiled(selector: str) -> list[tuple[str, tuple[str, ...], str, str, str]]:
     """Descendant chain of ``tag.class[attr*="x"]`` steps as (tag, classes, attribute, operator, value)."""
     steps = []
@@ -172,7 +193,15 @@ def _joined_text(node: _Node) -> str:
     return "".join(s.strip() for s in node.strings())
 
 
+def _may_match(html: str | None, selectors: Iterable[str]) -> bool:
+    """False when every selector names a class that the text does not contain: such a page need not be parsed."""
+    text = html or ""
+    return any(all(c in text for _, classes, *_ in _compiled(s) for c in classes) for s in selectors)
+
+
 def _listing_rows(html: str | None, specs: dict[str, ListingSpec], joined: bool) -> list[dict]:
+    if not _may_match(html, [spec.row for spec in specs.values()]):
+        return []
     root, rows = _tree(html), []
     for layout, spec in specs.items():
         for row in _select(root, spec.row):
@@ -195,6 +224,8 @@ def _tag_row(node: _Node, kind: str, pos: int) -> dict:
 
 
 def _body_tags(html: str | None, body_selector: str, content_selector: str, tag: str) -> list[dict]:
+    if not _may_match(html, (body_selector, content_selector)):
+        return []
     root = _tree(html)
     body, content = _first(root, body_selector), _first(root, content_selector)
     nodes = list(_select(body, tag)) if body else []
@@ -204,6 +235,8 @@ def _body_tags(html: str | None, body_selector: str, content_selector: str, tag:
 
 
 def _first_tags(html: str | None, attachments: str, inline: tuple[str, ...]) -> list[dict]:
+    if not _may_match(html, (attachments, *inline)):
+        return []
     root = _tree(html)
     found = [("attachment", n) for n in _select(root, attachments)]
     inline_ids = {id(n) for selector in inline for n in _select(root, selector)}

@@ -30,7 +30,10 @@ def run_batches(stream: DataFrame, checkpoint: str, body: Callable[[DataFrame, i
 
 def stream_new_posts(listing_rows: DataFrame, spark: SparkSession, ledger_path: str, out_path: str, checkpoint: str,
                      profile: SourceProfile, every: str | None = None) -> StreamingQuery:
-    """K1: unseen posts of every poll. The ledger is read per batch, so acknowledgements made meanwhile count."""
+    """K1: unseen posts of every poll. The ledger is read per batch, so acknowledgements made meanwhile count.
+
+    The rows of one crawl must arrive in one file: the hold-back counts within a crawl.
+    """
 
     def body(batch: DataFrame, batch_id: int) -> None:
         posts = select_new_posts(batch, ledger_of(read_ledger(spark, ledger_path), batch), profile)

@@ -85,6 +85,19 @@ def _(t: Tables) -> DataFrame:
     return seen.unionByName(L.unseen_media(media, ledger).select("doc_id", F.lit("new").alias("state")))
 
 
+@query("f4_dedup_against_ledger", """
+WITH h AS (SELECT source, sha256(text) AS hash, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2)
+SELECT source, doc_id FROM h WHERE NOT EXISTS (SELECT 1 FROM documents d JOIN labels USING (doc_id) WHERE d.source = h.source AND sha256(d.text) = h.hash)""")
+def _(t: Tables) -> DataFrame:
+    """What is left of every source after de-duplication inside it and against labelled (delivered) texts."""
+    media = t.documents.select(F.lit("board").alias("source"), F.col("source").alias("gallery"), "doc_id",
+                               content_hash(F.encode("text", "UTF-8")).alias("content_hash"))
+    known = media.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    ledger, _ = L.ledger_rows(known, "image", "content_hash", F.lit(None).cast("timestamp"))
+    fresh = L.unseen_media(D.dedup_within_post(media, ["source", "gallery"], "content_hash", ["doc_id"]), ledger)
+    return fresh.select(F.col("gallery").alias("source"), "doc_id")
+
+
 @query("g0_anchors", f"WITH RECURSIVE {_anchor_sql('user_id', WINDOW, '>')} SELECT user_id, anchor FROM a")
 def _(t: Tables) -> DataFrame:
     return anchors(event_times(t), ["user_id"], "t_us", WINDOW * 1_000_000)

@@ -34,13 +34,13 @@ def config(t: Tables) -> DataFrame:
 
 
 def batched_media(t: Tables) -> DataFrame:
-    batched = S.assign_batches(t.lineitem, ["l_orderkey"], MEDIA_ORDER, BATCH, CAP)
-    return batched.select(
+    # The post's own columns come first: ranking, batching and grouping then share one shuffle on them.
+    media = t.lineitem.select(
         F.lit("board").alias("source"), F.concat(F.lit("g"), (F.col("l_orderkey") % 4).cast("string")).alias("gallery"),
         F.col("l_orderkey").cast("string").alias("post_id"), F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber").alias("media_id"),
-        F.concat(F.lit("title "), "l_orderkey").alias("title"), F.concat(F.lit("https://a.example/"), "l_orderkey").alias("link"),
-        F.col("media_idx").cast("bigint").alias("media_idx"), F.col("batch_idx").cast("bigint").alias("batch_idx"),
-    )
+        F.concat(F.lit("title "), "l_orderkey").alias("title"), F.concat(F.lit("https://a.example/"), "l_orderkey").alias("link"), *MEDIA_ORDER)
+    batched = S.assign_batches(media, D.POST, MEDIA_ORDER, BATCH, CAP).drop(*MEDIA_ORDER)
+    return batched.withColumn("media_idx", F.col("media_idx").cast("bigint")).withColumn("batch_idx", F.col("batch_idx").cast("bigint"))
 
 
 def joined(name: str):

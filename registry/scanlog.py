@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedops.functions import scan as J
 from feedops.functions.labels import client_ip
 from feedops.operators.scanlog import drop_internal_requests, scan_events
+from feedops.session import scratch_folder
+from feedops.sources.tables import read_scan_events, write_scan_events
 from registry.base import Tables, query
 
 AGENTS = ["Mozilla/5.0 Chrome/131.0 Safari/537.36", "GPTBot/1.1", "python-requests/2.31", "CURL/8.4", "Googlebot/2.1", "", "meta-externalagent/1",
@@ -98,3 +102,11 @@ def _(t: Tables) -> DataFrame:
 @query("j6_scan_events", SCAN_SQL)
 def _(t: Tables) -> DataFrame:
     return shown_events(scan_events(request_log(t.events)))
+
+
+@query("a5_scan_event_lines", SCAN_SQL)
+def _(t: Tables) -> DataFrame:
+    """Events appended to JSON lines and read back."""
+    path = f"{scratch_folder(t.spark)}/events-{uuid.uuid4().hex}"
+    write_scan_events(scan_events(request_log(t.events)), path)
+    return shown_events(read_scan_events(t.spark, path))

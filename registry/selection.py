@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from feedops.operators import select as S
 from feedops.plans.profiles import SourceProfile
 from feedops.plans.selection import select_new_posts
 from feedops.functions.urls import SINGLE_MEDIA
+from feedops.session import scratch_folder
+from feedops.sources.tables import append_ledger, read_ledger
 from registry.base import Tables, query
 
 # Rows of lineitem are unique only over all columns; this is the page order of an order's media.
@@ -203,3 +207,13 @@ def _(t: Tables) -> DataFrame:
 @query("e9_prune_count", "SELECT count(*) AS removed FROM orders WHERE o_orderdate < DATE '1998-01-01'")
 def _(t: Tables) -> DataFrame:
     return L.prune_count(order_ledger(t), F.lit("1998-01-01").cast("timestamp"))
+
+
+@query("a4_ledger_folder", f"WITH {_LEDGER_SQL} SELECT gallery_name, delivery_key, min(delivered_us) AS delivered_us FROM led GROUP BY 1, 2")
+def _(t: Tables) -> DataFrame:
+    """The ledger written to a partitioned folder, appended to and read back."""
+    path = f"{scratch_folder(t.spark)}/ledger-{uuid.uuid4().hex}"
+    rows, cut = order_ledger(t), F.lit("1997-01-01").cast("timestamp")
+    append_ledger(L.ledger_add(t.spark.createDataFrame([], L.LEDGER_SCHEMA), rows.filter(F.col("delivered_at") < cut)), path)
+    append_ledger(L.ledger_add(read_ledger(t.spark, path), rows.filter(F.col("delivered_at") >= cut)), path)
+    return read_ledger(t.spark, path).select("gallery_name", "delivery_key", F.unix_micros("delivered_at").alias("delivered_us"))
