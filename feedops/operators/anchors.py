@@ -49,7 +49,10 @@ def _floor_div(value: Column, width: int) -> Column:
 def anchors(events: DataFrame, keys: Sequence[str], time_us: str, gap_us: int, closed: bool = False, *,
             fold_rows: int = FOLD_ROWS, cell_rows: int = CELL_ROWS, chunk_rows: int = CHUNK_ROWS,
             fan_in: int = FAN_IN) -> DataFrame:
-    """Anchor times per key: ``keys..., anchor`` (epoch microseconds)."""
+    """Anchor times per key: ``keys..., anchor`` (epoch microseconds).
+
+    Runs one counting job to find busy keys; everything else stays lazy unless there are some.
+    """
     keys = list(keys)
     gap = strict_gap(gap_us, closed)
     times = events.select(*keys, F.col(time_us).alias("_t"))

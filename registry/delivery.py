@@ -212,7 +212,7 @@ SELECT post_id, ordinal, destination_id, CASE WHEN destination_id IN ('c0', 'c4'
 def _(t: Tables) -> DataFrame:
     known = config(t).select(F.explode("channel_ids").alias("channel_id"))
     rows = D.resolve_destination(deliveries(t), known)
-    return rows.select("post_id", "ordinal", "destination_id", "outcome", "reason", F.size("delivered_media").alias("delivered"), "ack_eligible")
+    return rows.select("post_id", "ordinal", "destination_id", "outcome", "reason", F.size("delivered_media").cast("bigint").alias("delivered"), "ack_eligible")
 
 
 @query("a1_gallery_config", """

@@ -103,7 +103,8 @@ f AS (SELECT l_orderkey, min(attempt) FILTER (decision <> 'retry') AS first_at,
 SELECT l_orderkey, coalesce(decision, CASE WHEN last >= 3 THEN 'exhausted' ELSE 'pending' END) AS verdict, coalesce(first_at, last) AS requests FROM f""")
 def _(t: Tables) -> DataFrame:
     logged = top_k(attempts(t), ["l_orderkey"], [F.col(c) for c in MEDIA_ORDER], 3, rank="attempt")
-    return O.request_verdict(logged.withColumn("decision", H.classify_status(F.col("status"))), ["l_orderkey"])
+    verdicts = O.request_verdict(logged.withColumn("decision", H.classify_status(F.col("status"))), ["l_orderkey"])
+    return verdicts.withColumn("requests", F.col("requests").cast("bigint"))
 
 
 # H8: an order is a medium, its lines are candidates in order; part is the fetch log with up to three attempts per URL.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedops.functions.urls import UrlPolicy
@@ -16,14 +16,18 @@ LINKS_SQL = """links AS (SELECT page_id, url, list_pos, links[list_pos + 1] AS h
  LATERAL (SELECT unnest(generate_series(0, len(links) - 1)) AS list_pos))"""
 
 
+def position() -> Column:
+    return F.col("list_pos").cast("bigint").alias("list_pos")
+
+
 @query("a2_read_pages", "SELECT page_id, url, length(html) AS chars FROM pages")
 def _(t: Tables) -> DataFrame:
-    return read_pages(t.spark, f"{t.folder}/pages.parquet").select("page_id", "url", F.length("html").alias("chars"))
+    return read_pages(t.spark, f"{t.folder}/pages.parquet").select("page_id", "url", F.length("html").cast("bigint").alias("chars"))
 
 
 @query("b1_extract_rows_table", f"WITH {LINKS_SQL} SELECT page_id, list_pos, href, trim(title) AS title, false AS has_image, false AS is_notice FROM links")
 def _(t: Tables) -> DataFrame:
-    return X.extract_rows_table(t.pages, NAV_ROWS).select("page_id", "list_pos", "href", "title", "has_image", "is_notice")
+    return X.extract_rows_table(t.pages, NAV_ROWS).select("page_id", position(), "href", "title", "has_image", "is_notice")
 
 
 @query("b2_extract_rows_hybrid", rf"""WITH {LINKS_SQL}
@@ -31,7 +35,7 @@ SELECT page_id, list_pos, 'hybrid' AS layout, 'https://arca.live' || href AS lin
 def _(t: Tables) -> DataFrame:
     """Links with plain letters count as posts; a page without any would fall back to the second layout."""
     rows = X.extract_rows_hybrid(t.pages, NAV_ROWS, X.ListingSpec("footer a", None, "b"), id_pattern=r"live/([A-Za-z]+)$", need_icon=False)
-    return rows.select("page_id", "list_pos", "layout", "link", F.regexp_extract("link", "live/([A-Za-z]+)$", 1).alias("post_id"))
+    return rows.select("page_id", position(), "layout", "link", F.regexp_extract("link", "live/([A-Za-z]+)$", 1).alias("post_id"))
 
 
 @query("b3_drop_notices", """
