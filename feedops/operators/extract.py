@@ -11,7 +11,6 @@ import re
 import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -141,9 +140,14 @@ def _tree(html: str | None) -> _Node:
     return root
 
 
-@lru_cache(maxsize=256)
+# Compiled selectors of this worker. A plain dict, because the stage travels to workers by value.
+_SELECTORS: dict[str, list] = {}
+
+
 def _compiled(selector: str) -> list[tuple[str, tuple[str, ...], str, str, str]]:
     """Descendant chain of ``tag.class[attr*="x"]`` steps as (tag, classes, attribute, operator, value)."""
+    if selector in _SELECTORS:
+        return _SELECTORS[selector]
     steps = []
     for step in selector.split():
         plain, _, condition = step.rstrip("]").partition("[")
@@ -151,6 +155,7 @@ def _compiled(selector: str) -> list[tuple[str, tuple[str, ...], str, str, str]]
         operator = next((o for o in ("*=", "^=", "=") if o in condition), "")
         name, value = condition.split(operator, 1) if operator else (condition, "")
         steps.append((tag, tuple(classes), name, operator, value.strip("\"'")))
+    _SELECTORS[selector] = steps
     return steps
 
 
