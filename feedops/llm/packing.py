@@ -24,7 +24,7 @@ from feedops.llm.registry import Tables, query
 LENGTH, END_ID = 2048, 1
 GROUP_ROWS, GROUP_PIECES = 1024, 8192
 # Words whose ids a worker remembers: two generations of so many.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 CHUNK = 1000
 
 
