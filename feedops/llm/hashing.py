@@ -82,10 +82,11 @@ def raw(texts: pa.Array, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Hashes of the byte ranges of one slice."""
+    """Hashes of the byte ranges of one slice, or of ranges of other symbols with given ``values``."""
 
-    def __init__(self, data: np.ndarray, lower: bool = False) -> None:
-        values = (_LOWER_VALUES if lower else _BYTE_VALUES)[data]
+    def __init__(self, data: np.ndarray, lower: bool = False, values: np.ndarray | None = None) -> None:
+        if values is None:
+            values = (_LOWER_VALUES if lower else _BYTE_VALUES)[data]
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values * _FORWARD.upto(len(data)), out=self.sums[1:])
         self.back = _BACKWARD.upto(len(data) + 1)
