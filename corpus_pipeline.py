@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedops.llm import mixing, packing, quality
+from feedops.llm import linededup, minhash, mixing, packing, quality
 from feedops.llm.registry import Tables, prepared
 from feedops.session import scratch_folder
 
@@ -22,6 +22,19 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.score(docs, model).where("_score >= 0.5").drop("_score")
 
 
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier document or line has; those of which no word is left go."""
+    prepared(spark)
+    left = linededup.drop_repeated_lines(docs)
+    return left.where(F.col("_repeated").isNull() | F.col("text").rlike(mixing.WORD)).drop("_repeated")
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near-duplicates on shingles of five words."""
+    prepared(spark)
+    return minhash.drop_near_duplicates(docs, size=5)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources repeated or thinned to their targets."""
     prepared(spark)
@@ -34,7 +47,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", good_documents), ("mix", mixed), ("pack", packed)]
+STAGES: list[tuple[str, Stage]] = [("quality", good_documents), ("lines", without_repeated_lines), ("near_duplicates", without_near_duplicates), ("mix", mixed), ("pack", packed)]
 # Tokens, hash orders and a fitted model have no counterpart in SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
