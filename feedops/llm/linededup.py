@@ -140,6 +140,14 @@ def _rolling(data: np.ndarray) -> Rolling:
     return Rolling(data, values=mix(data.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)))
 
 
+def _parities(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each range two 64-bit maps of odd counts: of its characters, and of its pairs of neighbours. An edit changes at most two bits of one, four of the other."""
+    codes = mix(data.astype(np.uint64) + np.uint64(1))
+    pairs = mix(codes[:-1] + codes[1:] * np.uint64(0x9E3779B97F4A7C15)) if len(codes) else codes
+    single, double = (np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << (x >> np.uint64(58)))]) if len(x) else np.zeros(1, np.uint64) for x in (codes, pairs))
+    return (single[end] ^ single[begin]).view(np.int64), (double[np.maximum(end - 1, begin)] ^ double[begin]).view(np.int64)
+
+
 def line_places(docs: DataFrame, min_chars: int) -> DataFrame:
     """(line, id, text_key, number) of every line of at least ``min_chars`` characters; ``line`` is a 64-bit hash, ``id`` the document's, nulls last."""
 
@@ -196,7 +204,7 @@ def segment_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
 
 
 def _line_texts(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
-    """(line, content) of the given lines; a Bloom filter keeps other lines out of the shuffle."""
+    """(line, content, singles, doubles) of the given lines, with their parity maps; a Bloom filter keeps other lines out of the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,9 +215,10 @@ def _line_texts(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
                 long = np.flatnonzero(end - begin >= min_chars)
                 line, index = np.unique(_rolling(data).ranges(begin[long], end[long]).view(np.int64), return_index=True)
                 joined, at = "".join(rows), long[index]
-                yield pa.RecordBatch.from_arrays([pa.array(line), pa.array([joined[x:y] for x, y in zip(begin[at].tolist(), end[at].tolist())], pa.string())], ["line", "content"])
+                content = pa.array([joined[x:y] for x, y in zip(begin[at].tolist(), end[at].tolist())], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(line), content, *map(pa.array, _parities(data, begin[at], end[at]))], ["line", "content", "singles", "doubles"])
 
-    found = docs.select("text").mapInArrow(run, "line long, content string")
+    found = docs.select("text").mapInArrow(run, "line long, content string, singles long, doubles long")
     return _possible(found, "line", lines).join(lines, "line", "left_semi").dropDuplicates(["line"])
 
 
@@ -228,9 +237,13 @@ def late_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars
     live = pinned(live)
     found = _possible(segments, "key", live).join(live, "key", "left_semi").groupBy("key", "line").agg(F.max("held").alias("held"))
     rank = Window.partitionBy("key").orderBy("first")
-    members = pinned(found.join(firsts, "line").withColumn("place", F.row_number().over(rank)).select("key", "line", "held", "place"))
+    found = pinned(found)
+    contents = pinned(_line_texts(docs, found.select("line").distinct(), min_chars))
+    members = found.join(firsts, "line").join(contents.drop("content"), "line").withColumn("place", F.row_number().over(rank))
+    members = pinned(members.select("key", "line", "held", "place", "singles", "doubles"))
     most = members.agg(F.coalesce(F.max("place"), F.lit(0))).first()[0]
-    contents = pinned(_line_texts(docs, members.select("line").distinct(), min_chars))
+    # Lines that differ in more bits than the edits can change are no pair.
+    close = (F.bit_count(F.col("singles").bitwiseXOR(F.col("_singles"))) <= 2 * edits) & (F.bit_count(F.col("doubles").bitwiseXOR(F.col("_doubles"))) <= 4 * edits)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,8 +255,9 @@ def late_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars
         if low > most:
             break
         open_ = members if late is None else members.join(late, "line", "left_anti")
-        earlier = members.where(F.col("place").between(low, high - 1)).select("key", F.col("line").alias("other"), F.col("held").alias("_held"), F.col("place").alias("_place"))
-        pairs = open_.where(F.col("place") > low).join(earlier, "key").where("place > _place and (held or _held)").select("line", "other").distinct()
+        earlier = members.where(F.col("place").between(low, high - 1)).select("key", F.col("line").alias("other"), F.col("held").alias("_held"), F.col("place").alias("_place"),
+                                                                                   F.col("singles").alias("_singles"), F.col("doubles").alias("_doubles"))
+        pairs = open_.where(F.col("place") > low).join(earlier, "key").where("place > _place and (held or _held)").where(close).select("line", "other").distinct()
         pairs = pairs.join(contents.select("line", F.col("content").alias("_x")), "line").join(contents.select(F.col("line").alias("other"), F.col("content").alias("_y")), "other")
         now = pairs.select("line", "_x", "_y").mapInArrow(check, "line long").distinct()
         late = pinned(now if late is None else late.unionByName(now))
