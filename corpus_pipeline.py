@@ -42,9 +42,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 ids."""
+    """Token sequences of at most 2048 ids. The workers already hold what the stages before left them, so they remember fewer words."""
     prepared(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=120_000)
 
 
 STAGES: list[tuple[str, Stage]] = [("quality", good_documents), ("lines", without_repeated_lines), ("near_duplicates", without_near_duplicates), ("mix", mixed), ("pack", packed)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedops.session import pinned
@@ -10,6 +12,12 @@ from feedops.session import pinned
 MAX_ROUNDS = 60
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished rounds now: Spark removes them once their plans are collected as garbage, which a driver seldom does by itself."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node that has a link; ``root`` is the smallest node of its component.
 
@@ -25,6 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         links = pinned(links)
         # Done when the links are stars, which one further round then leaves as they are.
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        release(links.sparkSession)
         if now == before:
             break
         before = now

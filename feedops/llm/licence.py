@@ -43,7 +43,8 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
     "public-domain": ("This is free and unencumbered software released into the public domain.", "This work is dedicated to the public domain under CC0 1.0 Universal."),
 }
 # A paragraph without any of these words holds less than ``CONTAINED`` of every template.
-NEEDED = r"(?i)licen[sc]e|redistribut|unencumbered|public domain|permission is hereby|creative commons"
+NEEDED = (r"(?i)licen[sc]e|redistribut|unencumbered|public domain|permission is hereby|creative commons|free software|general public|modify it under"
+          r"|compliance with|binary forms|following conditions|free of charge|associated documentation|source code form")
 UNKNOWN = "unknown"
 CONTAINED = 0.8
 UNKNOWN_ROWS = 2000

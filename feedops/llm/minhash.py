@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedops.llm import bloom
-from feedops.llm.graph import components
+from feedops.llm.graph import components, release
 from feedops.llm.hashing import as_text, mix, slices, words
 from feedops.llm.registry import Tables, query
 from feedops.session import pinned
@@ -30,6 +30,8 @@ BANDS, ROWS, BITS = 24, 4, 4
 MINIMA = BANDS * ROWS
 # Estimates this far below the threshold are not looked at: more than five standard deviations of an estimate from 96 minima.
 MARGIN = 0.25
+# A document's shingles also mark so many bits; bits that one document alone has bound what two can share.
+MAP_BITS = 2048
 # Up to so many dropped rows (16 bytes each) are sent to every executor; more are joined.
 BROADCAST_ROWS = 2_000_000
 _RANDOM = np.random.default_rng(7)
@@ -65,7 +67,7 @@ def _node(found: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_key, node, n_shingles, bands, packed) per document; node, bands and packed are null without shingles."""
+    """(doc_id, text_key, node, n_shingles, bands, packed, marks) per document; node, bands, packed and marks are null without shingles."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,15 +88,20 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 packed = (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(2, dtype=np.uint64)
                 place = dict(zip(full.tolist(), range(len(full))))
                 keys, packed = keys.view(np.int64), packed.view(np.int64)
+                marks = np.zeros((len(full), MAP_BITS), bool)
+                for i, k in place.items():
+                    marks[k, sets[i] % np.uint64(MAP_BITS)] = True
+                marks = np.packbits(marks, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(a, b - a), batch.column("text_key").slice(a, b - a),
                     pa.array([_node(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([keys[place[i]] if i in place else None for i in range(b - a)], pa.list_(pa.int64())),
-                    pa.array([packed[place[i]] if i in place else None for i in range(b - a)], pa.list_(pa.int64()))],
-                    ["doc_id", "text_key", "node", "n_shingles", "bands", "packed"])
+                    pa.array([packed[place[i]] if i in place else None for i in range(b - a)], pa.list_(pa.int64())),
+                    pa.array([marks[place[i]] if i in place else None for i in range(b - a)], pa.list_(pa.int64()))],
+                    ["doc_id", "text_key", "node", "n_shingles", "bands", "packed", "marks"])
 
     rows = docs.select("doc_id", "text", text_key().alias("text_key"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, text_key long, node binary, n_shingles long, bands array<long>, packed array<long>")
+    return rows.mapInArrow(run, f"doc_id {id_type}, text_key long, node binary, n_shingles long, bands array<long>, packed array<long>, marks array<long>")
 
 
 def text_key() -> Column:
@@ -114,6 +121,15 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - total / F.lit(float(MINIMA))) - chance) / (1 - chance)
 
 
+def may_link(marks_a: Column, size_a: Column, marks_b: Column, size_b: Column, percent: int) -> Column:
+    """False only for pairs that cannot be similar enough: every bit that one set marks alone is a shingle that the other lacks."""
+    def alone(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda s, n: s + n)
+
+    shared = F.least(size_a - alone(marks_a, marks_b), size_b - alone(marks_b, marks_a))
+    return 100 * shared >= percent * (size_a + size_b - shared)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, shingles) for the wanted (node, text_key): sorted 64-bit hashes. A Bloom filter keeps other texts out of the shuffle."""
     keys = wanted.select("text_key").distinct()
@@ -136,9 +152,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose shingle sets are similar enough."""
-    left = classes.select(F.col("node").alias("a"), F.col("packed").alias("_pa"))
-    right = classes.select(F.col("node").alias("b"), F.col("packed").alias("_pb"))
-    near = pairs.join(left, "a").join(right, "b").where(estimate(F.col("_pa"), F.col("_pb")) >= percent / 100 - MARGIN).select("a", "b")
+    left = classes.select(F.col("node").alias("a"), F.col("packed").alias("_pa"), F.col("marks").alias("_ma"), F.col("n").alias("_na"))
+    right = classes.select(F.col("node").alias("b"), F.col("packed").alias("_pb"), F.col("marks").alias("_mb"), F.col("n").alias("_nb"))
+    near = pairs.join(left, "a").join(right, "b").where(estimate(F.col("_pa"), F.col("_pb")) >= percent / 100 - MARGIN)
+    near = near.where(may_link(F.col("_ma"), F.col("_na"), F.col("_mb"), F.col("_nb"), percent)).select("a", "b")
     near = pinned(near)
     nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     sets = pinned(_sets(docs, pinned(nodes.join(classes.select("node", "text_key"), "node")), size))
@@ -160,8 +177,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """(doc_id, text_key, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     rows = pinned(signatures(docs, size))
     classes = pinned(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"),
-                                                                          F.first("bands").alias("bands"), F.first("packed").alias("packed")))
-    keys = classes.select("node", F.explode("bands").alias("bucket"))
+                                                                          F.first("bands").alias("bands"), F.first("packed").alias("packed"), F.first("marks").alias("marks"),
+                                                                          F.min("n_shingles").alias("n")))
+    keys = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = keys.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").drop("last")
     members = pinned(keys.join(shared, "bucket"))
 
@@ -170,24 +188,36 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     def labelled() -> DataFrame:
         """Members of buckets that hold more than one component, with their component and the bucket's first one."""
-        own = members.join(roots, "node", "left").select("bucket", "node", "first", F.coalesce("root", "node").alias("root"))
+        own = members.join(roots, "node", "left").select("bucket", "band", "node", "first", F.coalesce("root", "node").alias("root"))
         open_ = own.groupBy("bucket").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least <> _most").select("bucket")
         return pinned(own.join(open_, "bucket"))
 
+    def merged(pairs: DataFrame) -> DataFrame:
+        """Components with the confirmed ones of ``pairs``: what is known so far is a star per component."""
+        more = pinned(confirmed(docs, classes, _ordered(pairs), size, percent))
+        release(docs.sparkSession)
+        return components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
     # A second star per bucket, around another member.
     left = labelled()
     order = F.struct(F.xxhash64("node", F.lit(2)).alias("place"), "node", "root")
     hubs = left.where("node <> first").groupBy("bucket").agg(F.min(order).alias("hub"))
     star = left.join(hubs, "bucket").where("root <> hub.root and node <> first")
-    links = pinned(links.unionByName(confirmed(docs, classes, _ordered(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))), size, percent)))
-    roots = components(links)
-    # What is still apart: members outside the first member's component, with all members of other components.
+    roots = merged(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
+    # What is still apart: members outside the first member's component, with all members of other components. The bound keeps pairs that cannot be
+    # linked, nearly all of them by now, out of the join's result.
     left = labelled()
     main = left.where("node = first").select("bucket", F.col("root").alias("_main"))
-    apart = left.join(main, "bucket").where("root <> _main").select("bucket", F.col("node").alias("a"), F.col("root").alias("_root"))
-    rest = apart.join(left.select("bucket", F.col("node").alias("b"), "root"), "bucket").where("_root <> root").select("a", "b")
-    links = pinned(links.unionByName(confirmed(docs, classes, _ordered(rest), size, percent)))
-    roots = components(links)
+    sketches = classes.select("node", "marks", "n", "bands")
+    full = pinned(left.join(sketches, "node"))
+    apart = full.join(main, "bucket").where("root <> _main").select("bucket", F.col("node").alias("a"), F.col("root").alias("_root"), F.col("marks").alias("_marks"), F.col("n").alias("_n"),
+                                                                   "band", F.col("bands").alias("_bands"))
+    other = full.select(F.col("bucket").alias("_bucket"), F.col("node").alias("b"), "root", "marks", "n", "bands")
+    close = may_link(F.col("_marks"), F.col("_n"), F.col("marks"), F.col("n"), percent)
+    # A pair is made in the first bucket that it shares, once.
+    again = F.arrays_overlap(F.slice("_bands", F.lit(1), F.col("band")), F.slice("bands", F.lit(1), F.col("band")))
+    rest = apart.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("_root") != F.col("root")) & close & ~again).select("a", "b")
+    roots = merged(rest)
 
     named = classes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

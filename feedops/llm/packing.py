@@ -37,7 +37,7 @@ class WordIds:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {"": b""}, {}
+        self.tokenizer, self.young, self.old, self.most = Tokenizer.from_file(path), {"": b""}, {}, CACHE_WORDS
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -59,7 +59,7 @@ class WordIds:
         """Make sure that the ids of all ``words`` are remembered."""
         young, old = self.young, self.old
         missing = words - young.keys()
-        if len(young) + len(missing) > CACHE_WORDS:
+        if len(young) + len(missing) > self.most:
             self.old = old = young
             self.young = young = {"": b""}
             missing = words
@@ -100,11 +100,12 @@ class WordIds:
         return [b"".join(map(get, row)) for row in rows]
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, cache_words: int) -> WordIds:
     """The worker's own ``WordIds``, kept from task to task."""
     home = sys.modules.setdefault("_packing_word_ids", types.ModuleType("_packing_word_ids"))
     if path not in home.__dict__:
         home.__dict__[path] = WordIds(path)
+    home.__dict__[path].most = cache_words
     return home.__dict__[path]
 
 
@@ -129,7 +130,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, used
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, group_rows: int = GROUP_ROWS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset) per piece; ``ids`` are little-endian unsigned 32-bit.
 
     One shuffle, of the texts. Sorting within partitions fixes the order in a group, so a repeated task gives the same sequences.
@@ -145,7 +146,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        ids, schema = word_ids(tokenizer_path), [to_arrow_type(id_type), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        ids, schema = word_ids(tokenizer_path, cache_words), [to_arrow_type(id_type), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         pending: list[tuple] = []
         group, sequence = None, 0
 
