@@ -16,7 +16,6 @@ from feedops.session import pinned
 # The marks of the template.
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED_ROLE = "assistant"
-MAX_DOUBLINGS = 40
 
 
 def escape(text: Column) -> Column:
@@ -47,7 +46,8 @@ def branches(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     jumps = jumps.select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("length"))
     jumps = pinned(jumps.join(inner.withColumn("_inner", F.lit(True)), ["tree", "node"], "left").withColumn("leaf", F.col("_inner").isNull()).drop("_inner"))
     done, levels = jumps.where("leaf and up is null"), []
-    for _ in range(MAX_DOUBLINGS):
+    # No path is longer than the number of nodes; what is still open after that many doublings runs in a circle.
+    for _ in range(jumps.count().bit_length() + 1):
         open_ = jumps.where("up is not null")
         if open_.isEmpty():
             break

@@ -2,7 +2,7 @@
 
 A multinomial logistic regression is fitted to paragraphs made from the licence templates (whole, shortened, and with corpus paragraphs around them) and, as
 unknown, to paragraphs of the corpus. Features are the words and word pairs of the templates, so a paragraph without any of them has no feature and is
-unknown; a pattern of the words that every template needs keeps such documents away from the classifier. A prediction counts if its probability reaches the
+unknown. A paragraph without any of the words that make a notice is none, which keeps most documents away from the classifier. A prediction counts if its probability reaches the
 cut that was calibrated on held-out training rows, and if the paragraph holds enough of a template of that family.
 
 Only DataFrame functions and Spark's own estimators; no code of ours runs on the executors. The fit uses at most ``UNKNOWN_ROWS`` corpus paragraphs, a
@@ -42,7 +42,7 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "public-domain": ("This is free and unencumbered software released into the public domain.", "This work is dedicated to the public domain under CC0 1.0 Universal."),
 }
-# A paragraph without any of these words holds less than ``CONTAINED`` of every template.
+# A paragraph is a notice only if it holds one of these words; every template does.
 NEEDED = (r"(?i)licen[sc]e|redistribut|unencumbered|public domain|permission is hereby|creative commons|free software|general public|modify it under"
           r"|compliance with|binary forms|following conditions|free of charge|associated documentation|source code form")
 UNKNOWN = "unknown"

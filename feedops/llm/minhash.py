@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 keys = np.full((len(full), BANDS), 1, np.uint64) * np.arange(1, BANDS + 1, dtype=np.uint64)
                 for r in range(ROWS):
                     keys = mix(keys + banded[:, :, r] * _PLACE[r + 1])
-                low = (mix(minima) & np.uint64((1 << BITS) - 1)).reshape(len(full), -1, 64 // BITS)
+                low = (mix(minima) & np.uint64((1 << BITS) - 1)).reshape(len(full), MINIMA * BITS // 64, 64 // BITS)
                 packed = (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(2, dtype=np.uint64)
                 place = dict(zip(full.tolist(), range(len(full))))
                 keys, packed = keys.view(np.int64), packed.view(np.int64)
