@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from feedops.functions.labels import display_link, display_title, footer
 
 POST = ("source", "gallery", "post_id")
+# Settings tables up to so many rows are sent to every executor.
+BROADCAST_ROWS = 50_000
 # Transports, outcomes and reasons.
 DISCORD, TELEGRAM, WEB = "discord", "telegram", "web_gallery"
 SUCCEEDED, FAILED, PARTIAL, SKIPPED, QUEUED = "succeeded", "failed", "partial", "skipped", "queued"
@@ -18,10 +20,15 @@ SUCCEEDED, FAILED, PARTIAL, SKIPPED, QUEUED = "succeeded", "failed", "partial",
 def attach_gallery_config(posts: DataFrame, config: DataFrame) -> DataFrame:
     """D3: add base_url, channel_ids and the configured type; posts of unknown galleries drop out.
 
-    The config has one row per gallery; the planner broadcasts it when its measured size allows.
+    The config has one row per gallery and is counted: a join by gallery would gather a busy gallery's posts in one task.
     """
     wanted = config.select("gallery", "base_url", "channel_ids", F.col("source").alias("config_source"))
-    return posts.join(wanted, "gallery", "inner")
+    return posts.join(counted_broadcast(wanted), "gallery", "inner")
+
+
+def counted_broadcast(few: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``few``, to be sent to every executor if it has at most ``most`` rows; the count is a job of its own. Else the planner joins as it sees fit."""
+    return F.broadcast(few) if few.count() <= most else few
 
 
 def delivery_outcome(requested: Column, delivered: Column) -> Column:
@@ -113,7 +120,7 @@ def merge_results(*results: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 def resolve_destination(deliveries: DataFrame, channels: DataFrame) -> DataFrame:
     """A destination that is not a known channel fails, and still counts as eligible."""
     known = channels.select(F.col("channel_id").alias("_known")).distinct()
-    joined = deliveries.join(known, deliveries["destination_id"] == known["_known"], "left_outer")
+    joined = deliveries.join(counted_broadcast(known), deliveries["destination_id"] == known["_known"], "left_outer")
     missing = F.col("_known").isNull()
     return (
         joined.withColumn("outcome", F.when(missing, F.lit(FAILED)).otherwise(F.col("outcome")))

@@ -48,11 +48,19 @@ def cap_media_per_post(media: DataFrame, by: Sequence[str], order: Sequence[str]
     return top_k(media, by, [F.col(c) for c in order], cap).withColumn("media_idx", F.col("_rank") - 1).drop("_rank")
 
 
-def assign_batches(media: DataFrame, by: Sequence[str], order: Sequence[str], size: int = 10, cap: int = 4) -> DataFrame:
-    """C4: message batches of a post's capped media: ``media_idx``, ``batch_idx`` and the batch's ``start_index``."""
-    capped = cap_media_per_post(media, by, order, cap)
+def number_media(media: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """All media of a post with their 0-based index ``media_idx`` in page order; a post's media come from one page."""
+    return media.withColumn("media_idx", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+
+
+def assign_batches(media: DataFrame, by: Sequence[str], order: Sequence[str], size: int = 10, cap: int | None = None) -> DataFrame:
+    """C4: message batches of a post's media: ``media_idx``, ``batch_idx`` and the batch's ``start_index``.
+
+    All media are kept, unless a ``cap`` per post is asked for (C3).
+    """
+    numbered = number_media(media, by, order) if cap is None else cap_media_per_post(media, by, order, cap)
     batch = F.floor(F.col("media_idx") / size)
-    return capped.withColumn("batch_idx", batch).withColumn("start_index", batch * size)
+    return numbered.withColumn("batch_idx", batch).withColumn("start_index", batch * size)
 
 
 def newest_feed(items: DataFrame, limit: int = 60, created: str = "created_us", seq: str = "seq") -> DataFrame:

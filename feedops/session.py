@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,11 +50,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a laptop, the tests) gets a temporary one.
+    Only a session within one process (a laptop, the tests) may name none and gets a temporary one; executors elsewhere could not read it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = context.getConf().get("spark.checkpoint.dir", None)
+        if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="feedops-checkpoint-"))
     return context.getCheckpointDir()
 

@@ -22,11 +22,11 @@ CONFIG_SQL = """config AS (SELECT * FROM (VALUES ('g0', 'https://a.example/g0',
  ('g1', 'https://a.example/g1', ['c2'], 'arcalive'), ('g2', 'https://a.example/g2', ['c3', 'c1', 'c9'], 'dcinside')) AS c(gallery, base_url, channel_ids, config_source))"""
 # A medium is identified by its line's attributes.
 MEDIA_ID_SQL = "l_partkey || '-' || l_suppkey || '-' || l_linenumber"
-BATCH, CAP = 3, 8
+BATCH = 3
 MEDIA_SQL = f"""{CONFIG_SQL},
 m0 AS (SELECT CAST(l_orderkey AS VARCHAR) AS post_id, 'g' || l_orderkey % 4 AS gallery, {MEDIA_ID_SQL} AS media_id, 'title ' || l_orderkey AS title,
   'https://a.example/' || l_orderkey AS link, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {MEDIA_ORDER_SQL}) - 1 AS BIGINT) AS media_idx FROM lineitem),
-m AS (SELECT *, media_idx // {BATCH} AS batch_idx FROM m0 WHERE media_idx < {CAP})"""
+m AS (SELECT *, media_idx // {BATCH} AS batch_idx FROM m0)"""
 
 
 def config(t: Tables) -> DataFrame:
@@ -39,7 +39,7 @@ def batched_media(t: Tables) -> DataFrame:
         F.lit("board").alias("source"), F.concat(F.lit("g"), (F.col("l_orderkey") % 4).cast("string")).alias("gallery"),
         F.col("l_orderkey").cast("string").alias("post_id"), F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber").alias("media_id"),
         F.concat(F.lit("title "), "l_orderkey").alias("title"), F.concat(F.lit("https://a.example/"), "l_orderkey").alias("link"), *MEDIA_ORDER)
-    batched = S.assign_batches(media, D.POST, MEDIA_ORDER, BATCH, CAP).drop(*MEDIA_ORDER)
+    batched = S.assign_batches(media, D.POST, MEDIA_ORDER, BATCH).drop(*MEDIA_ORDER)
     return batched.withColumn("media_idx", F.col("media_idx").cast("bigint")).withColumn("batch_idx", F.col("batch_idx").cast("bigint"))
 
 

@@ -132,9 +132,9 @@ def _(t: Tables) -> DataFrame:
 @query("c4_assign_batches", f"""
 WITH m AS (SELECT l_orderkey, l_partkey, l_suppkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {MEDIA_ORDER_SQL}) - 1 AS BIGINT) AS media_idx
  FROM lineitem)
-SELECT l_orderkey, l_partkey, l_suppkey, media_idx, media_idx // 3 AS batch_idx, media_idx // 3 * 3 AS start_index FROM m WHERE media_idx < 8""")
+SELECT l_orderkey, l_partkey, l_suppkey, media_idx, media_idx // 3 AS batch_idx, media_idx // 3 * 3 AS start_index FROM m""")
 def _(t: Tables) -> DataFrame:
-    batched = S.assign_batches(t.lineitem, ["l_orderkey"], MEDIA_ORDER, size=3, cap=8)
+    batched = S.assign_batches(t.lineitem, ["l_orderkey"], MEDIA_ORDER, size=3)
     return batched.select("l_orderkey", "l_partkey", "l_suppkey", *[F.col(c).cast("bigint").alias(c) for c in ("media_idx", "batch_idx", "start_index")])
 
 

@@ -75,7 +75,9 @@ def _(t: Tables) -> DataFrame:
     arrivals = incoming(t, "events").select(F.col("event_id").alias("seq"), micros(F.col("ts")).alias("created_us"),
                                             F.round(F.col("value") * 1000).cast("bigint").alias("bytes"))
     jobs.stream_recent_store(arrivals, t.spark, out, checkpoint, ttl_seconds=TTL, max_items=MAX_ITEMS, max_bytes=MAX_BYTES).awaitTermination()
-    return t.spark.read.schema("seq bigint, created_us bigint, bytes bigint").parquet(f"{out}/batch=0")
+    stored = t.spark.read.schema("seq bigint, created_us bigint, bytes bigint, batch bigint").parquet(out)
+    newest = stored.agg(F.max("batch")).first()[0]  # every batch holds the whole bounded store; the last one counts
+    return stored.where(F.col("batch") == newest).drop("batch")
 
 
 @query("k5_stream_like_counts", _limit_sql(WINDOW, LIMIT) + " SELECT image_id, count(DISTINCT user_id) AS likes FROM judged WHERE NOT limited GROUP BY 1")

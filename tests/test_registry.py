@@ -37,7 +37,7 @@ def plan(spark, name):
     return QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["unseen_posts_selection", "c1_moderation_holdback", "c3_cap_media_per_post", "c4_assign_batches", "f2_dedup_within_post",
+@pytest.mark.parametrize("name", ["unseen_posts_selection", "c1_moderation_holdback", "c3_cap_media_per_post", "f2_dedup_within_post",
                                   "f5_dedup_anchored", "g1_rate_limit", "h8_resolve_candidates"])
 def test_windows_are_limited_before_the_shuffle(spark, name):
     text = plan(spark, name)
