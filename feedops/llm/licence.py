@@ -60,7 +60,7 @@ def tokens(text: Column) -> Column:
 
 def grams(words: Column) -> Column:
     """Words and pairs of neighbouring words."""
-    pairs = F.zip_with(words, F.slice(words, 2, 1_000_000), lambda a, b: F.concat(a, F.lit(" "), b))
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
 
