@@ -109,8 +109,20 @@ def backoff_delay(attempt: Column, policy: RetryPolicy = PAGE_POLICY, seed: int
     return F.when(attempt >= 1, F.least(F.lit(policy.max_delay), raw))
 
 
+# Hours from UTC of the named zones in mail dates; other names count as UTC.
+ZONE_HOURS = {"AST": -4, "ADT": -3, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
+# Dates without a zone: ``Wed Jan  1 03:04:05 2025``.
+_ASCTIME = r"(?i)^(?:[a-z]+\s+)?([a-z]{3})\s+(\d{1,2})\s+(\d{1,2}:\d{2}(?::\d{2})?)\s+(\d{4})$"
+
+
+def _zone_minutes(name: Column) -> Column:
+    hours = F.element_at(F.create_map(*[F.lit(v) for pair in ZONE_HOURS.items() for v in pair]), F.upper(name))
+    return F.coalesce(hours, F.lit(0)) * 60
+
+
 def _http_date_us(text: Column) -> Column:
-    """Epoch microseconds of ``[Day,] 02 Jan 2025 03:04:05 GMT|+HHMM``; NULL if it is not such a date."""
+    """Epoch microseconds of ``[Day,] 02 Jan 2025 03:04:05 GMT|EST|+HHMM`` or ``[Day] Jan 02 03:04:05 2025``; NULL if it is not such a date."""
+    text = F.regexp_replace(text, _ASCTIME, "$2 $1 $4 $3 GMT")
     pattern = r"(?i)^(?:[a-z]+,?\s+)?(\d{1,2})[\s-]([a-z]{3})[a-z]*[\s-](\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([a-z]*|[+-]\d{4})$"
 
     def moment(p: Column) -> Column:
@@ -124,7 +136,7 @@ def _http_date_us(text: Column) -> Column:
             zone.rlike(r"^[+-]"),
             (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int"))
             * F.when(zone.startswith("-"), F.lit(-1)).otherwise(1),
-        ).otherwise(F.lit(0))
+        ).otherwise(_zone_minutes(zone))
         at = F.try_make_timestamp(year, _month(F.get(p, F.lit(1))), number(0), number(3), number(4),
                                   F.coalesce(number(5), F.lit(0)).cast("decimal(16,6)"), F.lit("UTC"))
         return F.unix_micros(at) - offset.cast("bigint") * 60_000_000
@@ -141,7 +153,7 @@ def _month(name: Column) -> Column:
 def parse_retry_after(value: Column, now_us: Column) -> Column:
     """H5: seconds to wait from a header value in seconds or as an HTTP date; NULL when absent, invalid or past."""
     text = F.trim(F.coalesce(value, F.lit("")))
-    seconds = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double")).otherwise(
+    seconds = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^(?i)[+-]?inf(inity)?$"), text.try_cast("double")).otherwise(
         (_http_date_us(text) - now_us) / 1_000_000
     )
     return F.when(seconds >= 0, seconds)

@@ -108,8 +108,8 @@ def new_outbox_rows(messages: DataFrame, sent: DataFrame) -> DataFrame:
 
 
 def message_key() -> Column:
-    """Identity of one message; per-medium transports differ by their media."""
-    media = F.when(F.col("transport") == "discord", F.lit("")).otherwise(F.array_join("requested_media", ","))
+    """Identity of one message. Its media are part of it: after a partial delivery, the message with the media still missing is another one."""
+    media = F.array_join(F.array_sort("requested_media"), "\x1e")
     parts = ["source", "gallery", "post_id", F.col("batch_idx").cast("string"), "transport", "destination_id", media]
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 

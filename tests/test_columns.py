@@ -112,6 +112,10 @@ def test_retry_after(one):
     cases = {"12": 12.0, " 12 ": 12.0, "Wed, 01 Jan 2025 00:00:30 GMT": 30.0, "01 Jan 2025 00:00:30 +0000": 30.0, "": None, "-1": None, "junk": None, "1e1": 10.0,
              "Tue, 31 Dec 2024 23:00:00 GMT": None, "12d": None, "Wed, 99 Jan 2025 00:00:30 GMT": None}
     assert one(*[fetch.parse_retry_after(L(v), L(now)) for v in cases]) == tuple(cases.values())
+    forms = {"Wed, 01 Jan 2025 00:00:30 EST": 18_030.0, "Wed, 01 Jan 2025 12:00:30 pdt": 68_430.0, "Wed Jan  1 00:00:30 2025": 30.0, "Jan 1 00:00:30 2025": 30.0,
+             "01 Jan 2025 00:00:30 XYZ": 30.0, "inf": float("inf"), "+Infinity": float("inf"), "-inf": None, "nan": None}
+    assert one(*[fetch.parse_retry_after(L(v), L(now)) for v in forms]) == tuple(forms.values())
+    assert one(fetch.retry_delay(L(1), L(429), L("inf"), L(now)), L(0))[0] == 4.0
     headers = F.create_map(L("RETRY-after"), L("7"))
     value = fetch.header(headers, "Retry-After")
     assert one(fetch.retry_delay(L(1), L(429), value, L(now), fetch.RetryPolicy()), fetch.retry_delay(L(1), L(503), value, L(now), fetch.RetryPolicy()),

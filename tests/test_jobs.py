@@ -79,6 +79,15 @@ def test_outbox_is_idempotent(spark, tmp_path):
     assert tables.new_outbox_rows(messages, sent).count() == 0
 
 
+def test_outbox_sends_what_a_partial_delivery_left(spark):
+    def offered(*media):
+        return table(spark, [("s", "g", "1", 0, "discord", "c", list(media), True)], tables.OUTBOX_SCHEMA)
+
+    sent = offered("a", "b").withColumn("message_key", tables.message_key())
+    assert [r.requested_media for r in tables.new_outbox_rows(offered("b"), sent).collect()] == [["b"]]
+    assert tables.new_outbox_rows(offered("b", "a"), sent).count() == 0
+
+
 @pytest.fixture
 def landing(spark, tmp_path):
     """Events of the smallest scale in six files, in time order by file name and shuffled inside."""
