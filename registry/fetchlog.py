@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedops.functions import fetch as H
@@ -11,7 +11,6 @@ from feedops.functions.media import oversize_reason
 from feedops.functions.urls import SINGLE_MEDIA
 from feedops.operators import fetchlog as O
 from feedops.operators.dedup import dedup_urls_within_post
-from feedops.operators.select import top_k
 from registry.base import Tables, query
 from registry.selection import MEDIA_ORDER, MEDIA_ORDER_SQL
 
@@ -27,6 +26,11 @@ def pick(values: list, index):
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
+def _numbered(lines: DataFrame, rank: str) -> DataFrame:
+    """All lines of an order, numbered from 1; the operators cut where their rules say so."""
+    return lines.withColumn(rank, F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*MEDIA_ORDER)))
+
+
 def attempts(t: Tables) -> DataFrame:
     return t.lineitem.withColumn("status", pick(STATUSES, F.col("l_partkey") % 9)).withColumn(
         "retry_after", pick(RETRY_AFTER, F.col("l_suppkey") % 10))
@@ -40,7 +44,7 @@ def _(t: Tables) -> DataFrame:
 CHALLENGE_SQL = """b AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Text/HTML; charset=utf-8' ELSE 'text/plain' END AS content_type,
  CASE WHEN doc_id % 3 = 0 THEN '<HTML>' ELSE '' END || text || CASE doc_id % 5 WHEN 0 THEN ' Just a Moment... CloudFlare' WHEN 1 THEN ' just a moment' WHEN 2 THEN ' __CF_chl_x' ELSE '' END AS body,
  CASE WHEN doc_id % 4 = 0 THEN 503 ELSE 200 END AS status FROM documents),
-l AS (SELECT *, lower(left(body, 131072)) AS low FROM b),
+l AS (SELECT *, lower(body) AS low FROM b),
 c AS (SELECT *, (contains(lower(content_type), 'html') OR contains(low, '<html')) AND (contains(low, '/cdn-cgi/challenge-platform/') OR contains(low, '__cf_chl_') OR contains(low, 'cf-chl-')
  OR contains(low, 'cloudflare ray id') OR contains(low, 'attention required! | cloudflare') OR (contains(low, 'just a moment') AND contains(low, 'cloudflare'))) AS challenge FROM l)"""
 
@@ -102,7 +106,7 @@ d AS (SELECT *, {DECISION_SQL} AS decision FROM a WHERE attempt <= 3),
 f AS (SELECT l_orderkey, min(attempt) FILTER (decision <> 'retry') AS first_at, max(attempt) AS last, arg_min(decision, attempt) FILTER (decision <> 'retry') AS decision FROM d GROUP BY 1)
 SELECT l_orderkey, coalesce(decision, CASE WHEN last >= 3 THEN 'exhausted' ELSE 'pending' END) AS verdict, coalesce(first_at, last) AS requests FROM f""")
 def _(t: Tables) -> DataFrame:
-    logged = top_k(attempts(t), ["l_orderkey"], [F.col(c) for c in MEDIA_ORDER], 3, rank="attempt")
+    logged = _numbered(attempts(t), "attempt")
     verdicts = O.request_verdict(logged.withColumn("decision", H.classify_status(F.col("status"))), ["l_orderkey"])
     return verdicts.withColumn("requests", F.col("requests").cast("bigint"))
 
@@ -116,9 +120,9 @@ dec AS (SELECT *, {DECISION_SQL} AS decision FROM tries),
 fetched AS (SELECT p_partkey, any_value(p_size) AS p_size, min(attempt) FILTER (decision <> 'retry') AS at, arg_min(decision, attempt) FILTER (decision <> 'retry') AS decision FROM dec GROUP BY 1),
 tried AS (SELECT c.l_orderkey, c.url, c.cand_rank, c.l_partkey, starts_with(c.url, 'https') AND l_suppkey % 7 <> 0 AS allowed, coalesce(f.at, 3) AS requests, coalesce(f.decision, 'exhausted') AS verdict,
  f.p_size % 11 <> 0 AS size_ok, f.p_size % 13 <> 0 AS valid, [NULL, 'jpg', 'png', 'gif', 'webp'][1 + f.p_size % 5] AS ext, [NULL, 'image', 'image/JPEG', 'png'][1 + c.l_linenumber % 4] AS expected
- FROM cands c JOIN fetched f ON f.p_partkey = c.l_partkey WHERE cand_rank < 4),
+ FROM cands c JOIN fetched f ON f.p_partkey = c.l_partkey),
 spent AS (SELECT *, sum(CASE WHEN allowed THEN requests ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY cand_rank) AS spent,
- allowed AND verdict = 'success' AND size_ok AND valid AND ext IS NOT NULL AND (expected IS NULL OR expected = 'image' OR (expected = 'image/JPEG' AND ext = 'jpg') OR expected = ext) AS usable FROM tried),
+ allowed AND verdict = 'success' AND size_ok AND valid AND ext IS NOT NULL AND (expected IS NULL OR expected = 'image' OR (expected = 'image/JPEG' AND ext = 'jpg') OR expected = ext) AS usable FROM tried WHERE cand_rank < 4),
 h8 AS (SELECT l_orderkey, CASE WHEN count(*) FILTER (usable AND spent <= 6) > 0 THEN 'chosen' WHEN bool_or(spent > 6) THEN 'budget_exceeded'
  WHEN bool_or(allowed AND verdict = 'exhausted') THEN 'exhausted' ELSE 'rejected' END AS verdict, arg_min(url, cand_rank) FILTER (usable AND spent <= 6) AS chosen_url FROM spent GROUP BY 1)"""
 
@@ -128,7 +132,7 @@ def chain_candidates(t: Tables) -> DataFrame:
                    F.when(F.col("l_suppkey") % 7 == 0, F.lit("x")).otherwise(""), (F.col("l_partkey") % 1000).cast("string"),
                    F.lit(".dcinside.com/"), F.col("l_partkey").cast("string"))
     firsts = dedup_urls_within_post(t.lineitem.withColumn("url", url), ["l_orderkey"], "url", MEDIA_ORDER)
-    ranked = top_k(firsts, ["l_orderkey"], [F.col(c) for c in MEDIA_ORDER], O.MAX_CANDIDATES)
+    ranked = _numbered(firsts, "_rank")
     expected = pick([None, "image", "image/JPEG", "png"], F.col("l_linenumber") % 4)
     return ranked.select("l_orderkey", "url", "l_partkey", (F.col("_rank") - 1).alias("cand_rank"), expected.alias("expected_media_type"))
 
