@@ -31,29 +31,40 @@ def media_of_posts(post_pages: DataFrame, profile: SourceProfile) -> DataFrame:
                          F.lit("image").alias("expected_media_type"))
 
 
-def fetched_urls(fetch_log: DataFrame, policy: RetryPolicy = PAGE_POLICY, limits: MediaLimits = MediaLimits()) -> DataFrame:
+def fetched_urls(fetch_log: DataFrame, policy: RetryPolicy = PAGE_POLICY, limits: MediaLimits = MediaLimits(),
+                 request: str | None = None) -> DataFrame:
     """One row per URL: verdict, requests, and what the deciding answer's bytes are.
 
-    Bytes are reduced to type, hash and size before the group-by, so no content is shuffled.
+    ``request`` names a column that grows from poll to poll, in a log that holds several runs of one URL: each run is
+    judged on its own, and the latest counts. Bytes are reduced to type, hash and size before the group-by, so no content is shuffled.
     """
+    runs = [request] if request else []
     ext = sniff_type(F.col("content"))
     dims = image_dims(F.col("content"), ext)
     described = fetch_log.select(
-        "url", "attempt", classify_attempt(F.col("error_kind"), F.col("status"), policy).alias("decision"),
+        "url", *runs, "attempt", classify_attempt(F.col("error_kind"), F.col("status"), policy).alias("decision"),
         oversize_reason(F.col("declared_length"), F.octet_length("content"), limits.download_bytes).isNull().alias("size_ok"),
         ext.alias("ext"), content_hash(F.col("content")).alias("content_hash"), F.octet_length("content").alias("size"), dims.alias("_d"),
     ).withColumn("valid", pixel_gate(F.col("_d.width"), F.col("_d.height"), limits.source_pixels))
-    return request_verdict(described, ["url"], policy, carry=["size_ok", "ext", "valid", "content_hash", "size"])
+    judged = request_verdict(described, ["url", *runs], policy, carry=["size_ok", "ext", "valid", "content_hash", "size"])
+    if not runs:
+        return judged
+    facts = [c for c in judged.columns if c not in ("url", request)]
+    latest = judged.groupBy("url").agg(F.max(F.struct(request, *facts)).alias("_run"))
+    return latest.select("url", *[F.col(f"_run.{c}").alias(c) for c in facts])
 
 
 def resolve_media(media: DataFrame, fetch_log: DataFrame, ledger: DataFrame, profile: SourceProfile,
-                  policy: RetryPolicy = PAGE_POLICY, limits: MediaLimits = MediaLimits()) -> DataFrame:
-    """Every medium with status, chosen URL, content hash and corrected file name."""
+                  policy: RetryPolicy = PAGE_POLICY, limits: MediaLimits = MediaLimits(), request: str | None = None) -> DataFrame:
+    """Every medium with status, chosen URL, content hash and corrected file name; ``request`` as in ``fetched_urls``."""
     keys = [*POST, "media_idx"]
-    fetched = fetched_urls(fetch_log, policy, limits)
+    fetched = fetched_urls(fetch_log, policy, limits, request)
     verdicts = resolve_candidates(ranked_candidates(media.drop("filename_hint")), fetched, keys, profile.policy)
-    chosen = fetched.select(F.col("url").alias("chosen_url"), "content_hash", "size", "ext")
-    resolved = media.select(*keys, "filename_hint").join(verdicts, keys, "inner").join(chosen, "chosen_url", "left_outer")
+    chosen = fetched.select(F.col("url").alias("_of"), "content_hash", "size", "ext")
+    # Media without a URL match nothing; a key of their own spreads them over all tasks.
+    of = F.coalesce("chosen_url", F.concat_ws("\x1f", F.lit(""), *[F.col(k).cast("string") for k in keys]))
+    resolved = media.select(*keys, "filename_hint").join(verdicts, keys, "inner").withColumn("_wanted", of)
+    resolved = resolved.join(chosen, F.col("_wanted") == F.col("_of"), "left_outer").drop("_wanted", "_of")
     known = seen_media(resolved, ledger).select(*keys).withColumn("_seen", F.lit(True))
     marked = resolved.join(known, keys, "left_outer")
     return marked.select(

@@ -170,3 +170,13 @@ def test_stream_scan_events(spark, landing, tmp_path):
     jobs.stream_scan_events(log(incoming(spark, landing)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     want = scanlog.scan_events(log(spark.read.parquet(landing)))
     assert rows(tables.read_scan_events(spark, str(tmp_path / "out")), "event_id", "timestamp") == rows(want, "event_id", "timestamp")
+
+
+def test_latest_run_of_a_url_counts(spark):
+    from feedops.plans.media import fetched_urls
+
+    runs = {"a": [(1, 1, 404), (2, 1, 200)], "b": [(1, 1, 503), (1, 2, 503), (1, 3, 503), (2, 1, 200)], "c": [(1, 1, 200), (2, 1, 404)]}
+    log = table(spark, [(u, r, n, status, None, None, bytearray(b"x")) for u, rows in runs.items() for r, n, status in rows],
+                "url string, request_id int, attempt int, status int, error_kind string, declared_length string, content binary")
+    found = {r.url: (r.verdict, r.requests) for r in fetched_urls(log, request="request_id").collect()}
+    assert found == {"a": ("success", 1), "b": ("success", 1), "c": ("permanent_failure", 1)}
