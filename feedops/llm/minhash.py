@@ -108,26 +108,42 @@ def text_key() -> Column:
     return F.xxhash64("text")
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity from two packed signatures, corrected for low bits that agree by chance."""
-    def unequal(pair: Column) -> Column:
-        x = pair["a"].bitwiseXOR(pair["b"])
+# A class's signature, marks, size, and how many of its shingles have no bit of their own, as plain longs: generated code compares them without arrays.
+LANES, MAP_WORDS = MINIMA * BITS // 64, MAP_BITS // 64
+SKETCH = [*(f"p{i}" for i in range(LANES)), *(f"m{i}" for i in range(MAP_WORDS)), "size", "spare"]
+
+
+def sketch(prefix: str) -> list[Column]:
+    """``SKETCH`` of rows with packed, marks and n; never null, so that comparing needs no null checks either."""
+    marked = F.aggregate("marks", F.lit(0).cast("long"), lambda s, m: s + F.bit_count(m))
+    values = [*(F.col("packed")[i] for i in range(LANES)), *(F.col("marks")[i] for i in range(MAP_WORDS)), F.col("n"), F.col("n") - marked]
+    return [F.coalesce(v, F.lit(0).cast("long")).alias(prefix + name) for v, name in zip(values, SKETCH)]
+
+
+def estimate(a: str, b: str) -> Column:
+    """Similarity from the signatures of two sketches, given by their prefixes, corrected for low bits that agree by chance."""
+    total = F.lit(0)
+    for i in range(LANES):
+        x = F.col(f"{a}p{i}").bitwiseXOR(F.col(f"{b}p{i}"))
         for k in (1, 2):  # a lane of four bits is left with its lowest bit set where any of them was
             x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-        return F.bit_count(x.bitwiseAND(F.lit(int(_ONES)))).cast("long")
-
-    total = F.aggregate(F.arrays_zip(a.alias("a"), b.alias("b")), F.lit(0).cast("long"), lambda s, p: s + unequal(p))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(int(_ONES))))
     chance = 0.5**BITS
     return ((1 - total / F.lit(float(MINIMA))) - chance) / (1 - chance)
 
 
-def may_link(marks_a: Column, size_a: Column, marks_b: Column, size_b: Column, percent: int) -> Column:
-    """False only for pairs that cannot be similar enough: every bit that one set marks alone is a shingle that the other lacks."""
-    def alone(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda s, n: s + n)
+def may_link(a: str, b: str, percent: int) -> Column:
+    """False only for sketches that cannot be similar enough: every bit that one set marks alone is a shingle that the other lacks."""
+    both = F.lit(0)
+    for i in range(MAP_WORDS):
+        both = both + F.bit_count(F.col(f"{a}m{i}").bitwiseAND(F.col(f"{b}m{i}")))
+    shared = F.least(F.col(f"{a}spare"), F.col(f"{b}spare")) + both
+    return 100 * shared >= percent * (F.col(f"{a}size") + F.col(f"{b}size") - shared)
+
 
-    shared = F.least(size_a - alone(marks_a, marks_b), size_b - alone(marks_b, marks_a))
-    return 100 * shared >= percent * (size_a + size_b - shared)
+def alike(a: str, b: str, percent: int) -> Column:
+    """Whether signatures, then marks, leave room for a link."""
+    return (estimate(a, b) >= percent / 100 - MARGIN) & may_link(a, b, percent)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -150,12 +166,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets are similar enough."""
-    left = classes.select(F.col("node").alias("a"), F.col("packed").alias("_pa"), F.col("marks").alias("_ma"), F.col("n").alias("_na"))
-    right = classes.select(F.col("node").alias("b"), F.col("packed").alias("_pb"), F.col("marks").alias("_mb"), F.col("n").alias("_nb"))
-    near = pairs.join(left, "a").join(right, "b").where(estimate(F.col("_pa"), F.col("_pb")) >= percent / 100 - MARGIN)
-    near = near.where(may_link(F.col("_ma"), F.col("_na"), F.col("_mb"), F.col("_nb"), percent)).select("a", "b")
+def near(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sketches leave room for a link."""
+    left, right = classes.select(F.col("node").alias("a"), *sketch("_a_")), classes.select(F.col("node").alias("b"), *sketch("_b_"))
+    return pairs.join(left, "a").join(right, "b").where(alike("_a_", "_b_", percent)).select("a", "b")
+
+
+def confirmed(docs: DataFrame, classes: DataFrame, near: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs ``near`` (a, b) whose shingle sets are similar enough."""
     near = pinned(near)
     nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     sets = pinned(_sets(docs, pinned(nodes.join(classes.select("node", "text_key"), "node")), size))
@@ -183,7 +201,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     shared = keys.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").drop("last")
     members = pinned(keys.join(shared, "bucket"))
 
-    links = pinned(confirmed(docs, classes, members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), size, percent))
+    star = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    links = pinned(confirmed(docs, classes, near(classes, star, percent), size, percent))
     roots = components(links)
 
     def labelled() -> DataFrame:
@@ -193,8 +212,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         return pinned(own.join(open_, "bucket"))
 
     def merged(pairs: DataFrame) -> DataFrame:
-        """Components with the confirmed ones of ``pairs``: what is known so far is a star per component."""
-        more = pinned(confirmed(docs, classes, _ordered(pairs), size, percent))
+        """Components with the confirmed ones of the near ``pairs``: what is known so far is a star per component."""
+        more = pinned(confirmed(docs, classes, pairs, size, percent))
         release(docs.sparkSession)
         return components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
@@ -203,21 +222,19 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     order = F.struct(F.xxhash64("node", F.lit(2)).alias("place"), "node", "root")
     hubs = left.where("node <> first").groupBy("bucket").agg(F.min(order).alias("hub"))
     star = left.join(hubs, "bucket").where("root <> hub.root and node <> first")
-    roots = merged(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
-    # What is still apart: members outside the first member's component, with all members of other components. The bound keeps pairs that cannot be
-    # linked, nearly all of them by now, out of the join's result.
+    roots = merged(near(classes, _ordered(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))), percent))
+    # What is still apart: members outside the first member's component, with all members of other components. The join itself compares signatures,
+    # then marks, so that pairs that cannot be linked, nearly all of them by now, are neither made nor shuffled.
     left = labelled()
+    full = pinned(left.join(classes.select("node", "bands", *sketch("_b_")), "node"))
     main = left.where("node = first").select("bucket", F.col("root").alias("_main"))
-    sketches = classes.select("node", "marks", "n", "bands")
-    full = pinned(left.join(sketches, "node"))
-    apart = full.join(main, "bucket").where("root <> _main").select("bucket", F.col("node").alias("a"), F.col("root").alias("_root"), F.col("marks").alias("_marks"), F.col("n").alias("_n"),
-                                                                   "band", F.col("bands").alias("_bands"))
-    other = full.select(F.col("bucket").alias("_bucket"), F.col("node").alias("b"), "root", "marks", "n", "bands")
-    close = may_link(F.col("_marks"), F.col("_n"), F.col("marks"), F.col("n"), percent)
+    own = [F.col(f"_b_{name}").alias(f"_a_{name}") for name in SKETCH]
+    apart = full.join(main, "bucket").where("root <> _main").select("bucket", F.col("node").alias("a"), F.col("root").alias("_root"), "band", F.col("bands").alias("_bands"), *own)
+    other = full.select(F.col("bucket").alias("_bucket"), F.col("node").alias("b"), "root", "bands", *[f"_b_{name}" for name in SKETCH])
     # A pair is made in the first bucket that it shares, once.
     again = F.arrays_overlap(F.slice("_bands", F.lit(1), F.col("band")), F.slice("bands", F.lit(1), F.col("band")))
-    rest = apart.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("_root") != F.col("root")) & close & ~again).select("a", "b")
-    roots = merged(rest)
+    rest = apart.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("_root") != F.col("root")) & alike("_a_", "_b_", percent) & ~again)
+    roots = merged(_ordered(rest))
 
     named = classes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -106,10 +106,19 @@ def test_one_document_of_a_group_stays(spark):
 
 
 def test_bounds_and_estimates_of_pairs(spark):
-    pair = spark.createDataFrame([([0, 5], [0, 5])], "a array<long>, b array<long>")
-    assert pair.select(minhash.estimate(F.col("a"), F.col("b"))).first()[0] == pytest.approx(1.0)
-    link = pair.select(minhash.may_link(F.col("a"), F.lit(2), F.col("b"), F.lit(2), 80), minhash.may_link(F.array(F.lit(7)), F.lit(3), F.array(F.lit(56)), F.lit(3), 10)).first()
-    assert list(link) == [True, False]
+    # Six words of sixteen lanes: equal ones, ones with two lanes apart, and ones without an equal lane, which is fewer than agree by chance.
+    same, two, none = [0x123, 5, 0, 0, 0, -1], [0x120, 0x85, 0, 0, 0, -1], [~0x123, ~5, -1, -1, -1, 0]
+    marks = [0] * minhash.MAP_WORDS
+
+    def pairs(rows):
+        """Pairs of (packed, marks, n) as two sketches side by side."""
+        sides = spark.createDataFrame([(i, k, *side) for i, row in enumerate(rows) for k, side in enumerate(row)], "i int, side int, packed array<long>, marks array<long>, n long")
+        return sides.where("side = 0").select("i", *minhash.sketch("x")).join(sides.where("side = 1").select("i", *minhash.sketch("y")), "i").orderBy("i")
+
+    found = pairs([((same, marks, 1), (other, marks, 1)) for other in (same, two, none)]).select(minhash.estimate("x", "y")).collect()
+    assert [r[0] for r in found] == pytest.approx([1.0, (94 / 96 - 1 / 16) / (15 / 16), -1 / 15])
+    rows = [((same, [0, 5, *marks[2:]], 2), (same, [0, 5, *marks[2:]], 2)), ((same, [7, *marks[1:]], 3), (same, [56, *marks[1:]], 3))]
+    assert [r[0] for r in pairs(rows).select(minhash.may_link("x", "y", 10)).collect()] == [True, False]
 
 
 # --- lines
