@@ -2,12 +2,16 @@
 
 A multinomial logistic regression is fitted to paragraphs made from the licence templates (whole, shortened, and with corpus paragraphs around them) and, as
 unknown, to paragraphs of the corpus. Features are the words and word pairs of the templates, so a paragraph without any of them has no feature and is
-unknown. A paragraph without any of the words that make a notice is none, which keeps most documents away from the classifier. A prediction counts if its probability reaches the
-cut that was calibrated on held-out training rows, and if the paragraph holds enough of a template of that family.
+unknown. A document without any of the words that make a notice has none, which keeps most documents away from the classifier.
+
+A notice is looked for as a window of words about as long as a template, wherever it begins and however its lines are wrapped; only a blank line (or one of comment marks) ends
+it. A window counts if it holds enough of a template (a changed word is tolerated, the name of the licence is not), and if the classifier takes the window for that template's family
+with a probability that reaches the cut that was calibrated on held-out training rows. Of windows of one family that overlap or begin on one line the best counts, so every
+family and every notice of a text is reported.
 
 Only DataFrame functions and Spark's own estimators; no code of ours runs on the executors. The fit uses at most ``UNKNOWN_ROWS`` corpus paragraphs, a
-documented bound; every paragraph of every document is judged. Results by case: null and empty texts have no paragraph and no licence; a
-paragraph is a line; repeated rows are judged each; an empty table gives no rows; ids may be null; further columns are not read.
+documented bound; every text is searched whole. Results by case: null and empty texts have no paragraph and no licence; a
+paragraph is named by the line on which its notice begins, from 0; repeated rows are judged each; an empty table gives no rows; ids may be null; further columns are not read.
 """
 
 from __future__ import annotations
@@ -42,11 +46,22 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "public-domain": ("This is free and unencumbered software released into the public domain.", "This work is dedicated to the public domain under CC0 1.0 Universal."),
 }
-# A paragraph is a notice only if it holds one of these words; every template does.
+# A template that holds one of these names is only found with a name of its family, and without the words that make it another licence.
+NAMES: Mapping[str, tuple[str, ...]] = {
+    "agpl": ("affero general",), "apache": ("apache license",), "bsd": ("bsd",), "cc-by": ("cc by", "commons attribution"), "cc-by-nc": ("by nc", "attribution noncommercial"),
+    "cc-by-sa": ("by sa", "attribution sharealike"), "gpl": ("gnu general",), "lgpl": ("lesser general",), "mit": ("mit license",), "mpl": ("mozilla public",), "public-domain": ("public domain", "cc0"),
+}
+_NC, _SA, _ND = ("nc", "noncommercial"), ("sa", "sharealike"), ("nd", "noderivs", "noderivatives")
+OTHERS: Mapping[str, tuple[str, ...]] = {"cc-by": (*_NC, *_SA, *_ND), "cc-by-nc": (*_SA, *_ND), "cc-by-sa": (*_NC, *_ND)}
+# A text has a notice only if it holds one of these words, with anything between them but words; every template does.
 NEEDED = (r"(?i)licen[sc]e|redistribut|unencumbered|public domain|permission is hereby|creative commons|free software|general public|modify it under"
-          r"|compliance with|binary forms|following conditions|free of charge|associated documentation|source code form")
+          r"|compliance with|binary forms|following conditions|free of charge|associated documentation|source code form").replace(" ", "[^a-z0-9]+")
+BLANK = r"^[\s#*/;%!-]*$"
 UNKNOWN = "unknown"
-CONTAINED = 0.8
+# A window holds so much of its template, or lacks what one changed word takes away: itself and a pair on either side.
+CONTAINED, CHANGED = 0.8, 3
+# Windows begin in cells of so many words.
+CELL = 64
 UNKNOWN_ROWS = 2000
 WORD = r"[^a-z0-9.]+"
 MIN_PROBABILITY, UNKNOWN_QUANTILE = 0.5, 0.999
@@ -54,7 +69,7 @@ MIN_PROBABILITY, UNKNOWN_QUANTILE = 0.5, 0.999
 
 def tokens(text: Column) -> Column:
     """Lower-cased words, without the full stops around them."""
-    parts = F.split(F.regexp_replace(ascii_lower(text), r"\.+(?=[^a-z0-9]|$)", " "), WORD)
+    parts = F.split(F.regexp_replace(F.regexp_replace(ascii_lower(text), "licenc", "licens"), r"\.+(?=[^a-z0-9]|$)", " "), WORD)
     return F.filter(parts, lambda w: w != "")
 
 
@@ -64,21 +79,80 @@ def grams(words: Column) -> Column:
     return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, content) of the lines that hold a needed word; numbers count from 0."""
-    some = docs.where(F.col("text").rlike(NEEDED)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "content"))
-    return some.where(F.col("content").rlike(NEEDED))
+def _held(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
+    """``keep`` and the column ``name``, behind a generator: the planner would move it into the lambdas that use it, once per element."""
+    return df.select(*keep, F.inline(F.array(F.struct(value.alias(name)))))
+
+
+def _longest(words: Column) -> Column:
+    """Words a window of a template may have: some may have been put in."""
+    return F.size(words) + 2 + F.floor(F.size(words) / 8).cast("int")
+
+
+def _enough(wanted: Column, grams_: Column, t: Column) -> Column:
+    missing = F.size(wanted) - F.size(F.array_intersect(wanted, grams_))
+    named = (F.size(t["names"]) == 0) | F.arrays_overlap(t["names"], grams_)
+    return ((missing <= CHANGED) | (missing <= (1 - CONTAINED) * F.size(wanted))) & named
+
+
+def _windows(x: Column) -> Column:
+    """The windows of a region that hold enough of a template: they begin and end with words of it."""
+    t, size = x["t"], F.size(x["words"])
+    at = F.filter(F.sequence(F.lit(1), F.least(F.lit(CELL), size)), lambda p: F.array_contains(t["words"], F.get(x["words"], p - 1)))
+    lengths = F.sequence(F.greatest(F.size(t["words"]) - 1, F.lit(1)), _longest(t["words"]))
+
+    def window(p: Column, n: Column) -> Column:
+        words = F.slice(x["words"], p, n)
+        return F.struct(p.alias("p"), n.alias("n"), words.alias("words"), grams(words).alias("grams"))
+
+    fits = F.flatten(F.transform(at, lambda p: F.transform(F.filter(lengths, lambda n: (p + n - 1 <= size) & F.array_contains(t["words"], F.get(x["words"], p + n - 2))), lambda n: window(p, n))))
+    good = F.filter(fits, lambda w: ~F.array_contains(w["words"], "\n") & _enough(t["grams"], w["grams"], t) & ~F.arrays_overlap(t["others"], F.slice(x["words"], w["p"], w["n"] + 2)))
+
+    def result(w: Column) -> Column:
+        share = F.size(F.array_intersect(t["grams"], w["grams"])) / F.size(t["grams"])
+        return F.struct((-share).alias("order"), w["n"].alias("size"), (x["at"] + w["p"]).alias("begin"), t["family"].alias("family"), F.get(x["lines"], w["p"] - 1).alias("line"), w["words"].alias("words"))
+
+    return F.transform(good, result)
+
+
+def notices(docs: DataFrame) -> DataFrame:
+    """(doc_id, paragraph, family, contained, words): the windows of all texts that hold enough of a template of a family."""
+    templates = _templates(docs.sparkSession).collect()  # as many as there are
+    text = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    each = F.array(*[F.struct(F.lit(r["family"]).alias("family"), text(r["words"]).alias("words"), text(r["grams"]).alias("grams"), text([n for n in NAMES[r["family"]] if set(NAMES[r["family"]]) & set(r["grams"])]).alias("names"),
+                              text(OTHERS.get(r["family"], ())).alias("others")) for r in templates])
+    reach = CELL + max(len(r["words"]) for r in templates) * 9 // 8 + 2
+    some = docs.where(F.col("text").rlike(NEEDED))
+    # Words with the number of their line; a blank line is a word of its own, which no window may hold.
+    line = lambda content, i: F.transform(F.when(content.rlike(BLANK), F.array(F.lit("\n"))).otherwise(tokens(content)), lambda w: F.struct(w.alias("w"), i.alias("line")))
+    worded = _held(some, "all", F.flatten(F.transform(F.split("text", "\n", -1), line)), "doc_id").where(F.size("all") > 0)
+
+    def region(c: Column) -> Column:
+        part = F.slice(F.col("all"), c + 1, reach)
+        return F.struct(c.alias("at"), part["w"].alias("words"), part["line"].alias("lines"))
+
+    near = F.filter(F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(CELL)), region), lambda r: F.concat_ws(" ", r["words"]).rlike(NEEDED))
+    regions = _held(worded, "regions", near, "doc_id").where(F.size("regions") > 0)
+    regions = _held(regions, "regions", F.transform("regions", lambda r: F.struct(r["at"], r["words"], r["lines"], F.array_distinct(grams(r["words"])).alias("grams"))), "doc_id")
+    tries = F.flatten(F.transform("regions", lambda r: F.transform(F.filter(each, lambda t: _enough(t["grams"], r["grams"], t)), lambda t: F.struct(r["at"].alias("at"), r["words"].alias("words"), r["lines"].alias("lines"), t.alias("t")))))
+    tried = _held(regions, "tries", tries, "doc_id").where(F.size("tries") > 0)
+    found = _held(tried, "found", F.array_sort(F.flatten(F.transform("tries", _windows))), "doc_id").where(F.size("found") > 0)
+    # From the best on (largest share, then shortest, then first), each takes its place from those of its family after it.
+    meets = lambda a, b: (a["family"] == b["family"]) & ((a["line"] == b["line"]) | (a["begin"] < b["begin"] + b["size"]) & (b["begin"] < a["begin"] + a["size"]))
+    nothing = F.slice("found", 1, 0)
+    best = F.aggregate("found", nothing, lambda kept, w: F.when(F.exists(kept, lambda k: meets(k, w)), kept).otherwise(F.concat(kept, F.array(w))))
+    return found.select("doc_id", F.explode(best).alias("b")).select("doc_id", F.col("b.line").alias("paragraph"), "b.family", (-F.col("b.order")).alias("contained"), "b.words")
 
 
 def _templates(spark: SparkSession) -> DataFrame:
     rows = [(family, text) for family, texts in TEMPLATES.items() for text in texts]
-    return spark.createDataFrame(rows, "family string, content string").withColumn("grams", F.array_distinct(grams(tokens(F.col("content")))))
+    return spark.createDataFrame(rows, "family string, content string").withColumn("words", tokens(F.col("content"))).withColumn("grams", F.array_distinct(grams(F.col("words"))))
 
 
 def training_rows(docs: DataFrame, unknown_rows: int = UNKNOWN_ROWS) -> DataFrame:
     """(family, grams, fold): variants of the templates, and corpus paragraphs (a bounded number, by hash) as unknown."""
     spark = docs.sparkSession
-    templates = _templates(spark).select("family", tokens(F.col("content")).alias("words"))
+    templates = _templates(spark).select("family", "words")
     # Whole, without its first or last words, and between a few strange words.
     cut = templates.select("family", "words", F.explode(F.array(*[F.struct(F.lit(a).alias("front"), F.lit(b).alias("back")) for a in range(3) for b in range(3)])).alias("c"))
     short = cut.where(F.size("words") > F.col("c.front") + F.col("c.back") + 2).select("family", F.slice("words", F.col("c.front") + 1, F.size("words") - F.col("c.front") - F.col("c.back")).alias("words"))
@@ -122,19 +196,9 @@ def train(docs: DataFrame, unknown_rows: int = UNKNOWN_ROWS) -> LicenceModel:
 
 def licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """(doc_id, paragraph, family, probability, contained): confirmed paragraphs of all documents."""
-    found = paragraphs(docs).withColumn("grams", F.array_distinct(grams(tokens(F.col("content")))))
-    judged = model.predict(found).where(F.col("family") != UNKNOWN)
-    contained = F.lit(0.0)
-    for family, texts in TEMPLATES.items():
-        best = F.greatest(*[_contained(F.col("grams"), text) for text in texts], F.lit(0.0))
-        contained = F.when(F.col("family") == family, best).otherwise(contained)
-    return judged.withColumn("contained", contained).where(F.col("contained") >= CONTAINED).select("doc_id", "paragraph", "family", "probability", "contained")
-
-
-def _contained(found: Column, template: str) -> Column:
-    """Share of a template's words and pairs that the paragraph holds."""
-    wanted = grams(tokens(F.lit(template)))
-    return F.size(F.array_intersect(wanted, found)) / F.size(F.array_distinct(wanted))
+    found = notices(docs).withColumnRenamed("family", "_wanted").withColumn("grams", F.array_distinct(grams(F.col("words"))))
+    judged = model.predict(found)
+    return judged.where(F.col("family") == F.col("_wanted")).select("doc_id", "paragraph", "family", "probability", "contained")
 
 
 @query("op6_licence")

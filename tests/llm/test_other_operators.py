@@ -145,6 +145,22 @@ def test_every_template_is_recognised(spark):
     assert found == dict(enumerate(families))
 
 
+def test_wrapped_reworded_and_double_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or"]
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    word_per_line = "\n".join("This work is dedicated to the public domain under CC0 1.0 Universal.".split())
+    texts = [mit, "/*\n * A header\n *\n" + "\n".join(f" * {x}" for x in gpl), bsd, "Distributed under the MIT License", "Released under the terms of the MIT License.", "Licenced under the Apache Licence, Version 2.0.",
+             "Released under the MIT License. Licensed under CC BY 4.0.", "Released under the MIT License.\nReleased under the MIT License.\nDistributed under the MIT License.\nReleased under the MIT License.",
+             "Permission is hereby granted, free of charge, to any person\n\nobtaining a copy of this software and associated documentation files", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY-ND 4.0.",
+             "a word " * 500 + "\n" + "b " * 59 + "Licensed under CC BY-SA 4.0. " + "c " * 300 + mit, word_per_line, "Released under the XYZ License."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licence.licences(docs, licence.train(docs)).collect()
+    assert sorted((x.doc_id, x.paragraph, x.family) for x in found) == [
+        (0, 0, "mit"), (1, 3, "gpl"), (2, 0, "bsd"), (3, 0, "mit"), (4, 0, "mit"), (5, 0, "apache"), (6, 0, "cc-by"), (6, 0, "mit"), (7, 0, "mit"), (7, 1, "mit"), (7, 2, "mit"), (7, 3, "mit"),
+        (11, 1, "cc-by-sa"), (11, 1, "mit"), (12, 0, "public-domain")]
+
+
 # --- chat
 
 
