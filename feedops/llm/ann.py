@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Every vector gets a key in each of ``ORDERINGS`` Hilbert orders: a random projection to a few dimensions, shifted, cut into cells. Rows are range-partitioned
+Every vector gets a key in each of ``ORDERINGS`` Hilbert orders: a random projection to a few dimensions, shifted, cut into cells so fine (``CELL_BITS``) that near copies keep
+an order of their own within every ordering; the id only breaks what ties are left. Rows are range-partitioned
 by order and key and sorted; a query meets the rows at most ``WINDOW`` places before or after it in each order, also those of the ranges next to
 its own, and is ranked by exact distance; the best of all orders are merged.
 
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from feedops.llm.registry import Tables, query
 from feedops.session import pinned
 
-ORDERINGS, DIMENSIONS, CELL_BITS = 16, 8, 7
+ORDERINGS, DIMENSIONS, CELL_BITS = 16, 8, 48
 WINDOW, RANGE_ROWS, MAX_RANGES = 2048, 16384, 4096
+CUT_SAMPLE = 64
 NEAREST, QUERY_STEP = 10, 100
 SEED = 11
 BLOCK = 2048
@@ -36,6 +38,25 @@ BLOCK = 2048
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Places along the Hilbert curve of integer points (n x dimensions, each below 2^bits), as unsigned 64-bit."""
+    x = _curve(cells, bits)
+    key = np.zeros_like(x[0])
+    for level in range(bits - 1, -1, -1):
+        for c in x:
+            key = (key << np.uint64(1)) | ((c >> np.uint64(level)) & np.uint64(1))
+    return key
+
+
+def deep_keys(cells: np.ndarray, bits: int, ids: np.ndarray) -> np.ndarray:
+    """The same places at any number of bits, as bytes that sort alike, with the id behind them as the last tie-break."""
+    width = (bits + 7) // 8
+    planes = np.stack([np.unpackbits(c.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :], axis=1) for c in _curve(cells, bits)], 2)
+    place = np.packbits(planes.reshape(len(cells), -1), axis=1)
+    last = (ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return np.concatenate([place, last], 1)
+
+
+def _curve(cells: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Numbers whose bits, interleaved from the highest, are the places along the curve."""
     x = [c.astype(np.uint64) for c in cells.T]
     n = len(x)
     for level in range(bits - 1, 0, -1):
@@ -50,11 +71,7 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     twist = np.zeros_like(x[0])
     for level in range(bits - 1, 0, -1):
         twist ^= np.where((x[-1] & np.uint64(1 << level)) != 0, np.uint64((1 << level) - 1), np.uint64(0))
-    key = np.zeros_like(x[0])
-    for level in range(bits - 1, -1, -1):
-        for i in range(n):
-            key = (key << np.uint64(1)) | (((x[i] ^ twist) >> np.uint64(level)) & np.uint64(1))
-    return key
+    return [c ^ twist for c in x]
 
 
 def usable(vector: Column, length: int) -> Column:
@@ -81,11 +98,12 @@ def _keyed(classes: DataFrame, length: int, centre: np.ndarray, spread: np.ndarr
                 scale = np.sqrt((axes[k] ** 2 * spread[:, None] ** 2).sum(0)) + 1e-12
                 place = ((vectors - centre) @ axes[k] / scale + 4 + shifts[k]) / 9
                 cells = np.clip(place * (1 << bits), 0, (1 << bits) - 1).astype(np.uint64)
-                key = hilbert_keys(cells, bits).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), *[batch.column(c) for c in ("class_id", "asked", "vector")]],
+                key = deep_keys(cells, bits, batch.column("class_id").to_numpy())
+                column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(key.shape[1]), len(key), [None, pa.py_buffer(key.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), column, *[batch.column(c) for c in ("class_id", "asked", "vector")]],
                                                  ["ordering", "key", "class_id", "asked", "vector"])
 
-    return classes.select("class_id", "asked", "vector").mapInArrow(run, "ordering int, key long, class_id long, asked boolean, vector array<double>")
+    return classes.select("class_id", "asked", "vector").mapInArrow(run, "ordering int, key binary, class_id long, asked boolean, vector array<double>")
 
 
 def _ranged(keyed: DataFrame, rows: int, range_rows: int) -> DataFrame:
@@ -93,17 +111,20 @@ def _ranged(keyed: DataFrame, rows: int, range_rows: int) -> DataFrame:
     ranges = max(1, min(MAX_RANGES, rows // range_rows))
     if ranges == 1:
         return keyed.withColumn("part", F.lit(0)).withColumn("home", F.lit(True))
-    cuts = [i / ranges for i in range(1, ranges)]
-    found = keyed.groupBy("ordering").agg(F.percentile_approx("key", cuts, 20 * ranges).alias("cuts")).collect()  # orderings x ranges numbers
-    bounds = {r["ordering"]: np.array(r["cuts"], np.int64) for r in found}
+    # Some CUT_SAMPLE keys a range and ordering, by hash, of which each CUT_SAMPLE-th is a cut: what an ordering sorts for it is bounded by MAX_RANGES.
+    sampled = keyed.where(F.pmod(F.xxhash64("ordering", "key"), F.lit(max(1, rows // (CUT_SAMPLE * ranges)))) == 0).select("ordering", "key")
+    sampled = sampled.withColumn("_place", F.row_number().over(Window.partitionBy("ordering").orderBy("key"))).withColumn("_n", F.count("*").over(Window.partitionBy("ordering")))
+    number = lambda place: F.floor(place * F.lit(ranges) / F.col("_n"))
+    cuts = sampled.where((F.col("_place") < F.col("_n")) & (number(F.col("_place")) > number(F.col("_place") - 1))).groupBy("ordering").agg(F.sort_array(F.collect_list("key")).alias("cuts"))
+    bounds = {r["ordering"]: np.array([bytes(c) for c in r["cuts"]], object) for r in cuts.collect()}  # orderings x ranges keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order, key = batch.column("ordering").to_numpy(), batch.column("key").to_numpy()
+            order, key = batch.column("ordering").to_numpy(), batch.column("key").to_numpy(zero_copy_only=False)
             part = np.zeros(len(key), np.int32)
             for k in np.unique(order):
                 at = order == k
-                part[at] = np.searchsorted(bounds[k], key[at], side="right")
+                part[at] = np.searchsorted(bounds[k], key[at], side="right") if k in bounds else 0
             home = pa.RecordBatch.from_arrays([*batch.columns, pa.array(part), pa.array(np.ones(len(part), bool))], [*batch.schema.names, "part", "home"])
             yield home
             asked = batch.column("asked").to_numpy(zero_copy_only=False)
@@ -112,7 +133,7 @@ def _ranged(keyed: DataFrame, rows: int, range_rows: int) -> DataFrame:
                 moved = pa.RecordBatch.from_arrays([*batch.columns, pa.array(part + np.int32(step)), pa.array(np.zeros(len(part), bool))], home.schema.names)
                 yield moved.take(pa.array(guests))
 
-    return keyed.mapInArrow(run, "ordering int, key long, class_id long, asked boolean, vector array<double>, part int, home boolean")
+    return keyed.mapInArrow(run, "ordering int, key binary, class_id long, asked boolean, vector array<double>, part int, home boolean")
 
 
 def nearest_in(queries: np.ndarray, candidates: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -100,6 +100,28 @@ def test_recall_of_windows_and_ranges(spark):
     assert len(got) == 300 and hits >= 0.9 * 300
 
 
+def test_recall_within_a_tight_cluster(spark):
+    r = np.random.default_rng(4)
+    point = r.standard_normal(16)
+    for noise in (1e-5, 1e-9):
+        rows = [(i, [float(x) for x in (point + noise * v if i % 3 else v)]) for i, v in enumerate(r.standard_normal((3000, 16)))]
+        asked = {q for q in range(0, 3000, 100) if q % 3}
+        got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(asked), window=200, range_rows=400).collect()
+        wanted = brute_nearest(rows, lambda q: q in asked)
+        hits = sum(x.vec_id in {i for _, i in wanted[x.query_id]} for x in got)
+        assert len(got) == 10 * len(asked) and hits >= 0.9 * len(got)
+
+
+def test_deep_keys_sort_like_the_curve_and_refine_it():
+    r = np.random.default_rng(5)
+    cells, ids = r.integers(0, 1 << 48, (500, 3)), r.integers(-9, 9, 500)
+    deep = [bytes(k) for k in ann.deep_keys(cells, 48, ids)]
+    shallow = ann.hilbert_keys(cells >> 41, 7)
+    assert (np.diff(shallow[sorted(range(500), key=lambda i: deep[i])].astype(np.int64)) >= 0).all()
+    same = [bytes(k) for k in ann.deep_keys(cells[:1].repeat(3, 0), 48, np.array([-1, 5, 0]))]
+    assert same[0] < same[2] < same[1]
+
+
 def test_hilbert_keys_visit_every_cell_once_in_unit_steps():
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     keys = ann.hilbert_keys(cells, 3)
