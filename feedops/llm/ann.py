@@ -2,11 +2,12 @@
 
 Every vector gets a key in each of ``ORDERINGS`` Hilbert orders: a random projection to a few dimensions, shifted, cut into cells so fine (``CELL_BITS``) that near copies keep
 an order of their own within every ordering; the id only breaks what ties are left. Rows are range-partitioned
-by order and key and sorted; a query meets the rows at most ``WINDOW`` places before or after it in each order, also those of the ranges next to
+by order and key and sorted; a query meets the rows at most a window of places (``WINDOW_SHARE`` of the rows, ``WINDOW`` at least) before or after it in each order, also those of the ranges next to
 its own, and is ranked by exact distance; the best of all orders are merged.
 
-Equal vectors are one class of which only the smallest ids are needed, so a vector that a third of all rows share is one point of the curve. The work is
-linear in the rows. Recall depends on rows and windows: see the README for measured figures; ``WINDOW`` and ``ORDERINGS`` are parameters.
+Equal vectors are one class of which only the smallest ids are needed, so a vector that a third of all rows share is one point of the curve. Keys and
+sorting are linear in the rows; the distances of one query are in proportion to the rows, as recall of vectors without structure asks: see the README for measured figures. ``window``
+and ``orderings`` are parameters, and a fixed ``window`` makes all the work linear.
 
 Results by case: vectors that are null, empty, zero, of another length than most, or hold a null or non-finite component take no part, as queries or candidates; a null id takes
 no part; rows that repeat whole are one; an id with several vectors is one query and one candidate, at its nearest; ties go to the smaller id; with few
@@ -15,6 +16,7 @@ rows every candidate is found; further columns are not read.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
@@ -31,6 +33,7 @@ from feedops.session import pinned
 ORDERINGS, DIMENSIONS, CELL_BITS = 16, 8, 48
 WINDOW, RANGE_ROWS, MAX_RANGES = 2048, 16384, 4096
 CUT_SAMPLE = 64
+WINDOW_SHARE = 0.04
 NEAREST, QUERY_STEP = 10, 100
 SEED = 11
 BLOCK = 2048
@@ -207,7 +210,7 @@ def _window_search(rows: DataFrame, length: int, window: int, k: int) -> DataFra
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, orderings: int = ORDERINGS, dimensions: int = DIMENSIONS, bits: int = CELL_BITS,
-           window: int = WINDOW, range_rows: int = RANGE_ROWS, seed: int = SEED) -> DataFrame:
+           window: int | None = None, range_rows: int = RANGE_ROWS, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row of ``vectors`` (vec_id, embedding) for which ``is_query`` holds."""
     sizes = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("length")).limit(1).collect()
     length = sizes[0]["length"] if sizes else 0
@@ -221,6 +224,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, orderings: in
     members = pinned(kept.groupBy("vector").agg(F.min("vec_id").alias("class_id"), F.sort_array(F.collect_list("vec_id")).alias("ids")).select("class_id", F.hash("vector").alias("_hash"), "ids"))
     if not n:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    if window is None:
+        # A query meets its own range and those beside it, so a range holds a window, whatever its cuts are off.
+        window = max(WINDOW, math.ceil(n * WINDOW_SHARE))
+        range_rows = max(range_rows, 2 * window)
     moments = classes.select(F.posexplode("vector").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.coalesce(F.stddev_pop("v"), F.lit(0.0)).alias("s")).orderBy("i").collect()
     centre, spread = (np.array([r[c] for r in moments]) for c in ("m", "s"))
     # Classes of one id with several vectors need a name of their own: the vector's hash beside the smallest id.

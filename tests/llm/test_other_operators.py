@@ -112,6 +112,15 @@ def test_recall_within_a_tight_cluster(spark):
         assert len(got) == 10 * len(asked) and hits >= 0.9 * len(got)
 
 
+def test_the_window_grows_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(ann, "WINDOW", 20)
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(r.standard_normal((8000, 16)).astype(np.float32))]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 400 == 0, range_rows=400).collect()
+    wanted = brute_nearest(rows, lambda q: q % 400 == 0)
+    assert len(got) == 200 and sum(x.vec_id in {i for _, i in wanted[x.query_id]} for x in got) >= 0.9 * 200
+
+
 def test_deep_keys_sort_like_the_curve_and_refine_it():
     r = np.random.default_rng(5)
     cells, ids = r.integers(0, 1 << 48, (500, 3)), r.integers(-9, 9, 500)
