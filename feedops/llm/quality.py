@@ -147,7 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
         part = given.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("share", F.lit(n).cast("double"))
         chosen = part if chosen is None else chosen.unionByName(part)
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", "share")
-    fitted = _with_features(picked).groupBy(F.lit(0).alias("_all")).applyInPandas(lambda s: _fit(s.sort_values(["doc_id", "features"]).drop_duplicates(["doc_id"]).reset_index(drop=True)), "model binary").first()
+    # An id may have any number of rows: one of each, the smallest, is left before they meet in one task.
+    each = _with_features(picked).groupBy("doc_id").agg(F.min(F.struct("features", "label", "share")).alias("_row")).select("doc_id", "_row.*")
+    fitted = each.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda s: _fit(s.sort_values("doc_id").reset_index(drop=True)), "model binary").first()
     return fitted["model"] if fitted else np.concatenate([np.zeros(2 * N_FEATURES), [0.0, 0.0, 30.0]]).tobytes()
 
 

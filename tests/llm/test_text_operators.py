@@ -296,6 +296,18 @@ def test_classifier_learns_and_scores_every_text(spark):
     assert quality.train(docs, labels.where("doc_id % 3 <> 0 or doc_id is null")) == model
 
 
+def test_rows_of_one_id_do_not_meet_in_the_fit(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    met, apply = [], PandasGroupedOpsMixin.applyInPandas
+    docs = spark.range(400).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("some words "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(0, 1)] + [(i, i % 2) for i in range(300, 400)], "doc_id long, label int")
+    for kind in {PandasGroupedOpsMixin, type(docs.groupBy())}:
+        monkeypatch.setattr(kind, "applyInPandas", lambda self, *a, **b: (met.append(self._df.count()), apply(self, *a, **b))[1], raising=False)
+    model = quality.train(docs, labels)
+    assert met == [101] and quality.train(docs, labels) == model
+
+
 def test_classifier_without_two_classes(spark):
     docs = documents(spark, [(1, "a b c d e"), (2, None)])
     one = spark.createDataFrame([(1, 1)], "doc_id long, label int")
