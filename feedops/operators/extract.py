@@ -201,7 +201,12 @@ def _joined_text(node: _Node) -> str:
 def _may_match(html: str | None, selectors: Iterable[str]) -> bool:
     """False when every selector names a class that the text does not contain: such a page need not be parsed."""
     text = html or ""
-    return any(all(c in text for _, classes, *_ in _compiled(s) for c in classes) for s in selectors)
+    wanted = [[c for _, classes, *_ in _compiled(s) for c in classes] for s in selectors]
+    found = any(all(c in text for c in classes) for classes in wanted)
+    if found or "&" not in text:
+        return found
+    text = unescape(text)  # a class may be written with entities
+    return any(all(c in text for c in classes) for classes in wanted)
 
 
 def _listing_rows(html: str | None, specs: dict[str, ListingSpec], joined: bool) -> list[dict]:

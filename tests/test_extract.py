@@ -37,6 +37,11 @@ def test_table_rows(spark):
         (0, "0", "post & 0", True, True), (1, "1", "post & 1", True, False), (2, "2", "post & 2", False, False), (3, None, "post & 3", True, False)]
 
 
+def test_classes_written_with_entities(spark):
+    html = "<table><tbody>" + table_row(1).replace("ub-content us-post", "ub&#45;content us&#x2d;post") + "</table>"
+    assert rows(extract.extract_rows_table(pages(spark, html, "<p>a &amp; b</p>")), "page_id", "post_id") == [(0, "1")]
+
+
 def test_hybrid_rows_fall_back_to_columns(spark):
     good = hybrid_row(1) + hybrid_row(2, icon=False) + hybrid_row(3, notice="notice") + hybrid_row(4, notice="notice-unfilter") + hybrid_row(5, href="https://evil.example/b/x/5") + column_row(9)
     only_invalid = hybrid_row(6, icon=False) + column_row(7) + column_row(8, icon=False)
