@@ -11,7 +11,7 @@ from feedops.session import apply_settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("ann", "urlfilter", "linededup", "minhash", "quality", "licence", "mixing", "packing", "rules", "chat", "merkle")
+MODULES = ("ann", "urlfilter", "linededup", "minhash", "quality", "licence", "mixing", "packing", "rules", "chat", "merkle", "pii", "alignment")
 # Texts are large: a batch handed to a Python worker is bounded by bytes.
 BATCH_BYTES = 4 * 1024 * 1024
 
