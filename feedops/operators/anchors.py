@@ -11,8 +11,8 @@ That is sequential inside a key, so the work is arranged such that no task ever
 * A long unbroken piece is cut into chunks of consecutive cells with a bounded number of events. Each chunk is reduced, in
   parallel, to the function "last anchor before the chunk -> last anchor inside it"; these functions are small step
   functions, composed in a tree, and the resulting entry anchors are sent back to the chunks.
-* Where a single cell is already too large for one task, the window is wide compared to the traffic, hence the piece has few
-  cells: anchors are advanced one round at a time by a partial-aggregating minimum.
+* Where a single cell is already too large for one task, every time is given a pointer to the first time after its window, by a range-partitioned lookup.
+  Joining the pointers with themselves doubles their reach, so n windows take log2(n) rounds.
 """
 
 from __future__ import annotations
@@ -146,23 +146,53 @@ def _busy_anchors(times: DataFrame, keys: list[str], gap: int, fold_rows: int, c
     if "chunk" in kinds:
         parts.append(_chunked(members("chunk"), keys, gap, int(kinds["chunk"]) + 1, fan_in))
     if "round" in kinds:
-        parts.append(_rounds(members("round"), keys, gap))
+        parts.append(_doubling(members("round"), keys, gap))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _rounds(times: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """Advance every remaining piece by one anchor per round; each round is a map-side-combined minimum."""
-    wide = [*keys, "_piece"]
-    times = pinned(times.select(*wide, "_t").distinct())
-    front = pinned(times.select(*wide).distinct().withColumn("anchor", F.col("_piece")))
-    found = [front]
-    while True:
-        match = _same(times, front, wide) & (times["_t"] > front["anchor"] + gap)
-        step = times.join(front, match, "inner").select(*[times[k] for k in wide], "_t")
-        front = pinned(step.groupBy(*wide).agg(F.min("_t").alias("anchor")))
-        if front.isEmpty():
-            return reduce(DataFrame.unionByName, found).select(*keys, "anchor")
-        found.append(front)
+def _successors(times: DataFrame, gap: int) -> DataFrame:
+    """``_w, _node, _next``: the first time more than ``gap`` after every time of a piece, null where there is none.
+
+    Times and the places asked for are cut into ranges together, so that a busy piece lies in many tasks. A place without a time behind it in its own range
+    takes the first one of the ranges after it, from one row per range and piece.
+    """
+    asked = times.select("_w", (F.col("_t") + gap).alias("_at"), F.col("_t").alias("_node"), F.lit(None).cast("bigint").alias("_there"))
+    there = times.select("_w", F.col("_t").alias("_at"), F.lit(None).cast("bigint").alias("_node"), F.col("_t").alias("_there"))
+    ranged = pinned(asked.unionByName(there).repartitionByRange("_w", "_at").withColumn("_part", F.spark_partition_id()))
+    firsts = ranged.groupBy("_w", "_part").agg(F.min("_there").alias("_first"))
+    later = Window.partitionBy("_w").orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.withColumn("_later", F.min("_first").over(later)).select("_w", "_part", "_later")
+    # From the latest back; at equal times the place comes first, since its time has to lie after it.
+    behind = Window.partitionBy("_w", "_part").orderBy(F.col("_at").desc(), F.col("_there").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = ranged.withColumn("_here", F.min("_there").over(behind)).filter(F.col("_node").isNotNull())
+    return found.join(firsts, ["_w", "_part"]).select("_w", "_node", F.coalesce("_here", "_later").alias("_next"))
+
+
+def _doubling(times: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """Anchors of pieces with cells too large for a task, in as many rounds as the number of their windows has bits.
+
+    Level k leads 2^k windows on. It is needed only at the pieces' first times and at times that level k-1 leads to, so levels shrink as paths meet. Going back
+    down, every level doubles the anchors found. A time that many paths lead to is a skewed join key, which adaptive execution splits.
+    """
+    times = times.select(F.struct(*keys, "_piece").alias("_w"), "_t").distinct()
+    root = F.col("_node") == F.col("_w._piece")
+
+    def reached(level: DataFrame) -> DataFrame:
+        """The rows of ``level`` at first times and at times that it leads to itself."""
+        targets = level.select("_w", F.col("_next").alias("_node")).distinct()
+        return level.filter(root).unionByName(level.filter(~root).join(targets, ["_w", "_node"], "left_semi"))
+
+    level = pinned(_successors(times, gap).filter(F.col("_next").isNotNull()))
+    levels = []
+    while not level.filter(root).isEmpty():
+        levels.append(level)
+        onward = level.select("_w", F.col("_node").alias("_next"), F.col("_next").alias("_far"))
+        level = pinned(reached(level).join(onward, ["_w", "_next"]).select("_w", "_node", F.col("_far").alias("_next")))
+    found = times.select("_w").distinct().select("_w", F.col("_w._piece").alias("_node"))
+    for level in reversed(levels):
+        both = F.explode(F.array_compact(F.array("_node", "_next")))
+        found = found.join(level, ["_w", "_node"], "left").select("_w", both.alias("_node"))
+    return found.select(*[F.col(f"_w.`{k}`").alias(k) for k in keys], F.col("_node").alias("anchor"))
 
 
 # --- chunk functions: sorted arrays (start, exit). An entry anchor ``a`` leads to the first start > a + gap, and from there

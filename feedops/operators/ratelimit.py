@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedops.operators.anchors import with_anchor
-from feedops.operators.dedup import first_touch
 from feedops.operators.select import top_k
+from feedops.session import pinned
 
 # Likes and feed reads per client in a window of this many seconds.
 WINDOW_SECONDS = 60
@@ -45,13 +45,15 @@ def accept_likes(likes: DataFrame, items: DataFrame, client: str, item: str, tim
                  **sizes: int) -> DataFrame:
     """Add ``status``: limited, repeated, not_found or accepted.
 
-    A like for a missing item still uses up its (client, item) pair: the first touch is decided before the lookup.
+    A like for a missing item still uses up its (client, item) pair: the first touch is decided before the lookup. The rate limit is computed once; the first
+    allowed like of every pair is a minimum that combines before the shuffle, and its item is looked up once a pair.
     """
-    passed = rate_limit(likes, [client], time_us, seq, window_seconds, max_count, **sizes).drop("anchor")
-    touched = first_touch(passed.filter(~F.col("limited")), [client, item], time_us, seq)
+    judged = pinned(rate_limit(likes, [client], time_us, seq, window_seconds, max_count, **sizes).drop("anchor"))
+    allowed = F.when(~F.col("limited"), F.struct(time_us, seq))
+    pairs = judged.groupBy(F.col(client).alias("_client"), F.col(item).alias("_item")).agg(F.min(allowed).alias("_first"))
     known = items.select(F.col(item_key).alias("_known")).distinct()
-    looked_up = touched.join(known, touched[item] == known["_known"], "left_outer")
-    status = F.when(F.col("_known").isNull(), F.lit("not_found")).when(F.col("first"), F.lit("accepted")).otherwise("repeated")
-    decided = looked_up.select(*[touched[c] for c in likes.columns], status.alias("status"))
-    refused = passed.filter(F.col("limited")).select(*likes.columns, F.lit("limited").alias("status"))
-    return decided.unionByName(refused)
+    pairs = pairs.join(known, F.col("_item") == F.col("_known"), "left_outer")
+    same = judged[client].eqNullSafe(pairs["_client"]) & judged[item].eqNullSafe(pairs["_item"])
+    status = (F.when(judged["limited"], F.lit("limited")).when(F.col("_known").isNull(), F.lit("not_found"))
+              .when(judged[seq] == F.col(f"_first.{seq}"), F.lit("accepted")).otherwise("repeated"))
+    return judged.join(pairs, same).select(*[judged[c] for c in likes.columns], status.alias("status"))

@@ -105,6 +105,18 @@ def test_anchors_on_every_path(spark, gap, closed, sizes):
     assert {(r.k, r.anchor // scale) for r in got.collect()} == anchor_model(events, gap, closed)
 
 
+def test_many_windows_of_a_hot_key_take_few_rounds(spark, monkeypatch):
+    """Pointers double their reach: 20,000 windows of one key, of cells too large for a task, take at most 16 rounds."""
+    rng = random.Random(11)
+    events = [("hot", t + rng.randint(0, 40)) for t in range(0, 20_000 * 61, 30)] + [("hot", 7), (None, 3), (None, 90), (None, 95)]
+    steps = []
+    monkeypatch.setattr(anchors, "pinned", lambda df, real=anchors.pinned: steps.append(1) or real(df))
+    got = anchors.anchors(table(spark, events, "k string, t bigint").repartition(4), ["k"], "t", 60, fold_rows=2, cell_rows=1)
+    found = {(r.k, r.anchor) for r in got.collect()}
+    assert found == anchor_model(events, 60, False) and len(found) > 15_000
+    assert len(steps) <= 4 + 16
+
+
 def test_rate_limit_counts_rejected_requests(spark):
     events = [(1, "a", s) for s in (0,)] + [(i, "a", s) for i, s in enumerate((1, 2, 3, 60, 61, 121, 122), 2)]
     df = table(spark, [(i, k, s * 1_000_000) for i, k, s in events], "id bigint, ip string, t_us bigint")
