@@ -15,9 +15,9 @@ from feedops.operators.ledger import LEDGER_SCHEMA, ledger_rows
 from feedops.session import scratch_folder
 from feedops.sources.tables import append_ledger, read_scan_events
 from feedops.streaming import jobs
-from feedops.streaming.state import stream_dedup, stream_rate_limit
 from registry.base import Tables, query
 from registry.dedup import DEDUP_SQL, GAP, LIMIT, RATE_SQL, WINDOW, _limit_sql
+from registry.delivery import FAN_OUT_SQL, joined, messages
 from registry.scanlog import SCAN_SQL, request_log, shown_events
 from registry.selection import FEED_SQL, MAX_BYTES, MAX_ITEMS, PROFILE, TTL, _LEDGER_SQL, _selection_sql, label_ledger
 
@@ -33,14 +33,6 @@ def folders(t: Tables) -> tuple[str, str]:
     return f"{root}/out", f"{root}/checkpoint"
 
 
-def collected(t: Tables, stream: DataFrame) -> DataFrame:
-    """Write an append stream to files until its input ends, and read them back."""
-    out, checkpoint = folders(t)
-    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(stream.schema).parquet(out)
-
-
 def event_stream(t: Tables) -> DataFrame:
     return incoming(t, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", micros(F.col("ts")).alias("t_us"),
                                         F.get_json_object("props", "$.k").alias("image_id"))
@@ -48,25 +40,47 @@ def event_stream(t: Tables) -> DataFrame:
 
 @query("k1_stream_new_posts", _selection_sql("true"))
 def _(t: Tables) -> DataFrame:
+    """Every crawl is spread over six files, and every batch takes one of them."""
     out, checkpoint = folders(t)
     append_ledger(label_ledger(t), f"{out}-ledger")
-    rows = incoming(t, "documents").select(
+    listing = t.documents.select(
         F.lit("board").alias("source"), F.col("source").alias("gallery"), F.lit(1).alias("crawl_id"), (-F.col("doc_id")).alias("list_pos"),
         F.col("doc_id").cast("string").alias("post_id"), "doc_id", F.lit(True).alias("has_image"))
-    jobs.stream_new_posts(rows, t.spark, f"{out}-ledger", out, checkpoint, PROFILE).awaitTermination()
+    sizes = t.documents.groupBy(F.col("source").alias("gallery")).agg(F.count(F.lit(1)).alias("crawl_rows"))
+    listing = listing.join(sizes, listing["gallery"].eqNullSafe(sizes["gallery"])).drop(sizes["gallery"])
+    listing.repartition(6, "doc_id").write.parquet(f"{out}-landing")
+    rows = t.spark.readStream.schema(listing.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}-landing")
+    jobs.stream_new_posts(rows, t.spark, f"{out}-ledger", out, checkpoint, PROFILE, expected="crawl_rows").awaitTermination()
     return t.spark.read.schema("gallery string, doc_id bigint").parquet(out).select("gallery", "doc_id")
 
 
 @query("k2_stream_rate_limit", RATE_SQL)
 def _(t: Tables) -> DataFrame:
-    found = collected(t, stream_rate_limit(event_stream(t), "user_id", WINDOW, LIMIT))
+    out, checkpoint = folders(t)
+    jobs.stream_rate_limit(event_stream(t), t.spark, out, checkpoint, "user_id", WINDOW, LIMIT).awaitTermination()
+    found = t.spark.read.schema("id bigint, user_id bigint, anchor bigint, limited boolean").parquet(out)
     return found.select(F.col("id").alias("event_id"), "user_id", "anchor", "limited")
 
 
 @query("k3_stream_dedup", DEDUP_SQL)
 def _(t: Tables) -> DataFrame:
+    out, checkpoint = folders(t)
     keyed = event_stream(t).withColumn("key", F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
-    return collected(t, stream_dedup(keyed, "key", GAP)).select(F.col("id").alias("event_id"), "user_id", "event_type")
+    jobs.stream_dedup(keyed, t.spark, out, checkpoint, "key", GAP).awaitTermination()
+    return t.spark.read.schema("id bigint, user_id bigint, event_type string").parquet(out).select(F.col("id").alias("event_id"), "user_id", "event_type")
+
+
+@query("a7_stream_outbox", f"""WITH {FAN_OUT_SQL} SELECT DISTINCT gallery, post_id, batch_idx, transport, destination_id, requested_media FROM messages""")
+def _(t: Tables) -> DataFrame:
+    """Every message is offered in two of six batches and goes out once."""
+    out, checkpoint = folders(t)
+    offered = messages(t)
+    offered.repartition(3).write.parquet(f"{out}-landing")
+    offered.repartition(3).write.mode("append").parquet(f"{out}-landing")
+    stream = t.spark.readStream.schema(offered.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}-landing")
+    jobs.stream_outbox(stream, t.spark, out, checkpoint).awaitTermination()
+    found = t.spark.read.schema(offered.schema).parquet(out)
+    return found.select("gallery", "post_id", "batch_idx", "transport", "destination_id", joined("requested_media"))
 
 
 @query("k4_stream_recent_store", f"WITH {FEED_SQL.replace('+ 60000000', '')} SELECT seq, created_us, bytes FROM store")
@@ -83,7 +97,7 @@ def _(t: Tables) -> DataFrame:
 @query("k5_stream_like_counts", _limit_sql(WINDOW, LIMIT) + " SELECT image_id, count(DISTINCT user_id) AS likes FROM judged WHERE NOT limited GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     out, checkpoint = folders(t)
-    jobs.stream_like_counts(event_stream(t), out, checkpoint, "user_id", "image_id", WINDOW, LIMIT).awaitTermination()
+    jobs.stream_like_counts(event_stream(t), t.spark, out, checkpoint, "user_id", "image_id", WINDOW, LIMIT).awaitTermination()
     return t.spark.read.schema("image_id string, likes bigint").parquet(out).groupBy("image_id").agg(F.sum("likes").alias("likes"))
 
 

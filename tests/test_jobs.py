@@ -111,22 +111,88 @@ def incoming(spark, path):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def run(spark, stream, root):
-    query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert query.lastProgress["batchId"] >= 5
-    return spark.read.parquet(f"{root}/out")
+def batches(path):
+    return sorted((f for f in os.listdir(path) if f.startswith("batch=")), key=lambda f: int(f[6:]))
 
 
 def test_stream_limits_equal_batch(spark, landing, tmp_path):
     batch = spark.read.parquet(landing)
-    limited = run(spark, state.stream_rate_limit(incoming(spark, landing), "user_id", 86_400, 4), tmp_path / "a")
+    jobs.stream_rate_limit(incoming(spark, landing), spark, str(tmp_path / "a"), str(tmp_path / "cpa"), "user_id", 86_400, 4).awaitTermination()
     want = ratelimit.rate_limit(batch, ["user_id"], "t_us", "id", 86_400, 4)
-    assert rows(limited, "id", "limited", "anchor") == rows(want, "id", "limited", "anchor")
-    accepted = run(spark, state.stream_dedup(incoming(spark, landing), "name", 7_200), tmp_path / "b")
+    assert rows(spark.read.parquet(str(tmp_path / "a")), "id", "limited", "anchor") == rows(want, "id", "limited", "anchor")
+    jobs.stream_dedup(incoming(spark, landing), spark, str(tmp_path / "b"), str(tmp_path / "cpb"), "name", 7_200).awaitTermination()
+    accepted = spark.read.parquet(str(tmp_path / "b"))
     assert rows(accepted, "id") == rows(dedup.dedup_anchored(batch, ["name"], "t_us", "id", 7_200), "id")
-    close = run(spark, state.stream_dedup_builtin(incoming(spark, landing), "name", 7_200), tmp_path / "c")
-    assert 0 < close.count() <= accepted.count()
+    assert len(batches(tmp_path / "a")) == 6 and batches(tmp_path / "cpa-state") == ["batch=4", "batch=5"]
+    out = str(tmp_path / "c")
+    query = state.stream_dedup_builtin(incoming(spark, landing), "name", 7_200).writeStream.format("parquet").option("path", out)
+    query.option("checkpointLocation", str(tmp_path / "cpc")).trigger(availableNow=True).start().awaitTermination()
+    assert 0 < spark.read.parquet(out).count() <= accepted.count()
+
+
+def test_state_holds_what_is_open(spark):
+    """State falls once windows have passed; a late row counts as arriving when its key's open window began."""
+    schema = "id bigint, t_us bigint, k string"
+    second = 1_000_000
+    none = spark.createDataFrame([], "id bigint, k string, _t bigint, anchor bigint")
+    first = table(spark, [(i, i * second, f"k{i % 50}") for i in range(500)] + [(900, 499 * second, None)], schema)
+    answers, open_ = state.limit_step(first, none, "k", 60, 1)
+    assert answers.count() == 501 and answers.filter("limited").count() == 250 and open_.count() == 12
+    late = table(spark, [(1000, 400 * second, "k49"), (1001, 520 * second, "k49"), (1002, 600 * second, "new")], schema)
+    answers, open_ = state.limit_step(late, open_, "k", 60, 1)
+    assert rows(answers, "id", "limited", "anchor") == [(1000, True, 449 * second), (1001, False, 520 * second), (1002, False, 600 * second)]
+    assert rows(open_, "id") == [(1002,)]
+    none = none.drop("anchor")
+    accepted, open_ = state.dedup_step(first, none, "k", 30)
+    accepted, open_ = state.dedup_step(table(spark, [(1, 499 * second + 1, "k49"), (2, 499 * second, None), (3, 529 * second, "k49")], schema), open_, "k", 30)
+    assert rows(accepted, "id") == [(3,)] and rows(open_, "id") == [(3,)]
+
+
+def test_split_crawl_waits_for_its_rest(spark, tmp_path):
+    """A crawl over several batches gives the posts of the whole crawl; one without its rest is released after a while."""
+    ledger_path, landing = str(tmp_path / "ledger"), str(tmp_path / "rows")
+    spark.createDataFrame([("dcinside", "g", "post:20", None)], ledger.LEDGER_SCHEMA).write.partitionBy("source", "gallery_name").parquet(ledger_path)
+    schema = "source string, gallery string, crawl_id int, list_pos int, post_id string, has_image boolean, crawl_rows int, crawl_us bigint"
+    crawl = [("dcinside", "g", 1, i, str(i), True, 25, 0) for i in range(25)]
+    cut_off = [("dcinside", "h", 1, i, f"h{i}", True, 99, 0) for i in range(25)]
+    later = [("dcinside", "g", 2, i, f"x{i}", True, 21, 7_200_000_000) for i in range(21)]
+    for i, part in enumerate([crawl[20:], cut_off + crawl[:9], crawl[9:20], later]):
+        table(spark, part, schema).coalesce(1).write.mode("append").parquet(landing)
+        newest = max((os.path.join(landing, f) for f in os.listdir(landing) if f.endswith(".parquet")), key=os.path.getctime)
+        os.utime(newest, (1_700_000_000 + i, 1_700_000_000 + i))
+    out = str(tmp_path / "out")
+    jobs.stream_new_posts(incoming(spark, landing), spark, ledger_path, out, str(tmp_path / "cp"), SINGLE, expected="crawl_rows").awaitTermination()
+    assert [rows(spark.read.parquet(f"{out}/{b}"), "post_id") for b in batches(out)] == [[], [], [("21",)], [("h20",), ("x20",)]]
+
+
+def test_idle_store_empties(spark, tmp_path):
+    """Ticks alone expire items."""
+    items, clock = str(tmp_path / "items"), str(tmp_path / "ticks")
+    table(spark, [(1, 1_000_000, 5), (2, 50_000_000, 5)], "seq bigint, created_us bigint, bytes bigint").coalesce(1).write.parquet(items)
+    limits = {"ttl_seconds": 100, "max_items": 10, "max_bytes": 100}
+    for i, now in enumerate([60_000_000, 120_000_000, 500_000_000]):
+        table(spark, [(now,)], "now_us bigint").coalesce(1).write.mode("append").parquet(clock)
+        arrivals = spark.readStream.schema("seq bigint, created_us bigint, bytes bigint").parquet(items)
+        ticks = spark.readStream.schema("now_us bigint").parquet(clock)
+        jobs.stream_recent_store(arrivals, spark, str(tmp_path / "store"), str(tmp_path / "cp"), ticks=ticks, **limits).awaitTermination()
+        assert rows(spark.read.parquet(str(tmp_path / f"store/batch={i}")), "seq") == [[(1,), (2,)], [(2,)], []][i]
+    assert jobs.clock_ticks(spark).isStreaming
+
+
+def test_outbox_stream_sends_once_and_retries_what_is_missing(spark, tmp_path):
+    landing, out = str(tmp_path / "messages"), str(tmp_path / "outbox")
+    schema = tables.OUTBOX_SCHEMA
+    whole = ("dcinside", "g", "1", 0, "discord", "c1", ["a", "b"], True)
+    offers = [[whole, whole, (*whole[:5], "c2", ["a"], True)], [whole, (*whole[:6], ["b"], True)], [(*whole[:6], ["b", "a"], True)]]
+    for i, part in enumerate(offers):
+        table(spark, part, schema).coalesce(1).write.mode("append").parquet(landing)
+        newest = max((os.path.join(landing, f) for f in os.listdir(landing) if f.endswith(".parquet")), key=os.path.getctime)
+        os.utime(newest, (1_700_000_000 + i, 1_700_000_000 + i))
+        jobs.stream_outbox(spark.readStream.schema(schema).parquet(landing), spark, out, str(tmp_path / "cp")).awaitTermination()
+    assert [spark.read.parquet(f"{out}/{b}").count() for b in batches(out)] == [2, 1, 0]
+    # Another stream over the same folder of messages replays batch 0: it leaves its own folder out.
+    jobs.stream_outbox(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing), spark, out, str(tmp_path / "cp2")).awaitTermination()
+    assert spark.read.parquet(f"{out}/batch=0").count() == 2 and spark.read.parquet(out).select("message_key").distinct().count() == spark.read.parquet(out).count() == 3
 
 
 def test_stream_store_and_likes_equal_batch(spark, landing, tmp_path):
@@ -140,7 +206,7 @@ def test_stream_store_and_likes_equal_batch(spark, landing, tmp_path):
     now = batch.agg(F.max("t_us")).first()[0]
     want = select.recent_store(items(batch), F.lit(now), limits["ttl_seconds"], 60, 1_000)
     assert rows(spark.read.parquet(str(tmp_path / "store/batch=5")), "seq") == rows(want, "seq")
-    jobs.stream_like_counts(incoming(spark, landing), str(tmp_path / "likes"), str(tmp_path / "cp2"), "user_id", "image_id", 86_400, 4).awaitTermination()
+    jobs.stream_like_counts(incoming(spark, landing), spark, str(tmp_path / "likes"), str(tmp_path / "cp2"), "user_id", "image_id", 86_400, 4).awaitTermination()
     counts = spark.read.parquet(str(tmp_path / "likes")).groupBy("image_id").agg(F.sum("likes").alias("likes"))
     passed = ratelimit.rate_limit(batch, ["user_id"], "t_us", "id", 86_400, 4).filter("not limited")
     assert rows(counts) == rows(passed.groupBy("image_id").agg(F.count_distinct("user_id").alias("likes")))
