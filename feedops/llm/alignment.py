@@ -7,8 +7,8 @@ associative and the empty fragment is its identity, so ranges can be cut anywher
 * Long texts are cut into byte ranges. A range carries the few bytes around it up to places where both tokenizers must end a token (a blank after something
   that is no blank), so its tokens are those of the whole text; a token belongs to the range that it ends in. Ranges are dealt out over the tasks and their
   fragments composed 16 at a time, so no task holds the tokens of a very long text; only its aligned form, of the text's own size, meets in its row.
-* Shorter texts are handled within one task, a batch at a time: the same places cut them into words, each different word is tokenized once a batch, and a text's
-  groups are those of its words in a row.
+* Shorter texts are handled within one task, a batch at a time: the same places cut them into words, each different word is tokenized once, for as long as
+  the task remembers it, and a text's groups are those of its words in a row.
 * A pair's count is the number of documents that hold it linked. Pairs are counted in the tasks first, then by one shuffle. The most frequent ones (a bounded
   number) are sent to every task; the others, each held by few documents, are joined by a shuffle. Both ways are exact.
 
@@ -38,7 +38,9 @@ from feedops.session import pinned
 LONG_TEXT, RANGE_BYTES, REACH = 65_536, 16_384, 4_096
 FAN_IN = 16
 # Texts of so many code points are handled at once.
-SLICE = 2_000_000
+SLICE = 1_000_000
+# Words that a task remembers (about 300 bytes each).
+MOST_WORDS = 300_000
 # Pairs that every task holds in memory (13 bytes each).
 FREQUENT_PAIRS = 1_000_000
 # Different pairs that a task counts before it hands them on.
@@ -116,9 +118,18 @@ def code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a << 16) | b
 
 
+def merged(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all ends, common ends) of two rising sequences."""
+    both = np.concatenate([ends_a, ends_b])
+    both.sort(kind="stable")
+    again = np.zeros(len(both), bool)
+    again[1:] = both[1:] == both[:-1]
+    return both[~again], both[again]
+
+
 def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(end, A index, B index) of every overlapping pair: each stretch between two neighbouring ends of any kind is one overlap."""
-    ends = np.union1d(ends_a, ends_b)
+    ends = merged(ends_a, ends_b)[0]
     return ends, np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
@@ -193,7 +204,7 @@ def fragment(pair: Pair, stretch: str, first: int, last: int) -> Fragment:
     mine_a, mine_b = (ends_a > first) & (ends_a <= last), (ends_b > first) & (ends_b <= last)
     a, b, ends_a, ends_b = a[mine_a], b[mine_b], ends_a[mine_a], ends_b[mine_b]
     out = Fragment(n_a=len(a), n_b=len(b), n_links=int(inside.sum()), codes=codes, times=times)
-    common = np.intersect1d(ends_a, ends_b)
+    common = merged(ends_a, ends_b)[1]
     if not len(common):
         out.prefix_a, out.prefix_b = a, b
         return out
@@ -244,53 +255,74 @@ def words_of(text: str) -> list[str]:
 
 
 class Words:
-    """Aligned forms of different words, by number: numbers of tokens, groups and links, text of the groups and pairs."""
-
-    def __init__(self, pair: Pair, words: list[str]) -> None:
+    """Aligned forms of different words, by number: numbers of tokens, groups and links, text of the groups and pairs. Held for one task and up to a number of words."""
+
+    def __init__(self, pair: Pair, most: int = MOST_WORDS) -> None:
+        self.pair, self.most = pair, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.text: list[bytes] = []
+        self.counts, self.codes, self.first_link = np.zeros((5, 0), np.int64), _none(), np.zeros(1, np.int64)
+
+    def numbers(self, rows: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of the words of every row; words not seen before are aligned first."""
+        seen = set().union(*rows)
+        new = list(seen - self.index.keys())
+        if len(self.index) + len(new) > self.most:
+            self._forget()
+            new = list(seen)
+        if new:
+            self._learn(new)
+        get = self.index.__getitem__
+        return [np.array(list(map(get, row)), np.int64) for row in rows]
+
+    def _learn(self, words: list[str]) -> None:
+        """Append (tokens of A, of B, groups, links, 1 if it has no tokens), groups and pairs of every word."""
+        pair, n = self.pair, len(words)
+        self.index.update(zip(words, range(len(self.index), len(self.index) + n)))
         plain = [i for i, w in enumerate(words) if not _ODD_WORD.search(w)]
-        ids = self._together(pair, [words[i] for i in plain])
+        ids = self._together([words[i] for i in plain])
         if ids is None:
             plain, ids = [], (_none(), _none(), _none(), _none())
-        rest = sorted(set(range(len(words))) - set(plain))
-        a, b, word_a, word_b = ids
         number = np.array(plain, np.int64)
-        parts_a, parts_b, at_a, at_b = [a], [b], [number[word_a]], [number[word_b]]
-        self.whole = np.ones(len(words), bool)
-        for i in rest:
+        parts_a, parts_b, at_a, at_b = [ids[0]], [ids[1]], [number[ids[2]]], [number[ids[3]]]
+        bad = np.zeros(n, np.int64)
+        for i in sorted(set(range(n)) - set(plain)):
             found = pair.tokens(words[i])
             if found is None:
-                self.whole[i] = False
+                bad[i] = 1
                 continue
-            parts_a.append(found[0])
-            parts_b.append(found[1])
-            at_a.append(np.full(len(found[0]), i))
-            at_b.append(np.full(len(found[1]), i))
+            for part, at, tokens in ((parts_a, at_a, found[0]), (parts_b, at_b, found[1])):
+                part.append(tokens)
+                at.append(np.full(len(tokens), i))
         a, b, word_a, word_b = (np.concatenate(x) for x in (parts_a, parts_b, at_a, at_b))
-        by_a, by_b = np.argsort(word_a, kind="stable"), np.argsort(word_b, kind="stable")
-        a, b, word_a, word_b = a[by_a], b[by_b], word_a[by_a], word_b[by_b]
+        if len(parts_a) > 1:
+            by_a, by_b = np.argsort(word_a, kind="stable"), np.argsort(word_b, kind="stable")
+            a, b, word_a, word_b = a[by_a], b[by_b], word_a[by_a], word_b[by_b]
         ends_a, ends_b = np.cumsum(pair.a.sizes[a]), np.cumsum(pair.b.sizes[b])
-        common = np.intersect1d(ends_a, ends_b)
-        ends, link_a, link_b = overlaps(ends_a, ends_b)
-        n = len(words)
-        self.n_a, self.n_b = np.bincount(word_a, minlength=n), np.bincount(word_b, minlength=n)
-        self.n_groups = np.bincount(word_a[np.searchsorted(ends_a, common)], minlength=n)
-        word = word_a[link_a]
-        self.n_links, self.codes = np.bincount(word, minlength=n), code(a[link_a], b[link_b])
-        self.first_link = np.r_[0, np.cumsum(self.n_links)]
+        _, common = merged(ends_a, ends_b)
+        _, link_a, link_b = overlaps(ends_a, ends_b)
+        word_of_group = word_a[np.searchsorted(ends_a, common)]
+        n_links = np.bincount(word_a[link_a], minlength=n)
+        counts = [np.bincount(word_a, minlength=n), np.bincount(word_b, minlength=n), np.bincount(word_of_group, minlength=n), n_links, bad]
         marked, groups = pair.text_of(a, b, np.searchsorted(common, ends_a), np.searchsorted(common, ends_b))
-        sizes = np.char.str_len(marked) if len(marked) else _none()
-        cut = np.r_[0, np.cumsum(np.bincount(word_a[np.searchsorted(ends_a, common)][groups], sizes, n))].astype(np.int64) if len(groups) else np.zeros(n + 1, np.int64)
+        sizes = np.bincount(word_of_group[groups], np.char.str_len(marked), n) if len(marked) else np.zeros(n)
+        cuts = np.r_[0, np.cumsum(sizes)].astype(np.int64).tolist()
         data = marked.tobytes().replace(b"\0", b"")
-        self.text = [data[p:q] for p, q in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        self.text += [data[p:q] for p, q in zip(cuts, cuts[1:])]
+        self.counts = np.hstack([self.counts, np.stack(counts)])
+        self.codes = np.r_[self.codes, code(a[link_a], b[link_b])]
+        self.first_link = np.r_[self.first_link, self.first_link[-1] + np.cumsum(n_links)]
 
-    @staticmethod
-    def _together(pair: Pair, words: list[str]) -> tuple[np.ndarray, ...] | None:
+    def _together(self, words: list[str]) -> tuple[np.ndarray, ...] | None:
         """Ids of all words in a row and the word of each: every word begins at a safe place, so it keeps its own tokens."""
-        found = pair.tokens("".join(words)) if words else (_none(), _none())
+        found = self.pair.tokens("".join(words)) if words else (_none(), _none())
         if found is None:
             return None
         bounds = np.cumsum([len(w.encode()) for w in words])
-        return (*found, np.searchsorted(bounds, np.cumsum(pair.a.sizes[found[0]])), np.searchsorted(bounds, np.cumsum(pair.b.sizes[found[1]])))
+        return (*found, *(np.searchsorted(bounds, np.cumsum(v.sizes[ids])) for v, ids in zip((self.pair.a, self.pair.b), found)))
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -298,22 +330,18 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def aligned(pair: Pair, texts: list[str]) -> Iterator[tuple]:
+def aligned(words: Words, texts: list[str]) -> Iterator[tuple]:
     """(n_a, n_b, n_groups, n_links, hash of the groups, codes, times) of every text; zeros and an empty hash where it has no tokens."""
-    rows = [words_of(t) if t else [] for t in texts]
-    index: dict[str, int] = {}
-    numbers = [np.fromiter((index.setdefault(w, len(index)) for w in row), np.int64, len(row)) for row in rows]
-    words = Words(pair, list(index))
+    rows = words.numbers([words_of(t) if t else [] for t in texts])
     first = np.r_[0, np.cumsum([len(r) for r in rows])]
-    flat = np.concatenate(numbers) if numbers else _none()
-    sums = np.stack([_sums(x[flat], first) for x in (words.n_a, words.n_b, words.n_groups, words.n_links, ~words.whole)], axis=1).tolist()
-    for k, row in enumerate(numbers):
-        n_a, n_b, n_groups, n_links, bad = sums[k]
+    flat = np.concatenate(rows) if rows else _none()
+    sums = np.stack([_sums(x[flat], first) for x in words.counts], axis=1).tolist()
+    for row, (n_a, n_b, n_groups, n_links, bad) in zip(rows, sums):
         if bad or not n_a:
             yield 0, 0, 0, 0, "", _none(), _none()
             continue
         digest = hashlib.sha256(b"".join(map(words.text.__getitem__, row.tolist()))[:-1]).hexdigest()
-        length = words.n_links[row]
+        length = words.counts[3][row]
         at = np.repeat(words.first_link[row] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(n_links)
         yield n_a, n_b, n_groups, n_links, digest, *tallied(words.codes[at])
 
@@ -357,10 +385,10 @@ def _short(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        pair, schema = Pair(*files), [("key", pa.int64()), ("doc_id", to_arrow_type(id_type)), *_schema(_DOCUMENT)]
+        words, schema = Words(Pair(*files)), [("key", pa.int64()), ("doc_id", to_arrow_type(id_type)), *_schema(_DOCUMENT)]
 
         def out(keys: list, texts: list) -> pa.RecordBatch:
-            return _batch([[*k, *r[:5], _packed(r[5]), _packed(r[6])] for k, r in zip(keys, aligned(pair, texts))], schema)
+            return _batch([[*k, *r[:5], _packed(r[5]), _packed(r[6])] for k, r in zip(keys, aligned(words, texts))], schema)
 
         for batch in batches:
             keys, texts, size = [], [], 0

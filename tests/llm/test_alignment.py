@@ -52,8 +52,11 @@ def odd_texts(seed: int, n: int) -> list[str]:
 
 
 def test_words_give_the_tokens_of_whole_texts(pair):
-    texts = odd_texts(1, 3000) + ["", " ", "  ", "a ", " a", "a  ", "\n", " \n ", "▁", "a ▁b", "word"]
-    for text, row in zip(texts, alignment.aligned(pair, texts)):
+    texts = odd_texts(1, 3000) + odd_texts(1, 50) + ["", " ", "  ", "a ", " a", "a  ", "\n", " \n ", "▁", "a ▁b", "word"]
+    words, found = alignment.Words(pair, 2_000), []
+    for i in range(0, len(texts), 400):
+        found += alignment.aligned(words, texts[i : i + 400])
+    for text, row in zip(texts, found, strict=True):
         want = plainly(pair, text)
         if want is None:
             assert row[:5] == (0, 0, 0, 0, ""), repr(text)
