@@ -1,8 +1,8 @@
 """Packing token sequences: first-fit decreasing with a tournament tree of bin capacities, on its own in each randomised group of documents.
 
 Every document becomes its token ids and one end id. Whole stretches of ``length`` ids are sequences of their own; what is left of the documents of a group is
-packed, longest first, each into the first open sequence that has room. Groups are drawn by a hash of id and text, hold about ``GROUP_ROWS``
-documents and are cut at ``GROUP_PIECES`` pieces, so no task holds more however often one row repeats. Results by case: a null or empty text is the end id alone;
+packed, longest first, each into the first open sequence that has room. Groups are drawn by a hash of id, text and place in the scan, so that
+copies of a row are spread; they hold about ``GROUP_ROWS`` documents and are cut at ``GROUP_PIECES`` pieces. Results by case: a null or empty text is the end id alone;
 null ids are kept; rows that repeat are packed each; an empty table gives no rows; further columns are not read.
 """
 
@@ -18,14 +18,18 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedops.llm.hashing import as_text, slices
+from feedops.llm.hashing import as_text, released, slices
 from feedops.llm.registry import Tables, query
 
 LENGTH, END_ID = 2048, 1
 GROUP_ROWS, GROUP_PIECES = 1024, 8192
-# Words whose ids a worker remembers: two generations of so many.
-CACHE_WORDS = 500_000
-CHUNK = 1000
+# Words whose ids a task remembers: two generations of so many (about 150 bytes each).
+CACHE_WORDS = 300_000
+CHUNK = 5000
+# Fixed value: how the vocabulary marks the last piece of a unit.
+WORD_END = "</w>"
+# ASCII marks that the tokenizer neither joins with letters nor reads as a contraction.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordIds:
@@ -38,20 +42,23 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old, self.most = Tokenizer.from_file(path), {"": b""}, {}, CACHE_WORDS
+        vocabulary = self.tokenizer.get_vocab()
+        # The ids that end a unit.
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, cores: list[str]) -> None:
         """Ids of words of letters only, many in one call: each is one unit for the tokenizer."""
         for i in range(0, len(cores), CHUNK):
             chunk = cores[i : i + CHUNK]
-            found = self.tokenizer.encode(" ".join(chunk), add_special_tokens=False)
-            ids, unit = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-            if len(unit) and unit[-1] + 1 == len(chunk):
-                cuts = np.searchsorted(unit, np.arange(len(chunk) + 1))
-                data = ids.tobytes()
-                self.young.update((w, data[4 * a : 4 * b]) for w, a, b in zip(chunk, cuts[:-1].tolist(), cuts[1:].tolist()))
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) == len(chunk):
+                data, stops = ids.tobytes(), (4 * stops).tolist()
+                self.young.update((w, data[p:q]) for w, p, q in zip(chunk, [0, *stops], stops))
             else:
                 self.young.update(zip(chunk, self._encode(chunk)))
 
@@ -63,30 +70,29 @@ class WordIds:
             self.old = old = young
             self.young = young = {"": b""}
             missing = words
-        letters, ended, rest = [], [], []
+        letters, ended, rest = set(), [], []
         for w in missing:
             known = old.get(w)
             if known is not None:
                 young[w] = known
-            elif w.isalpha() and w.isascii():
-                letters.append(w)
-            elif w[-1:] in (".", ",") and w[:-1].isalpha() and w[:-1].isascii():
-                ended.append(w)
+            elif w.isalpha():
+                letters.add(w)
+            elif (core := w.rstrip(MARKS)).isalpha() and core.lower().isalpha():
+                # Marks behind letters are a unit of their own (not behind an accent that lower-casing splits off).
+                ended.append((w, core, w[len(core) :]))
+                letters.add(core)
             elif w:
                 rest.append(w)
-        cores = {w[:-1] for w in ended}
-        for w in cores - young.keys():
-            known = old.get(w)
-            if known is not None:
-                young[w] = known
-            else:
-                letters.append(w)
-        self._letters(list(set(letters)))
+        self._letters([w for w in letters if w not in young])
         if rest:
             young.update(zip(rest, self._encode(rest)))
         if ended:
-            marks = dict(zip(".,", self._encode([".", ","])))
-            young.update((w, young[w[:-1]] + marks[w[-1]]) for w in ended)
+            tails = list({tail for _, _, tail in ended})
+            marks = dict(zip(tails, self._encode(tails)))
+            young.update([(w, young[core] + marks[tail]) for w, core, tail in ended])
+
+    def forget(self) -> None:
+        self.young, self.old = {"": b""}, {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
         rows = []
@@ -101,7 +107,7 @@ class WordIds:
 
 
 def word_ids(path: str, cache_words: int) -> WordIds:
-    """The worker's own ``WordIds``, kept from task to task."""
+    """The worker's own ``WordIds``: its tokenizer is kept from task to task, its words only for a task."""
     home = sys.modules.setdefault("_packing_word_ids", types.ModuleType("_packing_word_ids"))
     if path not in home.__dict__:
         home.__dict__[path] = WordIds(path)
@@ -136,7 +142,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
     One shuffle, of the texts. Sorting within partitions fixes the order in a group, so a repeated task gives the same sequences.
     """
     groups = max(1, -(-docs.count() // group_rows))
-    place = F.xxhash64("doc_id", "text")
+    # A row's place in the scan tells copies apart: they lie in groups of their own.
+    place = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
     rows = docs.select("doc_id", "text").withColumn("_place", place).withColumn("_group", F.pmod(F.shiftright("_place", 20), F.lit(groups).cast("long")))
     rows = rows.repartition("_group").sortWithinPartitions("_group", "_place", "doc_id")
     id_type = docs.schema["doc_id"].dataType
@@ -189,8 +196,9 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
                 if whole:
                     yield batch_of(whole)
         yield from flush()
+        ids.forget()
 
-    return rows.mapInArrow(run, f"doc_id {id_type.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(released(run), f"doc_id {id_type.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 @query("op8_packing")
