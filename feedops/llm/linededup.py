@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedops.llm import bloom
-from feedops.llm.hashing import Rolling, as_text, mix, slices
+from feedops.llm.hashing import Rolling, as_text, mix, released, slices
 from feedops.llm.registry import Tables, query
 from feedops.session import pinned
 
@@ -160,7 +160,7 @@ def line_places(docs: DataFrame, min_chars: int) -> DataFrame:
                 line = _rolling(data).ranges(begin[long], end[long]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(line), pa.array(ids[a + row[long]]), pa.array(keys[a + row[long]]), pa.array(number[long].astype(np.int32))], ["line", "id", "text_key", "number"])
 
-    return _slim(docs).mapInArrow(run, "line long, id long, text_key long, number int")
+    return _slim(docs).mapInArrow(released(run), "line long, id long, text_key long, number int")
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def segment_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                         held.append(np.full(int(ok.sum()), shorter == 0 and shift == 0))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(lines).view(np.int64)), pa.array(np.concatenate(held))], ["key", "line", "held"])
 
-    return docs.select("text").mapInArrow(run, "key long, line long, held boolean")
+    return docs.select("text").mapInArrow(released(run), "key long, line long, held boolean")
 
 
 def _line_texts(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
@@ -218,7 +218,7 @@ def _line_texts(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
                 content = pa.array([joined[x:y] for x, y in zip(begin[at].tolist(), end[at].tolist())], pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(line), content, *map(pa.array, _parities(data, begin[at], end[at]))], ["line", "content", "singles", "doubles"])
 
-    found = docs.select("text").mapInArrow(run, "line long, content string, singles long, doubles long")
+    found = docs.select("text").mapInArrow(released(run), "line long, content string, singles long, doubles long")
     return _possible(found, "line", lines).join(lines, "line", "left_semi").dropDuplicates(["line"])
 
 
@@ -259,7 +259,7 @@ def late_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars
                                                                                    F.col("singles").alias("_singles"), F.col("doubles").alias("_doubles"))
         pairs = open_.where(F.col("place") > low).join(earlier, "key").where("place > _place and (held or _held)").where(close).select("line", "other").distinct()
         pairs = pairs.join(contents.select("line", F.col("content").alias("_x")), "line").join(contents.select(F.col("line").alias("other"), F.col("content").alias("_y")), "other")
-        now = pairs.select("line", "_x", "_y").mapInArrow(check, "line long").distinct()
+        now = pairs.select("line", "_x", "_y").mapInArrow(released(check), "line long").distinct()
         late = pinned(now if late is None else late.unionByName(now))
         low, high = high, 2 * high if high < 4 else high * high
     return late if late is not None else members.select("line").limit(0)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from feedops.llm import bloom
 from feedops.llm.graph import components, release
-from feedops.llm.hashing import as_text, mix, slices, words
+from feedops.llm.hashing import as_text, mix, released, slices, words
 from feedops.llm.registry import Tables, query
 from feedops.session import pinned
 
@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     ["doc_id", "text_key", "node", "n_shingles", "bands", "packed", "marks"])
 
     rows = docs.select("doc_id", "text", text_key().alias("text_key"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, text_key long, node binary, n_shingles long, bands array<long>, packed array<long>, marks array<long>")
+    return rows.mapInArrow(released(run), f"doc_id {id_type}, text_key long, node binary, n_shingles long, bands array<long>, packed array<long>, marks array<long>")
 
 
 def text_key() -> Column:
@@ -163,7 +163,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 found = _distinct(*shingles(texts, a, b, size))
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"])
 
-    return rows.mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
+    return rows.mapInArrow(released(run), "node binary, shingles binary").dropDuplicates(["node"])
 
 
 def near(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -188,7 +188,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, near: DataFrame, size: int, p
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     full = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb")), "b")
-    return full.mapInArrow(run, "a binary, b binary")
+    return full.mapInArrow(released(run), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

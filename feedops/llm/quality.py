@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from feedops.llm.hashing import as_text, raw, slices, word_bounds, Rolling
+from feedops.llm.hashing import Rolling, as_text, raw, released, slices, word_bounds
 from feedops.llm.registry import Tables, query
 
 SAMPLE = 16_000
@@ -160,7 +160,7 @@ def _with_features(picked: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("share"), pa.array(found, pa.binary())], ["doc_id", "label", "share", "features"])
 
     types = dict(picked.dtypes)
-    return picked.mapInArrow(run, f"doc_id {types['doc_id']}, label {types['label']}, share double, features binary")
+    return picked.mapInArrow(released(run), f"doc_id {types['doc_id']}, label {types['label']}, share double, features binary")
 
 
 def score(docs: DataFrame, model: bytes) -> DataFrame:
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
                 out[row] = 1 / (1 + np.exp(-np.clip(slope * margin + intercept, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "_score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("_score", DoubleType()))
+    return docs.mapInArrow(released(run), StructType([*docs.schema.fields]).add("_score", DoubleType()))
 
 
 def held_out(doc_id: Column) -> Column:
