@@ -42,7 +42,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 ids. The workers already hold what the stages before left them, so they remember fewer words."""
+    """Token sequences of at most 2048 ids. The workers serve all stages, so a task remembers fewer words."""
     prepared(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=120_000)
 
