@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedops.functions.expr import contains_any, let
+from feedops.functions.expr import let
 
 # Crawler and script signatures, in matching order.
 CRAWLER_SIGNATURES = (
@@ -40,21 +41,29 @@ API_PATHS = (
 PROBE_PATHS = ("/actuator", "/actuator/env", "/actuator/health", "/health", "/debug", "/metrics")
 
 
-def matched_signature(user_agent: Column, signatures: Sequence[str] = CRAWLER_SIGNATURES) -> Column:
-    """First listed signature contained in the user agent in any case, else NULL."""
+def _alternation(words: Sequence[str]) -> str:
+    """A pattern for any of ``words``, grouped by first letter; within a letter the given order stays."""
+    letters: dict[str, list[str]] = {}
+    for word in dict.fromkeys(words):
+        letters.setdefault(word[:1], []).append(re.escape(word[1:]))
+    return "|".join(f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in letters.items())
+
 
-    def first(agent: Column) -> Column:
-        found = F.lit(None).cast("string")
-        for signature in reversed(signatures):
-            found = F.when(agent.contains(signature.lower()), F.lit(signature)).otherwise(found)
-        return found
+def matched_signature(user_agent: Column, signatures: Sequence[str] = CRAWLER_SIGNATURES) -> Column:
+    """First listed signature contained in the user agent in any case, else NULL.
 
-    return let(F.lower(F.coalesce(user_agent, F.lit(""))), first)
+    One pass over the agent finds, at every place, what begins there; the list's order then decides among the few that were found.
+    """
+    listed = {s.lower(): s for s in reversed(signatures)}
+    lower = list(dict.fromkeys(s.lower() for s in signatures))
+    found = F.regexp_extract_all(F.lower(F.coalesce(user_agent, F.lit(""))), F.lit(f"(?=({_alternation(lower)}))"), F.lit(1))
+    first = F.array_position(F.array(*[F.lit(s) for s in lower]), F.get(F.array_intersect(F.array(*[F.lit(s) for s in lower]), found), F.lit(0)))
+    return F.get(F.array(*[F.lit(listed[s]) for s in lower]), (first - 1).cast("int"))
 
 
 def is_browser_or_preview(user_agent: Column, tokens: Sequence[str] = BROWSER_TOKENS) -> Column:
     """J2."""
-    return let(F.lower(F.coalesce(user_agent, F.lit(""))), lambda ua: contains_any(ua, tokens))
+    return F.lower(F.coalesce(user_agent, F.lit(""))).rlike(_alternation(tokens))
 
 
 def normalize_path(path: Column) -> Column:
@@ -63,25 +72,26 @@ def normalize_path(path: Column) -> Column:
     return F.when(rooted == "/", rooted).otherwise(F.regexp_replace(rooted, "/+$", ""))
 
 
-def classify_request(user_agent: Column, path: Column) -> Column:
-    """struct(category, matched_signature), both NULL for ordinary traffic."""
+def classified(signature: Column, browser: Column, path: Column) -> Column:
+    """J4 from its parts: struct(category, matched_signature), both NULL for ordinary traffic."""
+    low = F.lower(path)
+    category = (
+        F.when(signature.isNull() & browser, F.lit(None).cast("string"))
+        .when(low.isin(*CREDENTIAL_PATHS), F.lit("credential-hunter"))
+        .when(low.isin(*EXPLOIT_PATHS) | low.startswith("/cgi-bin/"), F.lit("exploit-scanner"))
+        .when(low.isin(*API_PATHS), F.lit("api-scanner"))
+        .when(low.isin(*PROBE_PATHS) | low.startswith("/actuator/"), F.lit("probe"))
+        .when(signature.isNotNull(), F.lit("ai-crawler"))
+    )
+    by_agent = (category == "ai-crawler") & (low != "/robots.txt")
+    matched = F.when(by_agent, signature).when(category.isNotNull(), path)
+    return F.struct(category.alias("category"), matched.alias("matched_signature"))
 
-    def decide(s: Column) -> Column:
-        signature, shown, low = s["signature"], s["path"], F.lower(s["path"])
-        ordinary = signature.isNull() & is_browser_or_preview(user_agent)
-        category = (
-            F.when(ordinary, F.lit(None).cast("string"))
-            .when(low.isin(*CREDENTIAL_PATHS), F.lit("credential-hunter"))
-            .when(low.isin(*EXPLOIT_PATHS) | low.startswith("/cgi-bin/"), F.lit("exploit-scanner"))
-            .when(low.isin(*API_PATHS), F.lit("api-scanner"))
-            .when(low.isin(*PROBE_PATHS) | low.startswith("/actuator/"), F.lit("probe"))
-            .when(signature.isNotNull(), F.lit("ai-crawler"))
-        )
-        by_agent = (category == "ai-crawler") & (low != "/robots.txt")
-        matched = F.when(by_agent, signature).when(category.isNotNull(), shown)
-        return F.struct(category.alias("category"), matched.alias("matched_signature"))
 
-    return let(F.struct(matched_signature(user_agent).alias("signature"), normalize_path(path).alias("path")), decide)
+def classify_request(user_agent: Column, path: Column) -> Column:
+    """struct(category, matched_signature), both NULL for ordinary traffic."""
+    parts = F.struct(matched_signature(user_agent).alias("signature"), is_browser_or_preview(user_agent).alias("browser"), normalize_path(path).alias("path"))
+    return let(parts, lambda s: classified(s["signature"], s["browser"], s["path"]))
 
 
 def response_shape(path: Column, status: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedops.functions.media import MIB
+from feedops.session import pinned
 
 
 def feed_items(items: DataFrame) -> DataFrame:
@@ -68,6 +71,26 @@ def snapshot_diff(previous: DataFrame, current: DataFrame, key: str = "image_id"
     )
 
 
+def with_position(rows: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """0-based place of every row in the given order, without one sorted task: ranges of the order, then the counts of the ranges before."""
+    ranged = pinned(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    # One row per range; the window sees as many rows as there are ranges.
+    before = F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")
+    offsets = counts.select("_part", before.alias("_before"))
+    inside = F.col("_place") - F.shiftleft(F.col("_part"), 33)
+    return ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_place", "_before")
+
+
+def snapshot_changes(previous: DataFrame, current: DataFrame, order: Sequence[str], key: str = "image_id") -> DataFrame:
+    """D8 with ``position``: the place of each fresh item among the fresh ones in feed order (``order``, newest first), NULL for others."""
+    changes = snapshot_diff(previous, current, key)
+    fresh = changes.filter("status = 'fresh'").join(current.select(key, *order), key)
+    placed = with_position(fresh, [*[F.col(c).desc() for c in order], F.col(key).desc()]).drop(*order)
+    return placed.unionByName(changes.filter("status <> 'fresh'").withColumn("position", F.lit(None).cast("bigint")))
+
+
 def store_stats(live: DataFrame, now_us: Column, started_us: Column, max_bytes: int) -> DataFrame:
     """E5: one row about the feed's contents; latest and age are NULL when it is empty."""
     totals = live.agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedops.functions.expr import evaluated
 from feedops.functions.labels import client_ip
-from feedops.functions.scan import classify_request, response_shape
+from feedops.functions.scan import classified, is_browser_or_preview, matched_signature, normalize_path, response_shape
 from feedops.operators.dedup import sorted_keys
 
 SCAN_EVENT_SCHEMA = (
@@ -23,7 +23,9 @@ def drop_internal_requests(log: DataFrame, path: str = "path") -> DataFrame:
 
 def scan_events(log: DataFrame) -> DataFrame:
     """Matched requests as events. The id is a hash of the row, so a re-run or a retried task yields the same id."""
-    matched = evaluated(log, "_m", classify_request(F.col("user_agent"), F.col("path"))).filter(F.col("_m.category").isNotNull())
+    parts = F.struct(matched_signature(F.col("user_agent")).alias("signature"), is_browser_or_preview(F.col("user_agent")).alias("browser"), normalize_path(F.col("path")).alias("path"))
+    staged = evaluated(log, "_p", parts)
+    matched = evaluated(staged, "_m", classified(F.col("_p.signature"), F.col("_p.browser"), F.col("_p.path"))).filter(F.col("_m.category").isNotNull())
     event_id = F.left(F.sha2(F.concat_ws("\x1f", F.col("id").cast("string"), F.unix_micros("ts").cast("string"),
                                          "user_agent", "method", "path"), 256), F.lit(32))
     return matched.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedops.functions.expr import micros
 from feedops.functions.labels import matches_source_filter, relative_age, source_of_gallery
 from feedops.operators import feed as O
 from registry.base import Tables, query
@@ -56,6 +57,21 @@ def _(t: Tables) -> DataFrame:
                            after.select(F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") % 7).alias("likes")))
 
 
+@query("d8_snapshot_positions", """
+WITH p AS (SELECT o_orderkey AS k, o_custkey % 9 AS likes FROM orders WHERE o_orderdate < DATE '1998-06-01'),
+c AS (SELECT o_orderkey AS k, o_custkey % 7 AS likes, epoch_us(o_orderdate) AS created_us FROM orders WHERE o_orderdate >= DATE '1998-01-01')
+SELECT coalesce(c.k, p.k) AS image_id, CASE WHEN c.k IS NULL THEN 'removed' WHEN p.k IS NULL THEN 'fresh' ELSE 'kept' END AS status,
+ CASE WHEN c.k IS NOT NULL THEN greatest(p.likes, c.likes) END AS likes,
+ CASE WHEN p.k IS NULL THEN row_number() OVER (PARTITION BY p.k IS NULL ORDER BY c.created_us DESC, c.k DESC) - 1 END AS position FROM p FULL JOIN c ON p.k = c.k""")
+def _(t: Tables) -> DataFrame:
+    """What changed, and where in the feed each fresh item goes."""
+    before = t.orders.filter(F.col("o_orderdate") < F.lit("1998-06-01").cast("timestamp_ntz"))
+    after = t.orders.filter(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
+    return O.snapshot_changes(before.select(F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") % 9).alias("likes")),
+                              after.select(F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") % 7).alias("likes"), micros(F.col("o_orderdate")).alias("created_us")),
+                              ["created_us"])
+
+
 @query("d10_lookup_item", f"""WITH {FEED_SQL}
 SELECT e.event_id AS image_id, e.event_type = 'view' AS thumbnail,
  CASE WHEN s.seq IS NULL THEN NULL WHEN e.event_type = 'view' AND s.bytes > 20000 THEN 'thumb-' || s.seq ELSE 'data-' || s.seq END AS content

@@ -188,3 +188,12 @@ def test_scanner_rules(one):
     shapes = {("/.git/config", 200): "decoy-git-config", ("/.env", 200): "decoy-credentials", ("/actuatorx", 200): "decoy-actuator", ("/x", 404): "decoy-not-found",
               ("/x", 200): "decoy-generic", ("//", 200): "decoy-generic", ("/ADMIN/", 200): "decoy-login", ("v2", 200): "decoy-api-index"}
     assert one(*[scan.response_shape(L(p), L(s)) for p, s in shapes]) == tuple(shapes.values())
+
+
+def test_signatures_in_list_order_wherever_they_lie(spark):
+    agents = ["Mozilla axios GPTBot", "xokhttpx", "okhttpclient/1", "Meta-EXTERNALAGENT", "nothing", "", None, "curlwget", "go-HTTP-client httpclient", "wgethttpx httpclient"]
+    low = [(a, next((s for s in scan.CRAWLER_SIGNATURES if s.lower() in (a or "").lower()), None)) for a in agents]
+    df = spark.createDataFrame([(a,) for a in agents], "ua string").select("ua", scan.matched_signature(F.col("ua")).alias("s"))
+    assert [(r.ua, r.s) for r in df.collect()] == low
+    few = spark.createDataFrame([("a+b",), ("ab",)], "ua string").select(scan.matched_signature(F.col("ua"), ["b", "A+"]).alias("s"))
+    assert [r.s for r in few.collect()] == ["b", "b"]
