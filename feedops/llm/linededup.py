@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from feedops.llm import bloom
 from feedops.llm.hashing import Rolling, as_text, mix, released, slices
-from feedops.llm.registry import Tables, query
+from feedops.llm.registry import Tables, carrying, query
 from feedops.session import pinned
 
 EDITS, MIN_CHARS = 2, 20
@@ -277,7 +277,11 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
 
 
 def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` without repeated lines, and ``_repeated``: the numbers of the lines that went (null if none)."""
+    """``docs`` without repeated lines, and ``_repeated``: the numbers of the lines that went (null if none; in place of a given column of that name)."""
+    return carrying(docs, ("doc_id", "text", "n_chars"), lambda rows: _dropped(rows, edits, min_chars), ["_repeated"])
+
+
+def _dropped(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     found = pinned(repeated_lines(docs, edits, min_chars)).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("repeated").alias("_repeated"))
     rows, numbers = found.agg(F.count("*"), F.coalesce(F.sum(F.size("_repeated")), F.lit(0))).first()
     if rows <= BROADCAST_ROWS and numbers <= 8 * BROADCAST_ROWS:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from feedops.llm import bloom
 from feedops.llm.graph import components, release
 from feedops.llm.hashing import as_text, mix, released, slices, words
-from feedops.llm.registry import Tables, query
+from feedops.llm.registry import Tables, carrying, query
 from feedops.session import pinned
 
 SHINGLE, PERCENT = 4, 80
@@ -249,7 +249,11 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id; of rows that repeat whole, one."""
+    """``docs`` with one document of each component: the one with the smallest id; of rows that repeat id and text, one."""
+    return carrying(docs, ("doc_id", "text"), lambda rows: _single(rows, size, percent))
+
+
+def _single(docs: DataFrame, size: int, percent: int) -> DataFrame:
     decided = near_duplicates(docs, size, percent).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).agg(F.min("kept").alias("_kept"), F.count("*").alias("_rows"))
     odd = pinned(decided.where("not _kept or _rows > 1").select("_id", "_text", "_kept"))
     if odd.count() <= BROADCAST_ROWS:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedops.llm.registry import Tables, query
+from feedops.llm.registry import Tables, carrying, query
 from feedops.session import pinned
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -111,6 +111,10 @@ def taken(rows: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mixed corpus, with the columns of ``docs``: a row for every repetition; a partial one has the first words of its text."""
+    return carrying(docs, ("doc_id", "text", "source", "lang", "n_chars"), lambda rows: _mixed(rows, weights, max_epochs, seed))
+
+
+def _mixed(docs: DataFrame, weights: Sequence[float], max_epochs: float, seed: int) -> DataFrame:
     keyed = _keyed(docs, seed)
     plan, sources = mixing_plan(pinned(keyed.select("_source", "_size", "_place")), weights, max_epochs)
     rows = taken(keyed, plan, sources)

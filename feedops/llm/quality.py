@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from feedops.llm.hashing import Rolling, as_text, raw, released, slices, word_bounds
-from feedops.llm.registry import Tables, query
+from feedops.llm.registry import Tables, carrying, query
 
 SAMPLE = 16_000
 TRIGRAM_BITS, SHAPE_BITS = 15, 13
@@ -164,8 +164,11 @@ def _with_features(picked: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, model: bytes) -> DataFrame:
-    """All columns of ``docs`` and ``_score``, from 0 to 1."""
+    """All columns of ``docs`` and ``_score``, from 0 to 1 (in place of a given column of that name)."""
+    return carrying(docs, ("doc_id", "text"), lambda rows: _scored(rows, model), ["_score"])
 
+
+def _scored(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = np.frombuffer(model, np.float64)
         w, squared = values[:N_FEATURES], values[N_FEATURES : 2 * N_FEATURES] ** 2

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from feedops.llm.hashing import Rolling, as_text, mix, raw, slices, word_bounds
-from feedops.llm.registry import Tables, query
+from feedops.llm.registry import Tables, carrying, query
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -126,8 +126,11 @@ def log_ratios(counts: np.ndarray) -> np.ndarray:
 
 
 def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs``, the counts, ``llr`` (null for texts under three bytes), ``base_failed`` and ``kept``."""
+    """All columns of ``docs``, the counts, ``llr`` (0 for texts under three bytes), ``base_failed`` and ``kept`` (in place of given columns of those names)."""
+    return carrying(docs, ("doc_id", "text"), lambda rows: _judged(rows, ratios, threshold), [*COUNTS, "llr", "base_failed", "kept"])
 
+
+def _judged(docs: DataFrame, ratios: np.ndarray, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_text(batch.column("text"))
