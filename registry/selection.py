@@ -14,6 +14,7 @@ from feedops.plans.profiles import SourceProfile
 from feedops.plans.selection import select_new_posts
 from feedops.functions.urls import SINGLE_MEDIA
 from feedops.session import scratch_folder
+from feedops.sources import versions
 from feedops.sources.tables import append_ledger, read_ledger
 from registry.base import Tables, query
 
@@ -217,3 +218,13 @@ def _(t: Tables) -> DataFrame:
     append_ledger(L.ledger_add(t.spark.createDataFrame([], L.LEDGER_SCHEMA), rows.filter(F.col("delivered_at") < cut)), path)
     append_ledger(L.ledger_add(read_ledger(t.spark, path), rows.filter(F.col("delivered_at") >= cut)), path)
     return read_ledger(t.spark, path).select("gallery_name", "delivery_key", F.unix_micros("delivered_at").alias("delivered_us"))
+
+
+@query("l4_ledger_commits", f"WITH {_LEDGER_SQL} SELECT gallery_name, delivery_key, min(delivered_us) AS delivered_us FROM led GROUP BY 1, 2 HAVING min(delivered_us) >= epoch_us(TIMESTAMP '1994-01-01')")
+def _(t: Tables) -> DataFrame:
+    """The ledger as numbered commits: an append, a prune and an append that falls between the prune's read and its switch."""
+    root = f"{scratch_folder(t.spark)}/commits-{uuid.uuid4().hex}"
+    rows, cut = order_ledger(t), F.lit("1995-01-01").cast("timestamp")
+    versions.append(t.spark, root, rows.filter(F.col("delivered_at") < cut))
+    versions.prune(t.spark, root, F.lit("1994-01-01").cast("timestamp"), lambda: versions.append(t.spark, root, rows.filter(F.col("delivered_at") >= cut)))
+    return versions.read(t.spark, root).select("gallery_name", "delivery_key", F.unix_micros("delivered_at").alias("delivered_us"))

@@ -246,3 +246,30 @@ def test_latest_run_of_a_url_counts(spark):
                 "url string, request_id int, attempt int, status int, error_kind string, declared_length string, content binary")
     found = {r.url: (r.verdict, r.requests) for r in fetched_urls(log, request="request_id").collect()}
     assert found == {"a": ("success", 1), "b": ("success", 1), "c": ("permanent_failure", 1)}
+
+
+def test_ledger_commits_lose_nothing(spark, tmp_path):
+    """An append between a prune's read and its switch stays; two writers never publish the same number."""
+    from feedops.sources import versions
+
+    root = str(tmp_path / "ledger")
+
+    def ledger_of_days(*days):
+        return table(spark, [("dcinside", "g", f"post:{d}", f"2025-01-{d:02d} 00:00:00") for d in days], "source string, gallery_name string, delivery_key string, at string").select(
+            "source", "gallery_name", "delivery_key", F.to_timestamp("at").alias("delivered_at"))
+
+    def keys(names=None):
+        return sorted(r.delivery_key for r in versions.read(spark, root, names).collect())
+
+    assert versions.folders(spark, root) == (0, []) and keys() == []
+    assert versions.append(spark, root, ledger_of_days(1, 5)) == 1 and versions.append(spark, root, ledger_of_days(5, 9)) == 2
+    assert keys() == ["post:1", "post:5", "post:9"]
+    before = versions.folders(spark, root)[1]
+    number = versions.prune(spark, root, F.lit("2025-01-06").cast("timestamp"), lambda: versions.append(spark, root, ledger_of_days(2, 7)))
+    assert number == 4 and keys() == ["post:2", "post:7", "post:9"]
+    assert keys(before) == ["post:1", "post:5", "post:9"]
+    assert not versions.commit(spark, root, 4, []) and versions.folders(spark, root)[0] == 4
+    with pytest.raises(versions.ConflictError):
+        cutoff = F.lit("2025-01-03").cast("timestamp")
+        versions.prune(spark, root, cutoff, lambda: versions.prune(spark, root, cutoff))
+    assert keys() == ["post:7", "post:9"] and versions.drop_unused(spark, root, keep=1) >= 3 and keys() == ["post:7", "post:9"]
