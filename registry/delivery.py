@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from feedops.operators import delivery as D
 from feedops.operators import select as S
 from feedops.plans.acknowledge import acknowledge
 from feedops.plans.profiles import MULTI
-from feedops.sources.tables import new_outbox_rows, parse_gallery_config
+from feedops.session import scratch_folder
+from feedops.sources.tables import new_outbox_rows, parse_gallery_config, read_gallery_config
 from registry.base import Tables, query
 from registry.selection import MEDIA_ORDER, MEDIA_ORDER_SQL
 
@@ -219,13 +222,15 @@ def _(t: Tables) -> DataFrame:
 SELECT s_name AS gallery, 'https://a.example/' || s_suppkey AS base_url, 'c' || s_nationkey || ',c' || s_suppkey AS channel_ids,
  CASE WHEN s_nationkey % 2 = 0 THEN 'arcalive' ELSE 'dcinside' END AS source FROM supplier""")
 def _(t: Tables) -> DataFrame:
-    """One config text per supplier, written as JSON and parsed back."""
+    """One config file per nation, written as one JSON object and opened again."""
     settings = F.struct(
         F.concat(F.lit("https://a.example/"), "s_suppkey").alias("base_url"),
         F.array(F.concat(F.lit("c"), "s_nationkey"), F.concat(F.lit("c"), "s_suppkey")).alias("channel_ids"),
         F.when(F.col("s_nationkey") % 2 == 0, F.lit("arca")).alias("type"))
-    texts = t.supplier.select(F.to_json(F.create_map("s_name", settings)).alias("value"))
-    return parse_gallery_config(texts).select("gallery", "base_url", joined("channel_ids"), "source")
+    texts = t.supplier.groupBy("s_nationkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("s_name", settings)))).alias("value"))
+    path = f"{scratch_folder(t.spark)}/galleries-{uuid.uuid4().hex}"
+    texts.write.partitionBy("s_nationkey").text(path)
+    return read_gallery_config(t.spark, path).select("gallery", "base_url", joined("channel_ids"), "source")
 
 
 @query("b15_fix_extension", r"""

@@ -17,8 +17,9 @@ from registry.selection import MEDIA_ORDER, MEDIA_ORDER_SQL
 STATUSES = [200, 404, 429, 503, None, 408, 301, 413, 500]
 STATUS_SQL = "[200, 404, 429, 503, NULL, 408, 301, 413, 500][1 + l_partkey % 9]"
 DECISION_SQL = "CASE WHEN status IS NULL OR status IN (408, 429) OR status >= 500 THEN 'retry' WHEN status BETWEEN 400 AND 499 THEN 'permanent_failure' ELSE 'success' END"
-RETRY_AFTER = ["12", "", "-1", "junk", "0.5", "Wed, 01 Jan 2025 00:00:30 GMT", " 7 ", "1e1", "Wed, 01 Jan 2025 02:00:03 +0200", "Tue, 31 Dec 2024 23:59:59 GMT"]
-RETRY_AFTER_SQL = "[12.0, NULL, NULL, NULL, 0.5, 30.0, 7.0, 10.0, 3.0, NULL][1 + l_suppkey % 10]"
+RETRY_AFTER = ["12", "", "-1", "junk", "0.5", "Wed, 01 Jan 2025 00:00:30 GMT", " 7 ", "1e1", "Wed, 01 Jan 2025 02:00:03 +0200", "Tue, 31 Dec 2024 23:59:59 GMT",
+               "Wed, 01 Jan 2025 00:01:00 EST", "Wed Jan  1 00:00:20 2025", "inf"]
+RETRY_AFTER_SQL = "[12.0, NULL, NULL, NULL, 0.5, 30.0, 7.0, 10.0, 3.0, NULL, 18060.0, 20.0, CAST('inf' AS DOUBLE)][1 + l_suppkey % 13]"
 NOW_US = 1_735_689_600_000_000  # 2025-01-01 00:00:00 UTC
 
 
@@ -33,7 +34,7 @@ def _numbered(lines: DataFrame, rank: str) -> DataFrame:
 
 def attempts(t: Tables) -> DataFrame:
     return t.lineitem.withColumn("status", pick(STATUSES, F.col("l_partkey") % 9)).withColumn(
-        "retry_after", pick(RETRY_AFTER, F.col("l_suppkey") % 10))
+        "retry_after", pick(RETRY_AFTER, F.col("l_suppkey") % 13))
 
 
 @query("h1_classify_status", f"SELECT l_orderkey, l_partkey, status, {DECISION_SQL} AS decision FROM (SELECT *, {STATUS_SQL} AS status FROM lineitem)")
