@@ -58,7 +58,8 @@ def test_extraction_does_not_shuffle(spark, name):
     assert "MapInPandas" in text and "Exchange" not in text
 
 
-@pytest.mark.parametrize(("name", "pushed"), [("e9_prune_count", "o_orderdate"), ("d8_snapshot_diff", "LessThan(o_orderdate"), ("e8_like_counts", "ReadSchema: struct<ts:")])
+@pytest.mark.parametrize(("name", "pushed"), [("e9_prune_count", "o_orderdate"), ("d8_snapshot_diff", "LessThan(o_orderdate"), ("e8_like_counts", "ReadSchema: struct<props:string>"),
+                                             ("g1_rate_limit", "ReadSchema: struct<ts:")])
 def test_scans_read_and_filter_little(spark, name, pushed):
     text = plan(spark, name)
     assert pushed in text and "o_totalprice" not in text and "value:double" not in text
