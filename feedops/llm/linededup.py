@@ -3,7 +3,7 @@
 A line of at least ``MIN_CHARS`` characters is a repeat if an earlier line of the corpus (by document id, then place) is equal or within ``EDITS`` edits of it.
 Lines are compared stripped. Equal lines are one class. Every class is cut into EDITS + 1 segments; two lines within EDITS edits share one of
 them, at nearly the same place, so each line probes the segments of lines of its own length and up to EDITS shorter. Candidates that share a
-segment are compared in the order of their bucket's members, in rounds that double (the first member, the next, two more, four more, ...), and a line
+segment are compared in the order of their bucket's members, in rounds whose reach squares (up to 4, 16, 256, 65,536 members), and a line
 leaves as soon as an earlier one is found: a bucket of near copies costs a row per member. A banded bit-parallel edit distance verifies.
 
 Results by case: null and empty texts have no lines; shorter lines are never repeats and stay; of equal lines at the same place (a repeated row) the row is one and
