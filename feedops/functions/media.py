@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from feedops.functions.expr import let
 from feedops.functions.urls import basename
@@ -127,44 +122,56 @@ def _number(content: Column, start: int, length: int, little: bool) -> Column:
     return F.conv(digits, 16, 10).cast("bigint")
 
 
-def _jpeg_size(data: bytes | None) -> tuple[int | None, int | None]:
-    """Walk segment headers up to the frame header (SOF0-15 without DHT, JPG, DAC)."""
-    if not data or data[:2] != b"\xff\xd8":
-        return None, None
-    at = 2
-    while at + 9 <= len(data):
-        if data[at] != 0xFF:
-            return None, None
-        kind = data[at + 1]
-        if kind == 0xFF:
-            at += 1
-            continue
-        if 0xD0 <= kind <= 0xD8 or kind == 0x01:
-            at += 2
-            continue
-        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
-        if kind in (0xD9, 0xDA):
-            return None, None
-        at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
-    return None, None
-
-
-# A type object, not a string: parsing one would need a running session at import time.
-_SIZE = T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())])
-
-
-@F.pandas_udf(_SIZE)
-def _jpeg_dims(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for contents in batches:
-        sizes = [_jpeg_size(bytes(c) if c is not None else None) for c in contents]
-        yield pd.DataFrame(sizes, columns=["width", "height"]).astype("Int64")
+# Segment headers looked at per block of the walk; nearly every file is decided in the first block.
+_BLOCK = 64
+
+
+def _jpeg_step(content: Column, state: Column) -> Column:
+    """One segment header further: struct(at, width, height, open); SOF0-15 without DHT, JPG and DAC are frame headers."""
+
+    def moved(at: Column | None, width: Column | None = None, height: Column | None = None) -> Column:
+        values = (state["at"] if at is None else at, width, height, at is not None)
+        return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast(t).alias(n) for v, (n, t) in zip(values, _WALK)])
+
+    def read(head: Column) -> Column:
+        kind, at = F.substring(head, 3, 2), state["at"]
+        number = lambda start: F.conv(F.substring(head, start, 4), 16, 10)
+        frame = kind.between("C0", "CF") & ~kind.isin("C4", "C8", "CC")
+        return (
+            F.when((F.length(head) < 18) | ~head.startswith("FF") | kind.isin("D9", "DA"), moved(None))
+            .when(kind == "FF", moved(at + 1))
+            .when(kind.between("D0", "D8") | (kind == "01"), moved(at + 2))
+            .when(frame, moved(None, number(15), number(11)))
+            .otherwise(moved(at + 2 + number(5).cast("bigint")))
+        )
+
+    # The header is bound by a lambda, so it is cut out of the file once per step.
+    head = F.hex(content.substr(state["at"].cast("int") + 1, F.lit(9)))
+    return F.when(state["open"], F.get(F.transform(F.array(head), read), 0)).otherwise(state)
+
+
+_WALK = (("at", "bigint"), ("width", "bigint"), ("height", "bigint"), ("open", "boolean"))
+
+
+def _jpeg_dims(content: Column) -> Column:
+    """Walk the segment headers of a file, nine bytes at a time, until a frame header; struct with NULL sizes where none is found.
+
+    A step moves at least one byte, so blocks for the file's length always suffice; a decided file's further blocks are empty.
+    """
+    nothing = F.lit(None).cast("bigint")
+    start = F.struct(F.lit(2).cast("bigint").alias("at"), nothing.alias("width"), nothing.alias("height"), F.coalesce(F.hex(F.substring(content, 1, 2)) == "FFD8", F.lit(False)).alias("open"))
+    steps, none = F.sequence(F.lit(1), F.lit(_BLOCK)), F.array().cast("array<int>")
+    block = lambda state, _: F.aggregate(F.when(state["open"], steps).otherwise(none), state, lambda s, _: _jpeg_step(content, s))
+    first = block(start, None)
+    blocks = F.sequence(F.lit(0), (F.octet_length(content) / _BLOCK).cast("int"))
+    bound = lambda s: F.aggregate(F.when(s["open"], blocks).otherwise(none), s, block)
+    return F.get(F.transform(F.array(first), bound), 0)
 
 
 def image_dims(content: Column, extension: Column, jpeg: bool = True) -> Column:
     """struct(width, height) from the header; NULL fields when unreadable.
 
-    Fixed-offset formats stay in the JVM. Only JPEG bytes travel to the Arrow worker: every other row sends NULL.
+    All formats are read in the JVM, from the few bytes that hold a header.
     """
     png = (_number(content, 17, 4, False), _number(content, 21, 4, False))
     gif = (_number(content, 7, 2, True), _number(content, 9, 2, True))
@@ -253,6 +260,3 @@ def admission_reason(declared: Column, size: Column, extension: Column, width: C
         .when(duplicate, F.lit("duplicate"))
         .when(item_bytes(kept, thumb_size) > limits.feed_total_bytes, F.lit("413_over_capacity"))
     )
-
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

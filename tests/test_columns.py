@@ -153,6 +153,20 @@ def test_signatures_and_dimensions(one):
     assert one(*[media.expected_type_ok(L(e).cast("string"), L("jpg")) for e in (None, "", "image", "image/jpeg", "JPG", "png")]) == (True, True, True, True, True, False)
 
 
+def test_jpeg_headers_are_walked_to_any_depth(spark):
+    frame, segment = "FFC2001108" + "0102" + "0304" + "03" + "00" * 9, "FFE10004ABCD"
+    sized, unread = (0x0304, 0x0102), (None, None)
+    cases = [
+        (frame, sized), (segment * 63 + frame, sized), (segment * 500 + frame, sized), ("FF" * 300 + frame, sized), ("FFE10002" * 70 + frame, sized), ("FFE10000" + frame, unread), ("FFD0FF01" + frame, sized),
+        ("FFC4000411" + "22" + frame, sized), ("FFDA0004" + frame, unread), (segment * 100 + "FFD9" + frame, unread), (segment * 100 + "00" + frame, unread),
+        ("FFE1FFFF" + frame, unread), ("FFE1FFF0" + "11" * 0xFFEE + frame, sized), (segment * 200, unread), ("", unread)]
+    rows = spark.createDataFrame([(i, bytearray.fromhex("FFD8" + hexed)) for i, (hexed, _) in enumerate(cases)] + [(len(cases), None)], "i int, content binary")
+    dims = media.image_dims(F.col("content"), L("jpg"))
+    found = rows.select("i", dims.alias("d")).select("i", "d.*").orderBy("i")
+    assert [(r.width, r.height) for r in found.collect()] == [size for _, size in cases] + [unread]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sizes_and_admission(one):
     limits = media.MediaLimits(discord_bytes=10, telegram_bytes=8, ingest_bytes=100, feed_image_bytes=50, feed_total_bytes=60, feed_pixels=100)
     plan = [media.size_plan(L(s), L(False), L(c).cast("int"), limits) for s, c in ((8, None), (9, None), (11, 8), (11, 9))]
