@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("selection", "dedup", "delivery", "feed", "fetchlog", "scanlog", "columns", "media", "pages", "streams")
+MODULES = ("selection", "dedup", "delivery", "feed", "fetchlog", "scanlog", "columns", "media", "pages", "streams", "lifecycles")
 
 
 def load():

@@ -106,26 +106,31 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", M.item_bytes(F.octet_length("text"), F.when(F.col("doc_id") % 2 == 0, F.col("n_chars"))).alias("bytes"))
 
 
-@query("i7_admit", f"""
-WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(text)) AS size, sha256(text) AS hash, {KIND_SQL} AS ext, {SIZE_SQL}, doc_id * 100 AS t,
+# Arrivals 100 s apart, duplicates suppressed for 30,000 s.
+ADMIT_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(text)) AS size, sha256(text) AS hash, {KIND_SQL} AS ext, {SIZE_SQL}, doc_id * 100 AS t,
  ['', 'ten', '9001', ''][1 + doc_id % 4] AS declared, doc_id % 2 = 0 AS animated, CASE WHEN doc_id % 5 < 3 THEN octet_length(encode(text)) * (1 + doc_id % 5) // 3 END AS packed FROM documents),
 r AS (SELECT *, CASE WHEN declared = 'ten' THEN '400_invalid_length' WHEN declared = '9001' THEN '413_declared_too_large' WHEN size > 9000 THEN '413_body_too_large'
  WHEN ext IS NULL OR ext = 'bmp' THEN '415_unsupported_format' WHEN width * height > 3000000 THEN '415_too_many_pixels' WHEN size > 6000 AND (animated OR ext = 'gif') THEN '413_animated_too_large'
  WHEN size > 6000 AND packed IS NULL THEN 'needs_compress' WHEN size > 6000 AND packed > 6000 THEN '413_image_too_large'
  WHEN CASE WHEN size > 6000 THEN packed ELSE size END + n > 9000 THEN '413_over_capacity' END AS reason FROM (SELECT d.*, CASE WHEN doc_id % 2 = 1 THEN 4000 ELSE 0 END AS n FROM d)),
 ok AS (SELECT * FROM r WHERE reason IS NULL),
-a AS (SELECT hash, min(t) AS t FROM ok GROUP BY 1 UNION ALL SELECT ok.hash, min(ok.t) FROM ok JOIN a ON ok.hash = a.hash AND ok.t >= a.t + 30000 GROUP BY 1)
-SELECT r.doc_id, CASE WHEN r.reason IS NULL AND a.t IS NULL THEN 'duplicate' ELSE r.reason END AS reason FROM r LEFT JOIN a ON a.hash = r.hash AND a.t = r.t""")
-def _(t: Tables) -> DataFrame:
-    """Arrivals 100 s apart, duplicates suppressed for 30,000 s."""
-    rows = with_content(t.documents).select(
+a AS (SELECT hash, min(t) AS t FROM ok GROUP BY 1 UNION ALL SELECT ok.hash, min(ok.t) FROM ok JOIN a ON ok.hash = a.hash AND ok.t >= a.t + 30000 GROUP BY 1)"""
+
+
+def arrivals(t: Tables) -> DataFrame:
+    return with_content(t.documents).select(
         "doc_id", F.col("doc_id").alias("seq"), (F.col("doc_id") * 100_000_000).alias("created_us"), M.content_hash(F.encode("text", "UTF-8")).alias("content_hash"),
         F.octet_length("text").alias("size"), M.sniff_type(F.col("content")).alias("ext"), (1 + F.col("n_chars") % 2000).alias("width"),
         (1 + F.col("doc_id") % 3000).alias("height"), (F.col("doc_id") % 2 == 0).alias("animated"),
         pick_columns(F.col("doc_id") % 4, [F.lit(""), F.lit("ten"), F.lit("9001"), F.lit("")]).alias("declared_length"),
         F.when(F.col("doc_id") % 5 < 3, F.floor(F.octet_length("text") * (1 + F.col("doc_id") % 5) / 3)).alias("compressed_size"),
         F.when(F.col("doc_id") % 2 == 1, F.lit(4000)).alias("thumb_size"))
-    return admit(rows, LIMITS, 30_000).select("doc_id", "reason")
+
+
+@query("i7_admit", f"""{ADMIT_SQL}
+SELECT r.doc_id, CASE WHEN r.reason IS NULL AND a.t IS NULL THEN 'duplicate' ELSE r.reason END AS reason FROM r LEFT JOIN a ON a.hash = r.hash AND a.t = r.t""")
+def _(t: Tables) -> DataFrame:
+    return admit(arrivals(t), LIMITS, 30_000).select("doc_id", "reason")
 
 
 @query("a3_read_blobs")
