@@ -1,26 +1,28 @@
-"""Licence scan: a trained paragraph classifier over sparse word n-grams, with a calibrated unknown class, confirmed by comparison with templates.
+"""Licence scan: a trained classifier over sparse word n-grams names the licence families of a paragraph, with a calibrated unknown class; templates confirm.
 
-A multinomial logistic regression is fitted to paragraphs made from the licence templates (whole, shortened, and with corpus paragraphs around them) and, as
-unknown, to paragraphs of the corpus. Features are the words and word pairs of the templates, so a paragraph without any of them has no feature and is
-unknown. A document without any of the words that make a notice has none, which keeps most documents away from the classifier.
+A paragraph is a run of words around a word that makes a notice, wherever it begins and however its lines are wrapped. A multinomial logistic regression over the words and word
+pairs of the templates scores it. A family is named if its odds against unknown reach the family's cut: the one that keeps nearly all held-out notices of that family. Where no family
+reaches its cut the paragraph is unknown and goes no further. Several families may be named, as some texts offer a choice.
 
-A notice is looked for as a window of words about as long as a template, wherever it begins and however its lines are wrapped; only a blank line (or one of comment marks) ends
-it. A window counts if it holds enough of a template (a changed word is tolerated, the name of the licence is not), and if the classifier takes the window for that template's family
-with a probability that reaches the cut that was calibrated on held-out training rows. Of windows of one family that overlap or begin on one line the best counts, so every
-family and every notice of a text is reported.
+Only templates of named families are then compared. A notice is a window of words of the paragraph about as long as a template; only a blank line (or one of comment marks) ends it. It
+is confirmed if it holds enough of the template: a changed word is tolerated, the name of the licence is not. Of windows of one family that overlap or begin on one line the best
+counts, so every family and every notice of a text is reported.
 
-Only DataFrame functions and Spark's own estimators; no code of ours runs on the executors. The fit uses at most ``UNKNOWN_ROWS`` corpus paragraphs, a
-documented bound; every text is searched whole. Results by case: null and empty texts have no paragraph and no licence; a
-paragraph is named by the line on which its notice begins, from 0; repeated rows are judged each; an empty table gives no rows; ids may be null; further columns are not read.
+The fit sees the templates (whole, shortened, and inside paragraphs of the corpus) and, as unknown, distinct paragraphs of the corpus that pass the same test for notice words but hold
+enough of no template: what the classifier has to tell apart when it judges. Their number is bounded by ``UNKNOWN_ROWS``, a documented parameter; every text is searched whole.
+
+Only DataFrame functions and Spark's own estimators; no code of ours runs on the executors. Results by case: null and empty texts have no paragraph and no licence; a
+notice is named by the line on which it begins, from 0; repeated rows are judged each; an empty table gives no rows; ids may be null; further columns are not read; a corpus without
+unknown paragraphs leaves single words of the templates as the unknown class.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +65,11 @@ CONTAINED, CHANGED = 0.8, 3
 # Windows begin in cells of so many words.
 CELL = 64
 UNKNOWN_ROWS = 2000
+# So many of the unknown paragraphs also surround the templates in the fit.
+AROUND = 24
 WORD = r"[^a-z0-9.]+"
-MIN_PROBABILITY, UNKNOWN_QUANTILE = 0.5, 0.999
+# The share of a family's held-out notices that its cut keeps.
+KEPT = 0.99
 
 
 def tokens(text: Column) -> Column:
@@ -110,38 +115,25 @@ def _windows(x: Column) -> Column:
 
     def result(w: Column) -> Column:
         share = F.size(F.array_intersect(t["grams"], w["grams"])) / F.size(t["grams"])
-        return F.struct((-share).alias("order"), w["n"].alias("size"), (x["at"] + w["p"]).alias("begin"), t["family"].alias("family"), F.get(x["lines"], w["p"] - 1).alias("line"), w["words"].alias("words"))
+        return F.struct((-share).alias("order"), w["n"].alias("size"), (x["at"] + w["p"]).alias("begin"), t["family"].alias("family"), F.get(x["lines"], w["p"] - 1).alias("line"), x["probability"].alias("probability"))
 
     return F.transform(good, result)
 
 
-def notices(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, family, contained, words): the windows of all texts that hold enough of a template of a family."""
-    templates = _templates(docs.sparkSession).collect()  # as many as there are
-    text = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
-    each = F.array(*[F.struct(F.lit(r["family"]).alias("family"), text(r["words"]).alias("words"), text(r["grams"]).alias("grams"), text([n for n in NAMES[r["family"]] if set(NAMES[r["family"]]) & set(r["grams"])]).alias("names"),
-                              text(OTHERS.get(r["family"], ())).alias("others")) for r in templates])
-    reach = CELL + max(len(r["words"]) for r in templates) * 9 // 8 + 2
+def paragraphs(docs: DataFrame, reach: int, *keep: str) -> DataFrame:
+    """(keep, regions): the paragraphs of every text that hold a word which makes a notice; struct(at, words, lines, grams), one per cell of words and ``reach`` long."""
     some = docs.where(F.col("text").rlike(NEEDED))
     # Words with the number of their line; a blank line is a word of its own, which no window may hold.
     line = lambda content, i: F.transform(F.when(content.rlike(BLANK), F.array(F.lit("\n"))).otherwise(tokens(content)), lambda w: F.struct(w.alias("w"), i.alias("line")))
-    worded = _held(some, "all", F.flatten(F.transform(F.split("text", "\n", -1), line)), "doc_id").where(F.size("all") > 0)
+    worded = _held(some, "all", F.flatten(F.transform(F.split("text", "\n", -1), line)), *keep).where(F.size("all") > 0)
 
     def region(c: Column) -> Column:
         part = F.slice(F.col("all"), c + 1, reach)
         return F.struct(c.alias("at"), part["w"].alias("words"), part["line"].alias("lines"))
 
     near = F.filter(F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(CELL)), region), lambda r: F.concat_ws(" ", r["words"]).rlike(NEEDED))
-    regions = _held(worded, "regions", near, "doc_id").where(F.size("regions") > 0)
-    regions = _held(regions, "regions", F.transform("regions", lambda r: F.struct(r["at"], r["words"], r["lines"], F.array_distinct(grams(r["words"])).alias("grams"))), "doc_id")
-    tries = F.flatten(F.transform("regions", lambda r: F.transform(F.filter(each, lambda t: _enough(t["grams"], r["grams"], t)), lambda t: F.struct(r["at"].alias("at"), r["words"].alias("words"), r["lines"].alias("lines"), t.alias("t")))))
-    tried = _held(regions, "tries", tries, "doc_id").where(F.size("tries") > 0)
-    found = _held(tried, "found", F.array_sort(F.flatten(F.transform("tries", _windows))), "doc_id").where(F.size("found") > 0)
-    # From the best on (largest share, then shortest, then first), each takes its place from those of its family after it.
-    meets = lambda a, b: (a["family"] == b["family"]) & ((a["line"] == b["line"]) | (a["begin"] < b["begin"] + b["size"]) & (b["begin"] < a["begin"] + a["size"]))
-    nothing = F.slice("found", 1, 0)
-    best = F.aggregate("found", nothing, lambda kept, w: F.when(F.exists(kept, lambda k: meets(k, w)), kept).otherwise(F.concat(kept, F.array(w))))
-    return found.select("doc_id", F.explode(best).alias("b")).select("doc_id", F.col("b.line").alias("paragraph"), "b.family", (-F.col("b.order")).alias("contained"), "b.words")
+    regions = _held(worded, "regions", near, *keep).where(F.size("regions") > 0)
+    return _held(regions, "regions", F.transform("regions", lambda r: F.struct(r["at"], r["words"], r["lines"], F.array_distinct(grams(r["words"])).alias("grams"))), *keep)
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -149,56 +141,110 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, content string").withColumn("words", tokens(F.col("content"))).withColumn("grams", F.array_distinct(grams(F.col("words"))))
 
 
+def _array(values, type_: str = "string") -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast(f"array<{type_}>")
+
+
+class _Templates:
+    """All templates as one literal array, and how long a paragraph must be to hold the longest of them wherever it begins."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.rows = _templates(spark).collect()  # as many as there are
+        self.each = F.array(*[F.struct(F.lit(r["family"]).alias("family"), _array(r["words"]).alias("words"), _array(r["grams"]).alias("grams"),
+                                       _array([n for n in NAMES[r["family"]] if set(NAMES[r["family"]]) & set(r["grams"])]).alias("names"), _array(OTHERS.get(r["family"], ())).alias("others")) for r in self.rows])
+        self.reach = CELL + max(len(r["words"]) for r in self.rows) * 9 // 8 + 2
+
+
 def training_rows(docs: DataFrame, unknown_rows: int = UNKNOWN_ROWS) -> DataFrame:
-    """(family, grams, fold): variants of the templates, and corpus paragraphs (a bounded number, by hash) as unknown."""
-    spark = docs.sparkSession
+    """(family, grams, fold): variants of the templates, alone and inside corpus paragraphs, and a bounded number of corpus paragraphs that fit no template, as unknown."""
+    spark, known = docs.sparkSession, _Templates(docs.sparkSession)
+    # So many different texts with a notice word, by hash, then so many of their different paragraphs: copies of one text count once.
+    key = F.xxhash64("text")
+    texts = docs.where(F.col("text").rlike(NEEDED)).select(key.alias("_key")).distinct().orderBy("_key").limit(unknown_rows)
+    chosen = docs.select("text", key.alias("_key")).join(F.broadcast(pinned(texts)), "_key", "left_semi").dropDuplicates(["_key"])
+    strange = paragraphs(chosen, known.reach, "_key").select(F.explode("regions").alias("r")).where(~F.exists(known.each, lambda t: _enough(t["grams"], F.col("r.grams"), t)))
+    strange = strange.groupBy(F.xxhash64("r.words").alias("_hash")).agg(F.min("r.words").alias("words"))
+    unknown = pinned(strange.orderBy("_hash").limit(unknown_rows))
+
     templates = _templates(spark).select("family", "words")
-    # Whole, without its first or last words, and between a few strange words.
     cut = templates.select("family", "words", F.explode(F.array(*[F.struct(F.lit(a).alias("front"), F.lit(b).alias("back")) for a in range(3) for b in range(3)])).alias("c"))
     short = cut.where(F.size("words") > F.col("c.front") + F.col("c.back") + 2).select("family", F.slice("words", F.col("c.front") + 1, F.size("words") - F.col("c.front") - F.col("c.back")).alias("words"))
-    wrapped = short.select("family", F.explode(F.array(F.col("words"), F.concat(F.array(F.lit("a"), F.lit("b")), F.col("words")), F.concat(F.col("words"), F.array(F.lit("a"), F.lit("b"))))).alias("words"))
-    # Unknown: corpus lines without the needed words, and single words of the templates out of context.
-    lines = docs.where(~F.col("text").rlike(NEEDED)).select(F.xxhash64("text").alias("h"), F.substring_index("text", "\n", 1).alias("content")).orderBy("h").limit(unknown_rows)
+    # A template in the middle of a strange paragraph; another place of its hash, so that those around are not the same for all folds.
+    around = unknown.orderBy(F.xxhash64("_hash")).limit(AROUND).select("words", F.explode(known.each).alias("t"))
+    half = F.floor(F.size("words") / 2).cast("int")
+    inside = around.select("t.family", F.concat(F.slice("words", F.lit(1), half), F.col("t.words"), F.slice("words", half + 1, F.size("words"))).alias("words"))
     loose = templates.select(F.lit(UNKNOWN).alias("family"), F.explode("words").alias("w")).select("family", F.array("w").alias("words")).distinct()
-    every = wrapped.unionByName(lines.select(F.lit(UNKNOWN).alias("family"), tokens(F.col("content")).alias("words"))).unionByName(loose)
+    every = short.unionByName(inside).unionByName(unknown.select(F.lit(UNKNOWN).alias("family"), "words")).unionByName(loose)
     return every.select("family", F.array_distinct(grams(F.col("words"))).alias("grams"), F.pmod(F.xxhash64("words"), F.lit(5)).alias("fold"))
 
 
+@dataclass(frozen=True)
 class LicenceModel:
-    """Vocabulary, fitted regression, and the probability a family needs."""
+    """The fitted regression (per n-gram the weights of all families, unknown last) and the probability that each family needs."""
+
+    families: tuple[str, ...]
+    vocabulary: tuple[str, ...]
+    weights: tuple[tuple[float, ...], ...]
+    start: tuple[float, ...]
+    cuts: tuple[float, ...]
 
-    def __init__(self, vocabulary: CountVectorizerModel, regression: LogisticRegressionModel, families: list[str], cut: float) -> None:
-        self.vocabulary, self.regression, self.families, self.cut = vocabulary, regression, families, cut
+    def probabilities(self, found: Column) -> Column:
+        """Per family the probability that distinct n-grams are of it rather than unknown. Words of the vocabulary hold only letters, digits, full stops and blanks."""
+        numbers = lambda values: "array(" + ", ".join(f"{v!r}D" for v in values) + ")"
+        table = F.expr("map(" + ", ".join(f"'{g}', {numbers(w)}" for g, w in zip(self.vocabulary, self.weights)) + ")")
+        words = F.expr("array(" + ", ".join(f"'{g}'" for g in self.vocabulary) + ")")
+        scores = F.aggregate(F.array_intersect(words, found), F.expr(numbers(self.start)), lambda total, g: F.zip_with(total, F.element_at(table, g), lambda x, y: x + y))
+        return F.get(F.transform(F.array(scores), lambda v: F.transform(F.slice(v, 1, len(self.families)), lambda x: 1 / (1 + F.exp(F.element_at(v, -1) - x)))), 0)
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        """Rows with ``grams`` plus ``family`` and ``probability``; unknown where the best family does not reach the cut."""
-        judged = self.regression.transform(self.vocabulary.transform(rows)).withColumn("_p", vector_to_array("_probability"))
-        best = F.element_at(F.array(*[F.lit(f) for f in self.families]), (F.col("_best") + 1).cast("int"))
-        probability = F.array_max("_p")
-        family = F.when(probability >= self.cut, best).otherwise(UNKNOWN)
-        return judged.withColumn("family", family).withColumn("probability", probability).drop("_features", "_raw", "_probability", "_best", "_p")
+    def named(self, found: Column) -> Column:
+        """The families whose cut is reached, with their probability; an empty array is unknown."""
+        fixed = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(c).alias("cut")) for f, c in zip(self.families, self.cuts)])
+        judged = F.zip_with(fixed, self.probabilities(found), lambda f, p: F.struct(f["family"].alias("family"), f["cut"].alias("cut"), p.alias("probability")))
+        return F.filter(judged, lambda f: f["probability"] >= f["cut"])
 
 
 def train(docs: DataFrame, unknown_rows: int = UNKNOWN_ROWS) -> LicenceModel:
+    """Fit on bounded rows (``training_rows``); each family's cut keeps ``KEPT`` of its notices in folds that the calibrating fit has not seen."""
     rows = pinned(training_rows(docs, unknown_rows))
-    families = [*sorted(TEMPLATES), UNKNOWN]
-    words = [r[0] for r in _templates(docs.sparkSession).select(F.explode("grams")).distinct().orderBy("col").collect()]  # as many as the templates have
-    vocabulary = CountVectorizerModel.from_vocabulary(words, inputCol="grams", outputCol="_features").setBinary(True)
-    number = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
-    featured = vocabulary.transform(rows).withColumn("label", number.cast("double")).coalesce(1)
-    regression = LogisticRegression(featuresCol="_features", labelCol="label", rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_best", family="multinomial", regParam=0.001, maxIter=60)
-    # The cut: above nearly all unknown rows that the fit of the other folds takes for a family.
-    part = regression.fit(featured.where("fold <> 0"))
-    judged = part.transform(featured.where("fold = 0")).where(F.col("_best") < len(families) - 1).where(F.col("label") == len(families) - 1)
-    wrong = judged.agg(F.percentile(F.array_max(vector_to_array("_probability")), UNKNOWN_QUANTILE)).first()[0]
-    return LicenceModel(vocabulary, regression.fit(featured), families, max(MIN_PROBABILITY, min(wrong or 0.0, 0.9)))
+    families = tuple(sorted(TEMPLATES))
+    words = tuple(r[0] for r in _templates(docs.sparkSession).select(F.explode("grams")).distinct().orderBy("col").collect())  # as many as the templates have
+    vectors = CountVectorizerModel.from_vocabulary(list(words), inputCol="grams", outputCol="features").setBinary(True)
+    number = F.array_position(_array([*families, UNKNOWN]), F.col("family")) - 1
+    featured = vectors.transform(rows).withColumn("label", number.cast("double"))
+    regression = LogisticRegression(family="multinomial", regParam=0.001, maxIter=60)
+
+    def fitted(part: DataFrame, cuts: tuple[float, ...]) -> LicenceModel:
+        model = regression.fit(part)
+        return LicenceModel(families, words, tuple(map(tuple, model.coefficientMatrix.toArray().T.tolist())), tuple(model.interceptVector.toArray().tolist()), cuts)
+
+    # Two folds in five are held out; a family's shortest variants may all lie in them, so its cut is never above even odds.
+    part = fitted(featured.where("fold > 1"), (0.0,) * len(families))
+    own = F.element_at(part.probabilities(F.col("grams")), (F.col("label") + 1).cast("int"))
+    held = rows.where("fold <= 1").withColumn("label", number).where(F.col("family") != UNKNOWN).select("family", own.alias("p"))
+    kept = {r["family"]: r["cut"] for r in held.groupBy("family").agg(F.percentile("p", F.lit(1 - KEPT)).alias("cut")).collect()}
+    return fitted(featured, tuple(min(kept.get(f, 0.5), 0.5) for f in families))
 
 
 def licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """(doc_id, paragraph, family, probability, contained): confirmed paragraphs of all documents."""
-    found = notices(docs).withColumnRenamed("family", "_wanted").withColumn("grams", F.array_distinct(grams(F.col("words"))))
-    judged = model.predict(found)
-    return judged.where(F.col("family") == F.col("_wanted")).select("doc_id", "paragraph", "family", "probability", "contained")
+    """(doc_id, paragraph, family, probability, contained): the confirmed notices of all documents."""
+    known = _Templates(docs.sparkSession)
+    judged = lambda r: F.struct(r["at"], r["words"], r["lines"], r["grams"], model.named(r["grams"]).alias("named"))
+    regions = _held(paragraphs(docs, known.reach, "doc_id"), "regions", F.transform("regions", judged), "doc_id")
+    regions = _held(regions, "regions", F.filter("regions", lambda r: F.size(r["named"]) > 0), "doc_id").where(F.size("regions") > 0)
+
+    def tries(r: Column) -> Column:
+        """The templates of the families that the classifier named, where the whole paragraph holds enough of them."""
+        of = lambda t: F.filter(r["named"], lambda f: f["family"] == t["family"])
+        wanted = F.filter(known.each, lambda t: (F.size(of(t)) > 0) & _enough(t["grams"], r["grams"], t))
+        return F.transform(wanted, lambda t: F.struct(r["at"].alias("at"), r["words"].alias("words"), r["lines"].alias("lines"), t.alias("t"), F.get(of(t), 0)["probability"].alias("probability")))
+
+    tried = _held(regions, "tries", F.flatten(F.transform("regions", tries)), "doc_id").where(F.size("tries") > 0)
+    found = _held(tried, "found", F.array_sort(F.flatten(F.transform("tries", _windows))), "doc_id").where(F.size("found") > 0)
+    # From the best on (largest share, then shortest, then first), each takes its place from those of its family after it.
+    meets = lambda a, b: (a["family"] == b["family"]) & ((a["line"] == b["line"]) | (a["begin"] < b["begin"] + b["size"]) & (b["begin"] < a["begin"] + a["size"]))
+    nothing = F.slice("found", 1, 0)
+    best = F.aggregate("found", nothing, lambda kept, w: F.when(F.exists(kept, lambda k: meets(k, w)), kept).otherwise(F.concat(kept, F.array(w))))
+    return found.select("doc_id", F.explode(best).alias("b")).select("doc_id", F.col("b.line").alias("paragraph"), "b.family", "b.probability", (-F.col("b.order")).alias("contained"))
 
 
 @query("op6_licence")
