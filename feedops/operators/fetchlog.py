@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from feedops.functions.fetch import PAGE_POLICY, PERMANENT, RETRY, SUCCESS, RetryPolicy
 from feedops.functions.media import expected_type_ok
 from feedops.functions.urls import UrlPolicy, is_allowed_url
-from feedops.operators.select import top_k
 
 # Candidates tried per medium and requests spent on one chain.
 MAX_CANDIDATES = 4
@@ -53,37 +52,35 @@ def resolve_candidates(candidates: DataFrame, fetches: DataFrame, by: Sequence[s
     """H8: per medium ``verdict`` (chosen / budget_exceeded / exhausted / rejected), ``chosen_url`` and its rank.
 
     ``candidates``: by..., cand_rank, url, expected_media_type. ``fetches``: url, verdict, requests, size_ok, ext, valid.
-    At most ``max_candidates`` rows of a medium reach the running sum, so its window is bounded.
+    Ranks count from 0 without gaps, as ``ranked_candidates`` gives them, so the cut to ``max_candidates`` needs no ranking and
+    comes first. What is left meets its fetches, and a medium is brought together once, for a running sum over at most that many steps.
     """
     if max_candidates < 1 or max_requests < 1:
         raise ValueError("max_candidates and max_requests must be at least 1")
     by = list(by)
-    considered = top_k(candidates, by, [F.col("cand_rank")], max_candidates).drop("_rank")
-    if policy is not None:
-        considered = considered.withColumn("_allowed", is_allowed_url(F.col("url"), policy))
-    else:
-        considered = considered.withColumn("_allowed", F.lit(True))
-    tried = candidates_with_fetches(considered, fetches)
-    spent = F.when(F.col("_allowed"), F.coalesce(F.col("requests"), F.lit(0))).otherwise(0)
-    running = F.sum(spent).over(Window.partitionBy(*by).orderBy("cand_rank"))
+    tried = candidates_with_fetches(candidates.filter(F.col("cand_rank") < max_candidates), fetches)
+    allowed = F.lit(True) if policy is None else is_allowed_url(F.col("url"), policy)
     usable = (
-        F.col("_allowed") & (F.col("verdict") == SUCCESS) & F.col("size_ok") & F.col("ext").isNotNull() & F.col("valid")
+        allowed & (F.col("verdict") == SUCCESS) & F.col("size_ok") & F.col("ext").isNotNull() & F.col("valid")
         & expected_type_ok(F.col("expected_media_type"), F.col("ext"))
     )
-    transient = F.col("_allowed") & ~F.coalesce(F.col("verdict"), F.lit(PENDING)).isin(SUCCESS, PERMANENT)
-    tried = tried.withColumn("_spent", running)
-    summary = tried.groupBy(*by).agg(
-        F.min(F.when(F.coalesce(usable, F.lit(False)) & (F.col("_spent") <= max_requests), F.struct("cand_rank", "url"))).alias("_c"),
-        F.bool_or(F.col("_spent") > max_requests).alias("_over"),
-        F.bool_or(transient).alias("_transient"),
+    transient = allowed & ~F.coalesce(F.col("verdict"), F.lit(PENDING)).isin(SUCCESS, PERMANENT)
+    steps = tried.select(
+        *by, "cand_rank", F.col("url").alias("_url"), F.coalesce(F.when(allowed, F.col("requests")), F.lit(0)).cast("bigint").alias("_spent"),
+        F.coalesce(usable, F.lit(False)).alias("_usable"), F.coalesce(transient, F.lit(False)).alias("_transient"),
+    )
+    steps = steps.withColumn("_running", F.sum("_spent").over(Window.partitionBy(*by).orderBy("cand_rank")))
+    ends = steps.groupBy(*by).agg(
+        F.min(F.when(F.col("_usable") & (F.col("_running") <= max_requests), F.struct("cand_rank", "_url"))).alias("_chosen"),
+        F.max("_running").alias("_total"), F.bool_or("_transient").alias("_unsettled"),
     )
     verdict = (
-        F.when(F.col("_c").isNotNull(), F.lit("chosen"))
-        .when(F.col("_over"), F.lit("budget_exceeded"))
-        .when(F.col("_transient"), F.lit(EXHAUSTED))
+        F.when(F.col("_chosen").isNotNull(), F.lit("chosen"))
+        .when(F.col("_total") > max_requests, F.lit("budget_exceeded"))
+        .when(F.col("_unsettled"), F.lit(EXHAUSTED))
         .otherwise("rejected")
     )
-    return summary.select(*by, verdict.alias("verdict"), F.col("_c.url").alias("chosen_url"), F.col("_c.cand_rank").alias("chosen_rank"))
+    return ends.select(*by, verdict.alias("verdict"), F.col("_chosen._url").alias("chosen_url"), F.col("_chosen.cand_rank").alias("chosen_rank"))
 
 
 def media_status(verdict: Column, already_seen: Column) -> Column:
