@@ -35,6 +35,18 @@ def unseen_media(media: DataFrame, ledger: DataFrame, content_hash: str = "conte
     return _in_ledger(media, ledger, "image", content_hash, "left_anti")
 
 
+def flag_seen_media(media: DataFrame, ledger: DataFrame, content_hash: str = "content_hash", name: str = "seen") -> DataFrame:
+    """D2 as a column: both halves in one join, so a hash is computed once; never null."""
+    known = ledger.select(*[F.col(c).alias(f"_known_{c}") for c in LEDGER_KEYS]).distinct()
+    match = (
+        (media["source"] == known["_known_source"])
+        & (media["gallery"] == known["_known_gallery_name"])
+        & (ledger_key("image", media[content_hash].cast("string")) == known["_known_delivery_key"])
+    )
+    joined = media.join(known, match, "left_outer")
+    return joined.select(*[media[c] for c in media.columns if c != name], F.col("_known_delivery_key").isNotNull().alias(name))
+
+
 def ledger_check(keys: DataFrame, ledger: DataFrame) -> DataFrame:
     """L3: given keys that are present."""
     return keys.join(ledger.select(*LEDGER_KEYS), LEDGER_KEYS, "left_semi")

@@ -11,7 +11,7 @@ from feedops.operators.dedup import dedup_urls_within_post, dedup_within_post
 from feedops.operators.delivery import POST
 from feedops.operators.extract import extract_media_all, extract_media_first, media_candidates
 from feedops.operators.fetchlog import media_status, ranked_candidates, request_verdict, resolve_candidates
-from feedops.operators.ledger import seen_media
+from feedops.operators.ledger import flag_seen_media
 from feedops.operators.select import cap_media_per_post
 from feedops.functions.urls import filename_hint
 from feedops.plans.profiles import SourceProfile
@@ -65,18 +65,13 @@ def resolve_media(media: DataFrame, fetch_log: DataFrame, ledger: DataFrame, pro
     of = F.coalesce("chosen_url", F.concat_ws("\x1f", F.lit(""), *[F.col(k).cast("string") for k in keys]))
     resolved = media.select(*keys, "filename_hint").join(verdicts, keys, "inner").withColumn("_wanted", of)
     resolved = resolved.join(chosen, F.col("_wanted") == F.col("_of"), "left_outer").drop("_wanted", "_of")
-    known = seen_media(resolved, ledger).select(*keys).withColumn("_seen", F.lit(True))
-    marked = resolved.join(known, keys, "left_outer")
+    marked = flag_seen_media(resolved, ledger, name="_seen")
     return marked.select(
         *keys, "chosen_url", "content_hash", "size", "ext", fix_extension(F.col("filename_hint"), F.col("ext")).alias("filename"),
-        media_status(F.col("verdict"), _flag("_seen")).alias("status"),
+        media_status(F.col("verdict"), F.col("_seen")).alias("status"),
     )
 
 
 def sendable_media(resolved: DataFrame) -> DataFrame:
     """Media to deliver: ready ones, one per content hash and post."""
     return dedup_within_post(resolved.filter(F.col("status") == "ready"), POST, "content_hash", ["media_idx"])
-
-
-def _flag(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(False))

@@ -80,9 +80,7 @@ def _(t: Tables) -> DataFrame:
                                content_hash(F.encode("text", "UTF-8")).alias("content_hash"))
     known = media.join(t.labels.select("doc_id"), "doc_id", "left_semi")
     ledger, _ = L.ledger_rows(known, "image", "content_hash", F.lit(None).cast("timestamp"))
-    ledger = ledger.dropDuplicates(L.LEDGER_KEYS)
-    seen = L.seen_media(media, ledger).select("doc_id", F.lit("seen").alias("state"))
-    return seen.unionByName(L.unseen_media(media, ledger).select("doc_id", F.lit("new").alias("state")))
+    return L.flag_seen_media(media, ledger).select("doc_id", F.when(F.col("seen"), "seen").otherwise("new").alias("state"))
 
 
 @query("f4_dedup_against_ledger", """

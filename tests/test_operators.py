@@ -222,6 +222,10 @@ def test_seen_media_is_per_gallery(spark):
     known = table(spark, [("s", "g", "image:h")], "source string, gallery_name string, delivery_key string")
     assert rows(ledger.seen_media(media, known), "gallery") == [("g",)]
     assert rows(ledger.unseen_media(media, known), "gallery") == [("k",)]
+    empty = table(spark, [("s", "g", "h"), ("x", "g", None)], "source string, gallery string, content_hash string")
+    twice = known.unionByName(known)  # a key that is there twice repeats no medium
+    assert rows(ledger.flag_seen_media(media.unionByName(empty).withColumn("seen", F.lit("old")), twice), "source", "gallery", "content_hash", "seen") == [
+        ("s", "g", "h", True), ("s", "g", "h", True), ("s", "k", "h", False), ("x", "g", None, False)]
 
 
 # --- delivery
