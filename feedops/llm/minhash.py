@@ -263,7 +263,23 @@ def _single(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return single.unionByName(marked.where("_kept").dropDuplicates(["_id", "_text"]).select(docs.columns))
 
 
-@query("op4_minhash")
+# Every pair of different sets that share a shingle, and the components by recursion.
+SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+ ELSE list_sort(list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS found FROM d),
+c AS (SELECT row_number() OVER () AS node, found, len(found) AS n FROM (SELECT DISTINCT found FROM s WHERE len(found) > 0)),
+g AS (SELECT node, n, unnest(found) AS shingle FROM c),
+shared AS (SELECT a.node AS a, b.node AS b, a.n AS na, b.n AS nb, count(*) AS n FROM g a JOIN g b USING (shingle) WHERE a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+linked AS (SELECT a, b FROM shared WHERE 100 * n >= 80 * (na + nb - n)),
+edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked UNION ALL SELECT node, node FROM c),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+first AS (SELECT node, min(doc_id) AS doc_id FROM c JOIN s USING (found) GROUP BY 1),
+component AS (SELECT r.a AS node, min(f.doc_id) AS component_id FROM reach r JOIN first f ON f.node = r.b GROUP BY 1)
+SELECT s.doc_id, len(s.found) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(k.component_id, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.found = s.found LEFT JOIN component k ON k.node = c.node"""
+
+
+@query("op4_minhash", SQL)
 def _query(t: Tables) -> DataFrame:
     return near_duplicates(t.documents).select("doc_id", "n_shingles", "component_id", "kept")
 
