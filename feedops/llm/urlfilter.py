@@ -19,8 +19,10 @@ from feedops.llm.registry import Tables, query
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 # Query parameters that do not change what a URL shows.
 IGNORED_PARAMETERS = "^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
-# The given tables hold no block list; the query lists the URLs of hosts that name one of these trades.
+# The given tables hold no block list; the query lists the URLs of hosts that name one of these trades and of pages whose title is a row of keywords.
+# What a page holds is not seen in its URL, so other spellings of a listed URL are found by the filter and the join alone.
 LISTED_HOSTS = "(^|[.-])(adult|casino|porn|viagra)([.-]|$)"
+LISTED_TITLES = "<title>[^<|]*([|][^<|]*){3}"
 
 
 def ascii_lower(value: Column) -> Column:
@@ -72,7 +74,8 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
 
 
 def listed_of(pages: DataFrame) -> DataFrame:
-    return pages.where(host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
+    """The URLs of hosts and pages that the query lists; a null html lists nothing."""
+    return pages.where(host_of(F.col("url")).rlike(LISTED_HOSTS) | F.col("html").rlike(LISTED_TITLES)).select("url")
 
 
 def _oracle() -> str:
@@ -80,7 +83,7 @@ def _oracle() -> str:
     fits = [(f"(host = '{t.partition('/')[0]}' OR ends_with(host, '.{t.partition('/')[0]}')) AND starts_with(path, '/{t.partition('/')[2]}')", s, t) for s, t in rules]
     return rf"""
     WITH parts AS (
-      SELECT page_id, url, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+      SELECT page_id, url, html, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
              coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
              list_sort(list_filter(string_split(regexp_extract(url, '://[^/?#]*[^?#]*\?([^#]*)', 1), '&'),
                                    lambda p: p <> '' AND NOT regexp_matches(p, '{IGNORED_PARAMETERS}'))) AS kept
@@ -89,7 +92,7 @@ def _oracle() -> str:
       SELECT *, CASE WHEN contains(url, '://') THEN host || regexp_replace(path, '/+$', '')
                      || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS name
       FROM parts),
-    listing AS (SELECT DISTINCT name FROM named WHERE name IS NOT NULL AND regexp_matches(host, '{LISTED_HOSTS}')),
+    listing AS (SELECT DISTINCT name FROM named WHERE name IS NOT NULL AND (regexp_matches(host, '{LISTED_HOSTS}') OR regexp_matches(html, '{LISTED_TITLES}'))),
     judged AS (
       SELECT page_id, host, path, CASE {' '.join(f"WHEN {f} THEN '{t}'" for f, _, t in fits)} END AS rule,
              CASE {' '.join(f"WHEN {f} THEN '{s}'" for f, s, _ in fits)} END AS ruled, name IN (SELECT name FROM listing) AS hit

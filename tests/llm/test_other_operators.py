@@ -54,6 +54,17 @@ def test_listed_urls_are_blocked_whatever_the_filter_lets_through(spark, monkeyp
             assert len(got) == 1002 and {r.page_id for r in got if r.verdict == "block"} == set(range(500))
 
 
+def test_other_spellings_of_a_listed_page_are_blocked_by_the_join(spark):
+    stuffed, plain = "<html><title>a | b | c | d</title>", "<html><title>a | b | c</title><p>a | b | c | d</p>"
+    rows = [(1, "https://x.org/a?b=2&a=1", stuffed), (2, "http://X.org/a/?a=1&utm_source=q&b=2#t", plain), (3, "https://x.org/a", plain), (4, "https://x.org/a?a=1", None), (5, "https://casino.org/", None),
+            (6, "http://casino.org/?ref=1", ""), (7, "https://www.example.com/en/z", stuffed), (8, None, stuffed), (9, "https://x.org/a?a=1&b=2", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.url for r in urlfilter.listed_of(pages).collect()} == {None, "https://casino.org/", "http://casino.org/?ref=1", "https://www.example.com/en/z", "https://x.org/a?b=2&a=1"}
+    got = {r.page_id: (r.listed, r.verdict) for r in urlfilter.url_filter(pages, urlfilter.listed_of(pages)).collect()}
+    assert {k for k, v in got.items() if v[1] == "block"} == {1, 2, 5, 6, 9} and len(got) == 9
+    assert got[7] == (True, "allow")  # a rule comes before the list
+
+
 def test_blocked_filter_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(4000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     blocks = bloom.block_count(4000)
