@@ -301,10 +301,15 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["begin"], s["end"])), ",")
 
 
+def _of_kind(spans: str, kind: int) -> Column:
+    """How many of ``spans`` are of one kind. The lambda takes the span alone: Spark fills a second parameter, defaults too, with the place in the array."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 @query("op13_pii")
 def _query(t: Tables) -> DataFrame:
     found = personal_data(t.documents).select("doc_id", "spans", F.filter("spans", lambda s: s["base"]).alias("base"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [_of_kind("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 

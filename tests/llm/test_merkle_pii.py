@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedops.llm import merkle, pii
+from feedops.llm import merkle, pii, registry
 
 COLUMNS = "doc_id long, source string, lang string, n_chars long, text string, level string, tree int, draw int"
 
@@ -144,3 +144,13 @@ def test_votes_add_what_the_rules_miss(spark):
 
 def test_personal_data_of_no_rows(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_query_counts_the_base_spans_of_each_kind(spark, tmp_path):
+    rows = [(1, "1.2.3.4 5.6.7.8 and 9.9.9.9"), (2, "4111111111111111"), (3, "+1 (427) 555-5262, a@b.de, c@d.de, 10.0.0.1"), (4, "999.1.1.1"), (5, ""), (6, None), (None, "x@y.de")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in registry.QUERIES["op13_pii"](spark, str(tmp_path)).collect()}
+    for doc, text in rows:
+        spans = sorted(plain_base(text or ""))
+        assert [found[doc][f"n_{name}"] for name in pii.KINDS] == [sum(k == kind for k, _, _ in spans) for kind in range(4)], text
+        assert found[doc]["base_sha256"] == h(",".join(f"{pii.KINDS[k]}:{b}:{e}" for k, b, e in spans))
