@@ -352,3 +352,14 @@ def test_scan_events(spark):
     events = scanlog.scan_events(scanlog.drop_internal_requests(log)).collect()
     assert [(e.category, e.matched_signature, e.query_keys, e.source_ip, len(e.event_id), e.response_shape) for e in events] == [
         ("credential-hunter", "/.env", ["page", "token"], "1.1.1.1", 32, "decoy-credentials")]
+
+
+def test_a_fetch_log_is_never_broadcast(spark):
+    """Its size is misjudged by the compressed files it comes from; 4.8 million URLs would have met in the driver's memory."""
+    candidates = spark.createDataFrame([(1, 0, "https://dcimg1.dcinside.com/1", "image"), (2, 0, "u", None)], "m int, cand_rank int, url string, expected_media_type string")
+    fetches = spark.createDataFrame([("https://dcimg1.dcinside.com/1", "success", 1, True, "png", True)], "url string, verdict string, requests int, size_ok boolean, ext string, valid boolean")
+    joined = fetchlog.candidates_with_fetches(candidates, fetches)
+    settled = fetchlog.resolve_candidates(candidates, fetches, ["m"], None, carry=["ext"])
+    for found in (joined, settled):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in settled.collect()} == {(1, "chosen", "https://dcimg1.dcinside.com/1", 0, "png"), (2, "exhausted", None, None, None)}
