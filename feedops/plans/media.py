@@ -59,12 +59,8 @@ def resolve_media(media: DataFrame, fetch_log: DataFrame, ledger: DataFrame, pro
     """Every medium with status, chosen URL, content hash and corrected file name; ``request`` as in ``fetched_urls``."""
     keys = [*POST, "media_idx"]
     fetched = fetched_urls(fetch_log, policy, limits, request)
-    verdicts = resolve_candidates(ranked_candidates(media.drop("filename_hint")), fetched, keys, profile.policy)
-    chosen = fetched.select(F.col("url").alias("_of"), "content_hash", "size", "ext")
-    # Media without a URL match nothing; a key of their own spreads them over all tasks.
-    of = F.coalesce("chosen_url", F.concat_ws("\x1f", F.lit(""), *[F.col(k).cast("string") for k in keys]))
-    resolved = media.select(*keys, "filename_hint").join(verdicts, keys, "inner").withColumn("_wanted", of)
-    resolved = resolved.join(chosen, F.col("_wanted") == F.col("_of"), "left_outer").drop("_wanted", "_of")
+    verdicts = resolve_candidates(ranked_candidates(media.drop("filename_hint")), fetched, keys, profile.policy, carry=["content_hash", "size", "ext"])
+    resolved = media.select(*keys, "filename_hint").join(verdicts, keys, "inner")
     marked = flag_seen_media(resolved, ledger, name="_seen")
     return marked.select(
         *keys, "chosen_url", "content_hash", "size", "ext", fix_extension(F.col("filename_hint"), F.col("ext")).alias("filename"),
