@@ -7,6 +7,7 @@ whole extraction needs no shuffle and a page's rows never leave their task.
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 from collections.abc import Iterable, Iterator
@@ -254,16 +255,39 @@ def _first_tags(html: str | None, attachments: str, inline: tuple[str, ...]) ->
     return [_tag_row(n, kind, i) for i, (kind, n) in enumerate(found)]
 
 
+# Fixed value: characters of HTML read before their trees are given back, and that one frame of results answers.
+SLICE_CHARACTERS = 2_000_000
+
+
+def _slices(html: pd.Series, most: int = SLICE_CHARACTERS) -> Iterator[tuple[int, int]]:
+    """(begin, end) of consecutive runs of pages that reach ``most`` characters each; a longer page is one alone or ends its run."""
+    begin = taken = 0
+    for i, text in enumerate(html):
+        taken += len(text) if isinstance(text, str) else 0
+        if taken >= most:
+            yield begin, i + 1
+            begin, taken = i + 1, 0
+    if begin < len(html):
+        yield begin, len(html)
+
+
 def _per_page(pages: DataFrame, name: str, element: str, read, keep: tuple[str, ...]) -> DataFrame:
-    """Run ``read(html) -> list of dicts`` on every page; only ``keep`` and the array leave the Arrow stage."""
+    """Run ``read(html) -> list of dicts`` on every page; only ``keep`` and the array leave the Arrow stage.
+
+    A batch is read in slices: the elements of a page point at each other, so without a collection they would pile up beside all rows of the batch.
+    """
     kept = pages.select(*keep, "html")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("html").schema.fields)
 
     def stage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[list(keep)].astype({c: object for c in keep if batch[c].dtype == "str"})
-            out[name] = [read(html) for html in batch["html"]]
-            yield out
+            for begin, end in _slices(batch["html"]):
+                part = batch.iloc[begin:end]
+                out = part[list(keep)].astype({c: object for c in keep if part[c].dtype == "str"})
+                out[name] = [read(html) for html in part["html"]]
+                yield out
+                del out
+                gc.collect()
 
     return kept.mapInPandas(stage, f"{fields}, {name} array<struct<{_ddl(element)}>>")
 

@@ -1,3 +1,4 @@
+import pandas as pd
 """Listing and post pages of both layouts, and the plans built on them."""
 
 from pyspark.sql import functions as F
@@ -117,3 +118,9 @@ def test_partial_delivery_is_completed_on_the_next_run(spark):
     assert rows(again, "media_idx", "status") == [(0, "duplicate"), (1, "ready"), (2, "rejected"), (3, "duplicate")]
     finished = acknowledge.acknowledge(listed, again, delivered(second, outcome="succeeded"), MULTI, now).dropDuplicates()
     assert rows(finished, "delivery_key") == sorted([(f"image:{second}",), ("post:0",)])
+
+
+def test_pages_are_read_in_slices_of_bounded_length():
+    html = pd.Series(["a" * 4, None, "b" * 6, "c" * 30, "", "d"])
+    assert list(extract._slices(html, 10)) == [(0, 3), (3, 4), (4, 6)]
+    assert list(extract._slices(html[:0], 10)) == []
