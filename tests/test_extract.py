@@ -1,6 +1,6 @@
-import pandas as pd
 """Listing and post pages of both layouts, and the plans built on them."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from feedops.operators import extract
