@@ -47,9 +47,12 @@ def delivery_reason(outcome: Column) -> Column:
 
 def batch_requests(media: DataFrame, post: Sequence[str] = POST, media_id: str = "media_id") -> DataFrame:
     """One row per message batch with its media ids in order (a batch holds a bounded number of media)."""
-    ordered = F.array_sort(F.collect_list(F.struct("media_idx", media_id)))
-    grouped = media.groupBy(*post, "batch_idx").agg(ordered.alias("_media"), F.first("channel_ids").alias("channel_ids"))
-    return grouped.withColumn("requested_media", F.transform("_media", lambda m: m[media_id].cast("string"))).drop("_media")
+    # Media that come numbered by post are nearly in this order; collecting by an aggregate would sort them twice.
+    batch = Window.partitionBy(*reversed(post), "batch_idx").orderBy("media_idx", media_id)
+    whole = batch.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    collected = media.select(*post, "batch_idx", "channel_ids", F.row_number().over(batch).alias("_place"),
+                             F.collect_list(F.struct(F.col(media_id).cast("string").alias("_id"))).over(whole).alias("_media"))
+    return collected.filter("_place = 1").select(*post, "batch_idx", "channel_ids", F.col("_media._id").alias("requested_media"))
 
 
 def fan_out(media: DataFrame, *, telegram: bool = False, telegram_chat: str = "", web_always: bool = False,

@@ -49,8 +49,11 @@ def cap_media_per_post(media: DataFrame, by: Sequence[str], order: Sequence[str]
 
 
 def number_media(media: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """All media of a post with their 0-based index ``media_idx`` in page order; a post's media come from one page."""
-    return media.withColumn("media_idx", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    """All media of a post with their 0-based index ``media_idx`` in page order; a post's media come from one page.
+
+    The window sorts by the post first: keys are taken from the last, which tells most rows apart.
+    """
+    return media.withColumn("media_idx", F.row_number().over(Window.partitionBy(*reversed(by)).orderBy(*order)) - 1)
 
 
 def assign_batches(media: DataFrame, by: Sequence[str], order: Sequence[str], size: int = 10, cap: int | None = None) -> DataFrame:

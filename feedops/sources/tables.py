@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedops.functions.labels import source_of
@@ -12,6 +12,8 @@ from feedops.operators.ledger import LEDGER_SCHEMA
 from feedops.operators.scanlog import SCAN_EVENT_SCHEMA
 
 GALLERY_SCHEMA = "map<string, struct<base_url string, channel_ids array<string>, type string>>"
+# The columns of one message batch, the finest first: sorted by them, rows mostly differ in their first bytes.
+MESSAGE_BATCH = ("post_id", "batch_idx", "gallery", "source")
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 OUTBOX_SCHEMA = (
     "source string, gallery string, post_id string, batch_idx bigint, transport string, destination_id string, "
@@ -100,16 +102,29 @@ def read_scan_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCAN_EVENT_SCHEMA).option("timestampFormat", SCAN_TIME_FORMAT).json(path)
 
 
-def new_outbox_rows(messages: DataFrame, sent: DataFrame) -> DataFrame:
-    """Messages not in the outbox yet, one per (post, batch, transport, destination, media)."""
-    keyed = messages.withColumn("message_key", message_key())
-    fresh = keyed.dropDuplicates(["message_key"])
-    return fresh.join(sent.select("message_key"), "message_key", "left_anti")
+def new_outbox_rows(messages: DataFrame, sent: DataFrame, gather: bool = False) -> DataFrame:
+    """Messages not in the outbox yet, one per (post, batch, transport, destination, media).
+
+    Where ``sent`` names the messages' post and batch, both sides are brought together by these, which needs no shuffle where they come by post; a
+    batch has few messages. Within it they are sorted once by key, those sent before those offered, and one that follows its like is left out. Of a key
+    128 bits are compared. ``gather`` is for sides that do not come by post: messages travel side by side with their post's and get their keys after.
+    """
+    by = MESSAGE_BATCH if set(MESSAGE_BATCH) <= set(sent.columns) else ("_key",)
+    digest = F.unhex(F.substring("message_key", 1, 32))
+    known = sent.withColumn("_key", digest).select(*dict.fromkeys((*by, "_key")))
+    fields = [c for c in messages.columns if c != "message_key"]
+    if gather and by == MESSAGE_BATCH:
+        messages, known = messages.repartition(*by), known.repartition(*by)
+    offered = messages.withColumn("message_key", message_key()).withColumn("_key", digest).withColumn("_sent", F.lit(False))
+    both = offered.unionByName(known.withColumn("_sent", F.lit(True)), allowMissingColumns=True)
+    before = F.lag("_key").over(Window.partitionBy(*by).orderBy("_key", F.desc("_sent")))
+    fresh = both.withColumn("_before", before).filter(~F.col("_sent") & ~F.col("_key").eqNullSafe(F.col("_before")))
+    return fresh.select("message_key", *fields)
 
 
 def message_key() -> Column:
     """Identity of one message. Its media are part of it: after a partial delivery, the message with the media still missing is another one."""
-    media = F.array_join(F.array_sort("requested_media"), "\x1e")
+    media = F.array_join(F.sort_array("requested_media"), "\x1e")
     parts = ["source", "gallery", "post_id", F.col("batch_idx").cast("string"), "transport", "destination_id", media]
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 

@@ -36,12 +36,14 @@ def config(t: Tables) -> DataFrame:
     return parse_gallery_config(t.spark.createDataFrame([(CONFIG_JSON,)], "value string"))
 
 
-def batched_media(t: Tables) -> DataFrame:
+def batched_media(t: Tables, parts: int | None = None) -> DataFrame:
     # The post's own columns come first: ranking, batching and grouping then share one shuffle on them.
     media = t.lineitem.select(
         F.lit("board").alias("source"), F.concat(F.lit("g"), (F.col("l_orderkey") % 4).cast("string")).alias("gallery"),
         F.col("l_orderkey").cast("string").alias("post_id"), F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber").alias("media_id"),
         F.concat(F.lit("title "), "l_orderkey").alias("title"), F.concat(F.lit("https://a.example/"), "l_orderkey").alias("link"), *MEDIA_ORDER)
+    if parts:
+        media = media.repartition(parts, "post_id")  # the numbering's window then needs no shuffle of its own
     batched = S.assign_batches(media, D.POST, MEDIA_ORDER, BATCH).drop(*MEDIA_ORDER)
     return batched.withColumn("media_idx", F.col("media_idx").cast("bigint")).withColumn("batch_idx", F.col("batch_idx").cast("bigint"))
 
@@ -65,8 +67,9 @@ messages AS (SELECT b.gallery, post_id, batch_idx, 'discord' AS transport, unnes
  UNION ALL SELECT gallery, post_id, batch_idx, 'web_gallery', gallery, media_id FROM m WHERE gallery IN (SELECT gallery FROM config))"""
 
 
-def messages(t: Tables) -> DataFrame:
-    return D.fan_out(D.attach_gallery_config(batched_media(t), config(t)), telegram=True, telegram_chat="chat", web_always=True)
+def messages(t: Tables, parts: int | None = None) -> DataFrame:
+    """``parts`` sets the number of partitions, by post."""
+    return D.fan_out(D.attach_gallery_config(batched_media(t, parts), config(t)), telegram=True, telegram_chat="chat", web_always=True)
 
 
 @query("d4_fan_out", f"WITH {FAN_OUT_SQL} SELECT * FROM messages")
@@ -82,7 +85,8 @@ def _(t: Tables) -> DataFrame:
 
     offered = messages(t)
     sent = offered.filter("transport = 'discord' AND destination_id = 'c1'").withColumn("message_key", message_key())
-    fresh = new_outbox_rows(offered.unionByName(offered), sent)
+    twice = offered.withColumn("_offer", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_offer")
+    fresh = new_outbox_rows(twice, sent)
     return fresh.select("gallery", "post_id", "batch_idx", "transport", "destination_id", joined("requested_media"))
 
 

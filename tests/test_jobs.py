@@ -88,6 +88,24 @@ def test_outbox_sends_what_a_partial_delivery_left(spark):
     assert tables.new_outbox_rows(offered("b", "a"), sent).count() == 0
 
 
+def test_outbox_compares_within_a_post_without_a_shuffle(spark):
+    m = ("s", "g", "1", 0, "discord", "c", ["a", "b"], True)
+    others = [("s", "g", "2", 0, *m[4:]), ("s", "h", "1", 0, *m[4:]), ("s", "g", "1", 1, *m[4:]), ("s", "g", "1", 0, "telegram", "c", ["a"], True),
+              (None, "g", None, None, None, "c", [None, "a"], None), (None, "g", None, None, None, "d", None, None)]
+    offers = [m, (*m[:6], ["b", "a"], True), *others, *others]
+    offered = table(spark, offers, tables.OUTBOX_SCHEMA).repartition(4, "post_id")
+    sent = table(spark, [m, m, others[0], others[4], ("s", "x", "9", 0, *m[4:])], tables.OUTBOX_SCHEMA).withColumn("message_key", tables.message_key()).repartition(4, "post_id")
+    for known in (sent, sent.select("message_key")):
+        for gather in (False, True):
+            fresh = tables.new_outbox_rows(offered, known, gather=gather)
+            assert fresh.columns == ["message_key", *offered.columns]
+            assert sorted(map(str, fresh.drop("message_key").collect())) == sorted(str(r) for r in table(spark, [others[i] for i in (1, 2, 3, 5)], tables.OUTBOX_SCHEMA).collect())
+    plan = tables.new_outbox_rows(offered, sent)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the two of the test itself
+    none = table(spark, [], tables.OUTBOX_SCHEMA).withColumn("message_key", tables.message_key())
+    assert tables.new_outbox_rows(offered, none).count() == 7 and tables.new_outbox_rows(none.drop("message_key"), sent).count() == 0
+
+
 @pytest.fixture
 def landing(spark, tmp_path):
     """Events of the smallest scale in six files, in time order by file name and shuffled inside."""
