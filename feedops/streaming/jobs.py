@@ -19,7 +19,7 @@ from feedops.operators.select import recent_store
 from feedops.plans.profiles import SourceProfile
 from feedops.plans.selection import select_new_posts
 from feedops.session import pinned
-from feedops.sources.tables import SCAN_TIME_FORMAT, append_ledger, ledger_of, new_outbox_rows, read_ledger
+from feedops.sources.tables import MESSAGE_BATCH, SCAN_TIME_FORMAT, append_ledger, ledger_of, new_outbox_rows, read_ledger
 from feedops.streaming.state import dedup_schema, dedup_step, limit_schema, limit_step, new_pairs, previous_version, write_version
 
 
@@ -161,15 +161,17 @@ def stream_like_counts(likes: DataFrame, spark: SparkSession, out_path: str, che
 def stream_outbox(messages: DataFrame, spark: SparkSession, outbox_path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Messages to send, one folder ``outbox_path/batch=N`` per batch; a message that an earlier batch holds does not go out again.
 
-    Its identity holds its media, so after a partial delivery the message with what is missing is a new one. Only the keys of earlier batches are read; a
+    Its identity holds its media, so after a partial delivery the message with what is missing is a new one. Only the keys and posts of earlier batches are read; a
     replayed batch leaves its own folder out and writes it again.
     """
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        sent = spark.createDataFrame([], "message_key string")
+        schema = ", ".join(f"{c} {batch.schema[c].dataType.simpleString()}" for c in MESSAGE_BATCH)
+        sent = spark.createDataFrame([], f"{schema}, message_key string")
         if batch_id > 0:
-            sent = spark.read.schema("message_key string, batch bigint").parquet(outbox_path).filter(F.col("batch") < batch_id)
-        new_outbox_rows(batch, sent).write.mode("overwrite").parquet(f"{outbox_path}/batch={batch_id}")
+            sent = spark.read.schema(f"{schema}, message_key string, batch bigint").parquet(outbox_path).filter(F.col("batch") < batch_id)
+        fresh = new_outbox_rows(batch, sent, gather=True)  # zstd: it halves the hex digits of keys, which snappy leaves
+        fresh.write.mode("overwrite").option("compression", "zstd").parquet(f"{outbox_path}/batch={batch_id}")
 
     return run_batches(messages, checkpoint, body, every)
 

@@ -72,12 +72,15 @@ def _(t: Tables) -> DataFrame:
 
 @query("a7_stream_outbox", f"""WITH {FAN_OUT_SQL} SELECT DISTINCT gallery, post_id, batch_idx, transport, destination_id, requested_media FROM messages""")
 def _(t: Tables) -> DataFrame:
-    """Every message is offered in two of six batches and goes out once."""
+    """Every message is offered in two of six batches and goes out once. Each offer lands as files by post, and a batch takes a third of them."""
     out, checkpoint = folders(t)
-    offered = messages(t)
-    offered.repartition(3).write.parquet(f"{out}-landing")
-    offered.repartition(3).write.mode("append").parquet(f"{out}-landing")
-    stream = t.spark.readStream.schema(offered.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}-landing")
+    parts = 3 * -(-int(t.spark.conf.get("spark.sql.shuffle.partitions")) // 3)
+    offered = messages(t, parts)
+    offered.write.parquet(f"{out}-landing")
+    landed = t.spark.read.schema(offered.schema).parquet(f"{out}-landing")
+    third = max(1, -(-len(landed.inputFiles()) // 3))
+    landed.repartition(parts, "post_id").write.mode("append").parquet(f"{out}-landing")
+    stream = t.spark.readStream.schema(offered.schema).option("maxFilesPerTrigger", third).parquet(f"{out}-landing")
     jobs.stream_outbox(stream, t.spark, out, checkpoint).awaitTermination()
     found = t.spark.read.schema(offered.schema).parquet(out)
     return found.select("gallery", "post_id", "batch_idx", "transport", "destination_id", joined("requested_media"))

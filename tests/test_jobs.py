@@ -106,6 +106,30 @@ def test_outbox_compares_within_a_post_without_a_shuffle(spark):
     assert tables.new_outbox_rows(offered, none).count() == 7 and tables.new_outbox_rows(none.drop("message_key"), sent).count() == 0
 
 
+def test_outbox_query_lands_offers_by_post(spark, tmp_path):
+    """Messages are numbered, batched and landed with one shuffle, by post; every one goes out once."""
+    from registry import delivery, streams
+    from registry.base import QUERIES, Tables
+
+    lines = spark.range(400).selectExpr(
+        "id div 4 l_orderkey", "id % 7 l_partkey", "id % 3 l_suppkey", "cast(id % 4 as int) l_linenumber", "1.0D l_quantity", "2.0D l_extendedprice", "0.0D l_discount",
+        "0.0D l_tax", "'N' l_returnflag", "'O' l_linestatus", "date '2020-01-01' l_shipdate")
+    lines.unionByName(lines.limit(20)).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    offered = delivery.messages(Tables(spark, str(tmp_path)), 6)
+    assert offered._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert offered.rdd.getNumPartitions() == 6
+    plain = delivery.messages(Tables(spark, str(tmp_path)))
+    assert offered.exceptAll(plain).isEmpty() and plain.exceptAll(offered).isEmpty()
+    wanted = plain.withColumn("requested_media", streams.joined("requested_media")).drop("source", "ack_eligible").distinct()
+    found = QUERIES["a7_stream_outbox"](spark, str(tmp_path))
+    assert found.exceptAll(wanted).isEmpty() and wanted.exceptAll(found).isEmpty()
+    folder = os.path.dirname(found.inputFiles()[0].removeprefix("file://")).split("/out/")[0]
+    assert batches(f"{folder}/out") == [f"batch={i}" for i in range(6)]
+    assert spark.read.parquet(f"{folder}/out-landing").count() == 2 * plain.count()
+    assert [spark.read.schema(found.schema).parquet(f"{folder}/out/batch={i}").isEmpty() for i in range(6)] == [False] * 3 + [True] * 3
+    assert all(".zstd." in f for f in found.inputFiles())
+
+
 @pytest.fixture
 def landing(spark, tmp_path):
     """Events of the smallest scale in six files, in time order by file name and shuffled inside."""
