@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedops.functions import media as M
 from feedops.operators.admission import admit
-from feedops.sources.tables import read_blobs
+from feedops.sources.blobs import hash_blobs
 from registry.base import Tables, query
 from registry.columns import pick_columns
 
@@ -136,5 +136,5 @@ def _(t: Tables) -> DataFrame:
 @query("a3_read_blobs")
 def _(t: Tables) -> DataFrame:
     """The table files of the scale themselves, as fetched files; DuckDB views do not name their folder, hence no SQL."""
-    found = read_blobs(t.spark, t.folder, 1 << 30, "*.parquet")
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", M.content_hash(F.col("content")).alias("content_hash"))
+    found = hash_blobs(t.spark, t.folder, 1 << 30, "*.parquet")
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content_hash")

@@ -1,6 +1,9 @@
 """Readers, writers and streams on real folders; a stream's result equals the batch result."""
 
+import gzip
+import hashlib
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 from feedops.functions.expr import micros
 from feedops.operators import dedup, ledger, ratelimit, scanlog, select
 from feedops.plans.profiles import SINGLE
-from feedops.sources import tables
+from feedops.sources import blobs, tables
 from feedops.streaming import jobs, state
 from tests.test_operators import rows, table
 
@@ -37,6 +40,26 @@ def test_oversize_blobs_are_not_opened(spark, tmp_path):
     assert "LessThanOrEqual(length,20)" in plan(found)
 
 
+def test_large_blobs_are_hashed_without_being_held(spark, tmp_path):
+    """Four files of 1,060 MB at once ended an executor of 10 GB: a file was held about three times over."""
+    mark = b"\xef\xbb\xbf"
+    noise = bytes(random.Random(1).choices(b"\r\n\0A\xc8\xff", k=200_000))
+    files = {"small.png": b"ab", "a b+c%41.gz": mark + b"x\r\ny\n", "feeds.png": b"\n\n\n\n", "mark.txt": mark + b"abc", "end.png": b"abc\n", "open.png": b"abcd", "packed.gz": gzip.compress(noise),
+             "noise.parquet": noise, "noise.bz2": noise + b"\n", "no ending": b"abc\ndef\n", "over.png": b"x" * 300_000}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        found = blobs.hash_blobs(spark, str(tmp_path), 250_000, whole_bytes=3)
+        hashed = rows(found.select(F.element_at(F.split("path", "/"), -1), "length", "content_hash"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    del files["over.png"]
+    assert hashed == sorted((name, len(c), hashlib.sha256(c).hexdigest()) for name, c in files.items())
+    opened = [line for line in plan(blobs.hash_blobs(spark, str(tmp_path), 250_000, "*.png", 3)).splitlines() if "FileScan" in line]
+    assert ["binaryFile" in line and "LessThanOrEqual(length,3)" in line or "FileScan text" in line for line in opened] == [True, True]
+
+
 def test_ledger_folder(spark, tmp_path):
     path = str(tmp_path / "ledger")
     new = table(spark, [("s", "g", "post:1"), ("s", "h", "post:1"), ("s", "g", "post:1")], "source string, gallery_name string, delivery_key string").withColumn(

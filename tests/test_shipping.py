@@ -7,6 +7,7 @@ import pytest
 from pyspark import cloudpickle
 
 from feedops.operators import anchors, extract
+from feedops.sources import blobs
 
 
 CALLS = [
@@ -20,3 +21,7 @@ def test_stage_code_travels_by_value(call, tmp_path):
     path.write_bytes(cloudpickle.dumps(call))
     code = f"import pickle; f, args = pickle.load(open({str(path)!r}, 'rb')); args is None or f(*args)"
     subprocess.run([sys.executable, "-c", code], cwd="/", check=True, timeout=60)
+
+
+def test_line_digests_travel_by_value(tmp_path):
+    test_stage_code_travels_by_value((blobs._line_digests, None), tmp_path)
