@@ -47,3 +47,22 @@ def contains_any(text: Column, needles: Sequence[str]) -> Column:
 def micros(ts: Column) -> Column:
     """Epoch microseconds of a timestamp column, zoned or not (session zone is UTC)."""
     return F.unix_micros(ts.cast("timestamp"))
+
+
+def packed(columns: Sequence[Column]) -> Column:
+    """Several values as one string, which tells them apart whatever they hold: all texts, then the lengths of all but the last. NULL if one is."""
+    texts = [c.cast("string") for c in columns]
+    return F.concat(*texts, *[F.concat(F.lit(","), F.length(t).cast("string")) for t in texts[:-1]])
+
+
+def unpacked(text: Column, types: Sequence[str]) -> list[Column]:
+    """The values in ``packed``, with their types."""
+    n = len(types) - 1
+    tail = F.substring_index(text, ",", -n)
+    ends = F.transform(F.split(tail, ","), lambda size: size.cast("int"))
+    sizes = [F.get(ends, F.lit(i)) for i in range(n)]
+    starts = [F.lit(1)]
+    for size in sizes:
+        starts.append(starts[-1] + size)
+    sizes.append(F.length(text) - F.length(tail) - starts[-1])
+    return [F.substring(text, at, size).cast(kind) for at, size, kind in zip(starts, sizes, types, strict=True)]

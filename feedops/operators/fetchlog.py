@@ -51,19 +51,23 @@ def ranked_candidates(media: DataFrame) -> DataFrame:
 
 
 def resolve_candidates(candidates: DataFrame, fetches: DataFrame, by: Sequence[str], policy: UrlPolicy | None,
-                       max_candidates: int = MAX_CANDIDATES, max_requests: int = MAX_REQUESTS, carry: Sequence[str] = ()) -> DataFrame:
+                       max_candidates: int = MAX_CANDIDATES, max_requests: int = MAX_REQUESTS, carry: Sequence[str] = (),
+                       keep: Sequence[str] = ()) -> DataFrame:
     """H8: per medium ``verdict`` (chosen / budget_exceeded / exhausted / rejected), ``chosen_url`` and its rank.
 
     ``candidates``: by..., cand_rank, url, expected_media_type. ``fetches``: url, verdict, requests, size_ok, ext, valid; its
     ``carry`` columns are taken from the chosen URL's row.
     Ranks count from 0 without gaps, as ``ranked_candidates`` gives them, so the cut to ``max_candidates`` needs no ranking and
     comes first. What is left meets its fetches, and a medium is brought together and sorted once, for a running sum over at most that
-    many steps; its verdict stands on its first row.
+    many steps; its verdict stands on its first row. Only a usable candidate brings its URL and ``carry`` there.
+    With ``keep``, columns of the medium itself, every candidate of rank 0 has its row and these columns; they travel with it alone.
     """
     if max_candidates < 1 or max_requests < 1:
         raise ValueError("max_candidates and max_requests must be at least 1")
-    by = list(by)
-    tried = candidates_with_fetches(candidates.filter(F.col("cand_rank") < max_candidates), fetches)
+    by, keep = list(by), list(keep)
+    first = F.col("cand_rank") == 0
+    needed = [*by, "cand_rank", "url", "expected_media_type", *[F.when(first, F.col(c)).alias(c) for c in keep]]
+    tried = candidates_with_fetches(candidates.filter(F.col("cand_rank") < max_candidates).select(*needed), fetches)
     tried = tried.withColumn("_allowed", F.lit(True) if policy is None else is_allowed_url(F.col("url"), policy))
     allowed = F.col("_allowed")
     usable = (
@@ -71,26 +75,29 @@ def resolve_candidates(candidates: DataFrame, fetches: DataFrame, by: Sequence[s
         & expected_type_ok(F.col("expected_media_type"), F.col("ext"))
     )
     transient = allowed & ~F.coalesce(F.col("verdict"), F.lit(PENDING)).isin(SUCCESS, PERMANENT)
+    spent = F.coalesce(F.when(allowed, F.col("requests")), F.lit(0)).cast("bigint")
+    # Requests and a transient failure are one number, and only a usable candidate brings more: little is shuffled for the others.
     steps = tried.select(
-        *by, "cand_rank", F.col("url").alias("_url"), F.coalesce(F.when(allowed, F.col("requests")), F.lit(0)).cast("bigint").alias("_spent"),
-        F.coalesce(usable, F.lit(False)).alias("_usable"), F.coalesce(transient, F.lit(False)).alias("_transient"),
-        *[F.col(c).alias(f"_with_{c}") for c in carry],
+        *by, "cand_rank", (2 * spent + F.coalesce(transient, F.lit(False)).cast("bigint")).alias("_cost"),
+        F.when(usable, F.struct(F.col("url").alias("_url"), *[F.col(c).alias(f"_with_{c}") for c in carry])).alias("_usable"), *keep,
     )
     whole = Window.partitionBy(*by)
     in_order = whole.orderBy("cand_rank")
-    steps = steps.select("*", F.sum("_spent").over(in_order).alias("_running"), F.row_number().over(in_order).alias("_place"))
-    taken = F.struct("cand_rank", "_url", *[f"_with_{c}" for c in carry])
+    places = [] if keep else [F.row_number().over(in_order).alias("_place")]
+    steps = steps.select("*", F.sum(F.shiftright("_cost", 1)).over(in_order).alias("_running"), *places)
+    taken = F.struct("cand_rank", *[F.col(f"_usable.{c}").alias(c) for c in ("_url", *[f"_with_{c}" for c in carry])])
     ends = steps.select(
-        *by, "_place", F.min(F.when(F.col("_usable") & (F.col("_running") <= max_requests), taken)).over(whole).alias("_chosen"),
-        F.max("_running").over(whole).alias("_total"), F.bool_or("_transient").over(whole).alias("_unsettled"),
-    ).filter(F.col("_place") == 1)
+        *by, *keep, (first if keep else F.col("_place") == 1).alias("_end"),
+        F.min(F.when(F.col("_usable").isNotNull() & (F.col("_running") <= max_requests), taken)).over(whole).alias("_chosen"),
+        F.max("_running").over(whole).alias("_total"), F.max(F.col("_cost").bitwiseAND(F.lit(1))).over(whole).alias("_unsettled"),
+    ).filter("_end")
     verdict = (
         F.when(F.col("_chosen").isNotNull(), F.lit("chosen"))
         .when(F.col("_total") > max_requests, F.lit("budget_exceeded"))
-        .when(F.col("_unsettled"), F.lit(EXHAUSTED))
+        .when(F.col("_unsettled") == 1, F.lit(EXHAUSTED))
         .otherwise("rejected")
     )
-    return ends.select(*by, verdict.alias("verdict"), F.col("_chosen._url").alias("chosen_url"), F.col("_chosen.cand_rank").alias("chosen_rank"),
+    return ends.select(*by, *keep, verdict.alias("verdict"), F.col("_chosen._url").alias("chosen_url"), F.col("_chosen.cand_rank").alias("chosen_rank"),
                        *[F.col(f"_chosen._with_{c}").alias(c) for c in carry])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedops.functions.fetch import PAGE_POLICY, RetryPolicy, classify_attempt
+from feedops.functions.expr import packed, unpacked
 from feedops.functions.media import MediaLimits, content_hash, fix_extension, image_dims, oversize_reason, pixel_gate, sniff_type
 from feedops.operators.dedup import dedup_urls_within_post, dedup_within_post
 from feedops.operators.delivery import POST
@@ -57,13 +58,17 @@ def fetched_urls(fetch_log: DataFrame, policy: RetryPolicy = PAGE_POLICY, limits
 def resolve_media(media: DataFrame, fetch_log: DataFrame, ledger: DataFrame, profile: SourceProfile,
                   policy: RetryPolicy = PAGE_POLICY, limits: MediaLimits = MediaLimits(), request: str | None = None) -> DataFrame:
     """Every medium with status, chosen URL, content hash and corrected file name; ``request`` as in ``fetched_urls``."""
-    keys = [*POST, "media_idx"]
-    fetched = fetched_urls(fetch_log, policy, limits, request)
-    verdicts = resolve_candidates(ranked_candidates(media.drop("filename_hint")), fetched, keys, profile.policy, carry=["content_hash", "size", "ext"])
-    resolved = media.select(*keys, "filename_hint").join(verdicts, keys, "inner")
+    # A medium's keys travel as one string, the post first, which a sort compares, and a hash as its bytes: half as long as its digits.
+    keys = ["post_id", "media_idx", "gallery", "source"]
+    fetched = fetched_urls(fetch_log, policy, limits, request).withColumn("content_hash", F.unhex("content_hash"))
+    # A medium without one of its keys has no result.
+    tried = media.dropna(subset=keys).select(packed([F.col(k) for k in keys]).alias("_medium"), "primary_url", "fallback_urls", "filename_hint", "expected_media_type")
+    verdicts = resolve_candidates(ranked_candidates(tried), fetched, ["_medium"], profile.policy, carry=["content_hash", "size", "ext"], keep=["filename_hint"])
+    values = unpacked(F.col("_medium"), [media.schema[k].dataType.simpleString() for k in keys])
+    resolved = verdicts.withColumns(dict(zip(keys, values, strict=True))).drop("_medium").withColumn("content_hash", F.lower(F.hex("content_hash")))
     marked = flag_seen_media(resolved, ledger, name="_seen")
     return marked.select(
-        *keys, "chosen_url", "content_hash", "size", "ext", fix_extension(F.col("filename_hint"), F.col("ext")).alias("filename"),
+        *POST, "media_idx", "chosen_url", "content_hash", "size", "ext", fix_extension(F.col("filename_hint"), F.col("ext")).alias("filename"),
         media_status(F.col("verdict"), F.col("_seen")).alias("status"),
     )
 

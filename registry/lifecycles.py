@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedops.functions.media import content_hash, item_bytes
@@ -11,7 +11,7 @@ from feedops.plans.feed import FeedLimits, feed_health, serve_feed
 from feedops.plans.media import resolve_media, sendable_media
 from feedops.plans.profiles import SINGLE
 from registry.base import Tables, query
-from registry.fetchlog import DECISION_SQL, _numbered, pick
+from registry.fetchlog import DECISION_SQL, pick
 from registry.media import ADMIT_SQL, LIMITS, _hex, arrivals
 from registry.selection import MEDIA_ORDER_SQL
 
@@ -88,7 +88,9 @@ def fetch_log(t: Tables) -> DataFrame:
 
 def resolved(t: Tables) -> DataFrame:
     """Every medium judged by the log and by a ledger that holds the bytes of some parts for two galleries."""
-    lines = _numbered(t.lineitem, "_rank")
+    # Of a line only its part and supplier are used, so lines that tie in these need no further order; the rest of the page order is not read.
+    placed = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", F.row_number().over(placed).alias("_rank"))
     media = lines.select(
         F.lit("board").alias("source"), F.concat(F.lit("g"), (F.col("l_orderkey") % 3).cast("string")).alias("gallery"), F.col("l_orderkey").cast("string").alias("post_id"),
         (F.col("_rank") - 1).cast("bigint").alias("media_idx"), _url(F.col("l_partkey")).alias("primary_url"), F.array(_url(F.col("l_suppkey")), _url(F.col("l_partkey") + 1)).alias("fallback_urls"),

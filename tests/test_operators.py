@@ -1,12 +1,16 @@
 """Table operators on small tables and against sequential models on random traces."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from feedops.functions.expr import packed, unpacked
 from feedops.operators import admission, anchors, dedup, delivery, feed, fetchlog, ledger, ratelimit, scanlog, select
 from feedops.functions.urls import SINGLE_MEDIA
+from feedops.plans.media import resolve_media
+from feedops.plans.profiles import SINGLE
 
 
 def rows(df, *columns):
@@ -363,3 +367,31 @@ def test_a_fetch_log_is_never_broadcast(spark):
     for found in (joined, settled):
         assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in settled.collect()} == {(1, "chosen", "https://dcimg1.dcinside.com/1", 0, "png"), (2, "exhausted", None, None, None)}
+
+
+def test_media_travel_once_by_url_and_once_back(spark):
+    """A medium's own columns go along with its first candidate: they were shuffled, and their posts numbered, a second time to meet the verdicts."""
+    png = bytes.fromhex("89504E470D0A1A0A0000000D49484452000003E8000003E8")
+    urls = [f"https://dcimg1.dcinside.com/{i}" for i in range(3)]
+    media = table(spark, [("s", "g", "1,2", 0, urls[0], [urls[1]], "a.jpg", "image"), ("s", "g", "1,2", 1, urls[2], None, "b.jpg", "image"), ("s", "g", "1,2", 1, urls[2], [], None, "image"),
+                          ("s", "g,", "1", 2, urls[1], [], "c", "image"), (None, "g", "1", 0, urls[1], [], "c", "image"), ("s", "g", "1", None, urls[1], [], "c", "image")],
+                  "source string, gallery string, post_id string, media_idx bigint, primary_url string, fallback_urls array<string>, filename_hint string, expected_media_type string")
+    log = table(spark, [(urls[0], 1, "http", 404, None, None), (urls[1], 1, "http", 200, None, png), (urls[2], 1, "http", 503, None, None), (urls[2], 2, "http", 200, None, png + b"x")],
+                "url string, attempt int, error_kind string, status int, declared_length string, content binary")
+    hashes = [hashlib.sha256(png + end).hexdigest() for end in (b"", b"x")]
+    known = table(spark, [("s", "g,", f"image:{hashes[0]}"), ("s", "g", f"post:{hashes[0]}"), ("s", "g", "image:"), ("s", "g", None)], "source string, gallery_name string, delivery_key string")
+    found = resolve_media(media, log, known, SINGLE)
+    assert found.schema["media_idx"].dataType.simpleString() == "bigint"
+    assert sorted(map(str, rows(found, "gallery", "post_id", "media_idx", "chosen_url", "content_hash", "filename", "status"))) == sorted(map(str, [
+        ("g", "1,2", 0, urls[1], hashes[0], "a.png", "ready"), ("g", "1,2", 1, urls[2], hashes[1], "b.png", "ready"), ("g", "1,2", 1, urls[2], hashes[1], "image.png", "ready"),
+        ("g,", "1", 2, urls[1], hashes[0], "c.png", "duplicate")]))
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("filename_hint#") and text.count("primary_url#") and text.count("Join") == 2
+
+
+def test_packed_values_come_back(spark):
+    data = [("a", 1, ""), ("a1", 2, ",1"), ("", 0, "a,1,1"), ("\u00e9,", -3, "\u4e2d"), (None, 1, "x")]
+    given = table(spark, data, "a string, b int, c string").withColumn("p", packed([F.col("a"), F.col("b"), F.col("c")]))
+    a, b, c = unpacked(F.col("p"), ["string", "int", "string"])
+    back = given.select(a.alias("a"), b.alias("b"), c.alias("c"), "p").collect()
+    assert [tuple(r)[:3] for r in back] == [*data[:-1], (None, None, None)] and len({r.p for r in back}) == len(data)
