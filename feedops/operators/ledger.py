@@ -36,15 +36,22 @@ def unseen_media(media: DataFrame, ledger: DataFrame, content_hash: str = "conte
 
 
 def flag_seen_media(media: DataFrame, ledger: DataFrame, content_hash: str = "content_hash", name: str = "seen") -> DataFrame:
-    """D2 as a column: both halves in one join, so a hash is computed once; never null."""
-    known = ledger.select(*[F.col(c).alias(f"_known_{c}") for c in LEDGER_KEYS]).distinct()
+    """D2 as a column: both halves in one join, so a hash is computed once; never null.
+
+    The hash itself is the first key, not the ledger's spelling of it: rows come apart by it, and stay together by it for what follows.
+    """
+    spelled = ledger_key("image", F.lit("-"))
+    prefix = F.substring(spelled, F.lit(1), F.length(spelled) - 1)
+    own = F.substring("delivery_key", F.length(spelled), F.length("delivery_key"))
+    images = ledger.filter(F.startswith("delivery_key", prefix) & (own != ""))
+    known = images.select(own.alias("_known_hash"), F.col("gallery_name").alias("_known_gallery"), F.col("source").alias("_known_source")).distinct()
     match = (
-        (media["source"] == known["_known_source"])
-        & (media["gallery"] == known["_known_gallery_name"])
-        & (ledger_key("image", media[content_hash].cast("string")) == known["_known_delivery_key"])
+        (media[content_hash].cast("string") == known["_known_hash"])
+        & (media["gallery"] == known["_known_gallery"])
+        & (media["source"] == known["_known_source"])
     )
     joined = media.join(known, match, "left_outer")
-    return joined.select(*[media[c] for c in media.columns if c != name], F.col("_known_delivery_key").isNotNull().alias(name))
+    return joined.select(*[media[c] for c in media.columns if c != name], F.col("_known_hash").isNotNull().alias(name))
 
 
 def ledger_check(keys: DataFrame, ledger: DataFrame) -> DataFrame:

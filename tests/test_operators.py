@@ -11,6 +11,7 @@ from feedops.operators import admission, anchors, dedup, delivery, feed, fetchlo
 from feedops.functions.urls import SINGLE_MEDIA
 from feedops.plans.media import resolve_media
 from feedops.plans.profiles import SINGLE
+from registry import load
 
 
 def rows(df, *columns):
@@ -389,6 +390,18 @@ def test_media_travel_once_by_url_and_once_back(spark):
     assert text.count("filename_hint#") and text.count("primary_url#") and text.count("Join") == 2
 
 
+def test_sent_media_stay_where_the_ledger_met_them(spark):
+    """One hash of a gallery is in one place after the ledger's join, so the first medium of a post and hash needs no further shuffle."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        build = load()[0]["plan_media_sent"]
+        text = build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Lines by order, the log and its candidates by URL, media by their keys, media and ledger by hash, and the distinct rows the ledger is made of.
+    assert text.count("FileScan parquet") == 3 and text.count("Exchange hashpartitioning") == 7 and "l_extendedprice" not in text
+
+
 def test_packed_values_come_back(spark):
     data = [("a", 1, ""), ("a1", 2, ",1"), ("", 0, "a,1,1"), ("\u00e9,", -3, "\u4e2d"), (None, 1, "x")]
     given = table(spark, data, "a string, b int, c string").withColumn("p", packed([F.col("a"), F.col("b"), F.col("c")]))
